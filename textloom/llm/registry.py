@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, bpe, exact_dedup, line_dedup, sharding
+from textloom.llm import ann, bpe, exact_dedup, line_dedup, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": ann.op1_ann,
+        "op2_quality": quality.op2_quality,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_shard": sharding.op6_shard,
         "op7_bpe": bpe.op7_bpe,
