@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, bpe, exact_dedup, line_dedup, quality, sharding
+from textloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_shard": sharding.op6_shard,
         "op7_bpe": bpe.op7_bpe,
+        "op8_mix": mixing.op8_mix,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
