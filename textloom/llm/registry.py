@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, quality, sharding, toxicity
+from textloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, quality, sharding, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": ann.op1_ann,
         "op2_quality": quality.op2_quality,
+        "op4_substring": substring.op4_substring,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_shard": sharding.op6_shard,
         "op7_bpe": bpe.op7_bpe,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op6_shard": sharding.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op4_substring": substring.ORACLE, "op6_shard": sharding.ORACLE}
