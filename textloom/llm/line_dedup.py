@@ -42,7 +42,8 @@ def line_dedup(docs: DataFrame, *, divisor: int = 4, min_lines: int = 2, id_col:
     Candidates are found on narrow rows (hash, length, place). Only the texts of documents that
     hold a repeated chunk go through the byte comparison, and each place is compared with the one
     first occurrence: rows grow with the input, and a chunk that a third of all documents share
-    meets in joins that adaptive execution can split.
+    meets in joins that adaptive execution can split. Texts move twice, by document, and the joins
+    that move them are merge joins at every size, so a small run shows what a large one costs.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     source = base.filter("doc_id IS NOT NULL AND _text IS NOT NULL").withColumn("_lines", F.split("_text", "\n", -1))
@@ -65,13 +66,13 @@ def line_dedup(docs: DataFrame, *, divisor: int = 4, min_lines: int = 2, id_col:
 
     # the bytes of the wanted places, each cut from its own document
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_no", "start", "n", *keys, "is_first")).alias("_asked"))
-    texts = source.join(asked, "doc_id").select("doc_id", F.explode(F.transform("_asked", lambda c: F.struct(c["chunk_no"].alias("chunk_no"), c["n"].alias("n"), c["hash"].alias("hash"), c["n_bytes"].alias("n_bytes"), c["is_first"].alias("is_first"), cut(c).alias("chunk")))).alias("c")).select("doc_id", "c.*")
+    texts = source.join(asked.hint("shuffle_merge"), "doc_id").select("doc_id", F.explode(F.transform("_asked", lambda c: F.struct(c["chunk_no"].alias("chunk_no"), c["n"].alias("n"), c["hash"].alias("hash"), c["n_bytes"].alias("n_bytes"), c["is_first"].alias("is_first"), cut(c).alias("chunk")))).alias("c")).select("doc_id", "c.*")
     texts = written(texts, "line-texts")
     originals = texts.filter("is_first").select(*keys, F.col("chunk").alias("original")).dropDuplicates(keys)
     gone = texts.filter("NOT is_first").join(originals, keys).filter(F.col("chunk") == F.col("original"))
     removed = written(gone.select("doc_id", "chunk_no").distinct().groupBy("doc_id").agg(F.collect_set("chunk_no").alias("_gone")), "line-removed")
 
-    rows = base.withColumn("_lines", F.split("_text", "\n", -1)).join(removed, "doc_id", "left")
+    rows = base.withColumn("_lines", F.split("_text", "\n", -1)).join(removed.hint("shuffle_merge"), "doc_id", "left")
     again = _chunks(rows, divisor)
     kept = F.filter(F.transform("_chunks", lambda c, i: F.struct(F.array_contains("_gone", i).alias("gone"), c["n"].alias("n"), cut(c).alias("t"))), lambda c: ~c["gone"])
     touched = F.col("_gone").isNotNull()
