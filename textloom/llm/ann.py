@@ -196,28 +196,41 @@ def nearest(vectors: DataFrame, *, k: int = 20, is_query: str = "vec_id % 20 = 0
             yield pd.DataFrame(out, columns=["g", "s", "query_id", "vec", "leaves"])
 
     def rerank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "hits": []})
+        left = left.sort_values("leaf", kind="stable")
+        v, q = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        reps, ids = left["rep"].to_numpy(), left["ids"].to_numpy()
+        leaf_no, starts = np.unique(left["leaf"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(left))
+        asking: dict[int, list[int]] = {}
+        for i, leaves in enumerate(right["leaves"]):
+            for x in leaves:
+                asking.setdefault(int(x), []).append(i)
+        scores: list[list[np.ndarray]] = [[] for _ in range(len(q))]
+        places: list[list[tuple[int, int]]] = [[] for _ in range(len(q))]
+        for x, lo, hi in zip(leaf_no.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            if who := asking.get(x):
+                for i, row in zip(who, q[who] @ v[lo:hi].T, strict=True):
+                    scores[i].append(row)
+                    places[i].append((lo, hi))
         out = []
-        if len(left) and len(right):
-            left = left.sort_values("leaf", kind="stable")
-            v = np.stack(left["vec"].to_numpy())
-            reps, ids = left["rep"].to_numpy(), left["ids"].to_numpy()
-            leaf_no, starts = np.unique(left["leaf"].to_numpy(), return_index=True)
-            where = dict(zip(leaf_no.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(left)], strict=True), strict=True))
-            for qid, vec, leaves in zip(right["query_id"], right["vec"], right["leaves"], strict=True):
-                spans = [np.arange(*where[x]) for x in leaves if x in where]
-                if not spans:
-                    continue
-                rows = np.concatenate(spans)
-                score = v[rows] @ vec
-                most = (trees + 1) * (k + 1)  # an entry comes at most once a tree
-                if len(rows) > most:
-                    part = np.argpartition(-score, most)[:most]
-                    rows = rows[part]
-                _, once = np.unique(reps[rows], return_index=True)
-                rows = rows[once]
-                score = np.array([math.fsum(p) for p in v[rows] * vec])  # exactly rounded: equal products tie
-                best = np.lexsort((reps[rows], -score))[: k + 1]
-                out.append((qid, [{"d": -float(score[b]), "rep": int(reps[rows[b]]), "ids": [int(i) for i in ids[rows[b]]]} for b in best]))
+        most = (trees + 1) * (k + 1)  # an entry comes at most once a tree
+        for i, qid in enumerate(right["query_id"]):
+            if not scores[i]:
+                continue
+            score = np.concatenate(scores[i])
+            rows = np.concatenate([np.arange(lo, hi) for lo, hi in places[i]])
+            if len(rows) > most:
+                part = np.argpartition(-score, most)[:most]
+                score, rows = score[part], rows[part]
+            _, once = np.unique(reps[rows], return_index=True)
+            score, rows = score[once], rows[once]
+            if len(rows) > k + 1:  # a margin over rounding in the product above
+                rows = rows[score >= np.partition(score, -(k + 1))[-(k + 1)] - 1e-9]
+            score = np.array([math.fsum(p) for p in (v[rows] * q[i]).tolist()])  # exactly rounded: equal products tie
+            best = np.lexsort((reps[rows], -score))[: k + 1]
+            out.append((qid, [{"d": -float(score[b]), "rep": int(reps[rows[b]]), "ids": [int(j) for j in ids[rows[b]]]} for b in best]))
         return pd.DataFrame(out, columns=["query_id", "hits"])
 
     hit = "array<struct<d:double,rep:long,ids:array<long>>>"
