@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, quality, sharding, substring, toxicity
+from textloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": ann.op1_ann,
         "op2_quality": quality.op2_quality,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_substring": substring.op4_substring,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_shard": sharding.op6_shard,
