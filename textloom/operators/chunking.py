@@ -8,9 +8,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.numbering import numbered
+
 #: The default tokenizer: white-space runs, word runs and single marks, which concatenate to the text.
 LEXICAL = re.compile(r"\s+|\w+|[^\w\s]")
 _SEPARATORS = [re.compile(p) for p in (r"\n\s*\n", r"(?<=[.!?])\s+", r"\s+")]
@@ -95,13 +97,20 @@ def chunk_texts(units: DataFrame, *, size: int = 512, overlap: int = 64, tokeniz
 def with_ids(chunks: DataFrame, metadata: Column, order: list[str]) -> DataFrame:
     """chunks with id: 16 hex digits of the SHA-256 of metadata, text and occurrence number.
 
-    The occurrence number counts equal (metadata, text) in ``order`` from 0; it is numbered per
-    digest of the two, so only narrow keys are sorted.
+    The occurrence number counts equal (metadata, text) in ``order``, which must tell rows apart,
+    from 0. Only the digests and places of chunks that occur twice or more are numbered, by ranges, so texts do
+    not move for it and a very common chunk is not one task's work.
     """
     keyed = chunks.withColumn("_meta", metadata)
-    w = Window.partitionBy(F.sha2(F.concat_ws("\n", "_meta", "text"), 256)).orderBy(*order)
-    body = F.concat_ws("\n", "_meta", "text", (F.row_number().over(w) - 1).cast("string"))
-    return keyed.withColumn("id", F.substring(F.sha2(body, 256), 1, 16)).drop("_meta")
+    narrow = keyed.select(F.sha2(F.concat_ws("\n", "_meta", "text"), 256).alias("_d"), *order)
+    twice = narrow.groupBy("_d").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_d")
+    later = numbered(narrow.join(twice, "_d", "left_semi"), ["_d"], order, "_n").filter("_n > 1").select(*[F.col(c).alias(f"_o_{c}") for c in order], "_n")
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = keyed.join(later, same, "left")
+    body = F.concat_ws("\n", "_meta", "text", (F.coalesce("_n", F.lit(1)) - 1).cast("string"))
+    return joined.withColumn("id", F.substring(F.sha2(body, 256), 1, 16)).drop("_meta", "_n", *[f"_o_{c}" for c in order])
 
 
 def stable_id(metadata: dict, text: str, occurrence: int) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import qa
+from textloom.operators.numbering import numbered
 
 
 def seeded(seed: int | str, key: Column) -> Column:
@@ -115,14 +116,14 @@ def document_cap(target: int, share: float) -> int:
 
 
 def round_robin(rows: DataFrame, seed: int, id_col: str = "id") -> DataFrame:
-    """rows with turn (within the source) and place: one row of each source a turn, sources in seeded order."""
-    turn = F.row_number().over(Window.partitionBy("source").orderBy(seeded(seed, F.col(id_col)), id_col))
-    turned = rows.withColumn("turn", turn).withColumn("_order", seeded(seed, F.col("source")))
-    # places turn by turn: the sources still there in earlier turns come first
-    sizes = turned.groupBy("turn").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("turn").orderBy("_order", "source"))
-    return turned.withColumn("_in", inside).join(before.select("turn", "_before"), "turn").withColumn("place", F.col("_before") + F.col("_in")).drop("_order", "_in", "_before")
+    """rows with turn (within the source) and place: one row of each source a turn, sources in seeded order.
+
+    Both numbers come from range-partitioned numbering, so neither a large source nor the first
+    turns, which hold every source, are one task's work.
+    """
+    shuffled = rows.withColumn("_h", seeded(seed, F.col(id_col))).withColumn("_order", seeded(seed, F.col("source")))
+    turned = numbered(shuffled, ["source"], ["_h", id_col], "turn")
+    return numbered(turned, [], ["turn", "_order", "source"], "place").drop("_h", "_order")
 
 
 def quotas(target: int, *, unanswerable: float = 0.2, multi: float = 0.15) -> dict[str, int]:
@@ -163,16 +164,14 @@ def share_violations(items: DataFrame, most: float) -> DataFrame:
 
 def adjacent_pairs(chunks: DataFrame) -> DataFrame:
     """(source, first, second): neighbours 1+2, 3+4, ... of each source."""
-    w = Window.partitionBy("source").orderBy("pos")
-    numbered = chunks.withColumn("_g", F.floor((F.row_number().over(w) - 1) / 2))
-    pairs = numbered.groupBy("source", "_g").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("p")).filter(F.size("p") == 2)
+    placed = numbered(chunks.select("source", "pos", "id"), ["source"], ["pos", "id"], "_n").withColumn("_g", F.floor((F.col("_n") - 1) / 2))
+    pairs = placed.groupBy("source", "_g").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("p")).filter(F.size("p") == 2)
     return pairs.select("source", F.col("p")[0]["id"].alias("first"), F.col("p")[1]["id"].alias("second"))
 
 
 def family_pairs(chunks: DataFrame) -> DataFrame:
     """(family, first, second): a family's first chunk with the first chunk of each of its other sources."""
-    w = Window.partitionBy("source").orderBy("pos")
-    heads = chunks.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    heads = chunks.groupBy("source").agg(F.min(F.struct("pos", "id", "family")).alias("h")).select("source", "h.id", "h.family")
     low = heads.groupBy("family").agg(F.min(F.struct("source", "id")).alias("f"))
     return heads.join(low, "family").filter(F.col("source") != F.col("f.source")).select("family", F.col("f.id").alias("first"), F.col("id").alias("second"))
 

@@ -160,7 +160,7 @@ def dense_topk(spark, d):
     return dense.search_one(v, v.filter("id = 0").first()["embedding"], 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT vec_id AS id, list_transform({UNIT}, lambda x: round(x, 5)) AS v FROM embeddings")
+@query(f"SELECT vec_id AS id, list_transform({UNIT}, lambda x: CASE WHEN round(x, 5) = 0 THEN 0.0 ELSE round(x, 5) END) AS v FROM embeddings")
 def dense_normalised(spark, d):
     return vectors(spark, d).select("id", F.transform(S.normalise(F.col("embedding")), lambda x: F.round(x, 5)).alias("v"))
 
@@ -905,3 +905,28 @@ def batch_answers(spark, d):
 
     got = Answerer(retriever(spark, d), model, SYSTEM, "Answer directly.").answer(questions(spark, d), "bm25", 3)
     return got.select("query_id", "answer", "abstained", F.size("cited_ids").alias("n_cited"), F.size("invalid_citations").alias("n_invalid"), F.size("context").alias("n_context"))
+
+
+@query(f"""WITH {BM25} SELECT query_id, rank, rank || '. ' || coalesce(d.source, 'Unknown title') || ' (' || (2000 + d.doc_id % 20) || ', ' || d.lang || ') ' || format('{{:.4f}}', score) || ' | ' || substr(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), 1, 200) AS line
+FROM lex JOIN documents d ON d.doc_id = id WHERE rank <= 3""")
+def search_result_lines(spark, d):
+    from textloom.service import result_lines
+
+    hits = lexical.top_k(lexical.bm25_scores(corpus(spark, d), questions(spark, d)), 3)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title"), (2000 + F.col("doc_id") % 20).alias("year"), F.col("lang").alias("family"))
+    return result_lines(hits.join(docs, "id"))
+
+
+@query("SELECT doc_id AS id, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS place FROM documents")
+def seeded_shuffle(spark, d):
+    """A shuffle that every engine repeats, numbered without a global sort in one task."""
+    from textloom.operators.numbering import numbered
+
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id")).withColumn("h", splitting.seeded(42, F.col("id")))
+    return numbered(rows, [], ["h", "id"], "place").select("id", "place")
+
+
+@query("""SELECT doc_id, '{"lang": "' || lang || '", "n_chars": ' || n_chars || ', "source": "' || source || '"}' AS json, substr(sha256('{"lang": "' || lang || '", "n_chars": ' || n_chars || ', "source": "' || source || '"}'), 1, 16) AS key FROM documents""")
+def canonical_json_keys(spark, d):
+    j = T.canonical_json({"source": F.col("source"), "lang": F.col("lang"), "n_chars": F.col("n_chars")})
+    return table(spark, d, "documents").select("doc_id", j.alias("json")).withColumn("key", F.substring(F.sha2("json", 256), 1, 16))

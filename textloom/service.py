@@ -43,6 +43,19 @@ def public_chunk(chunk: DataFrame, chars: int = 800) -> DataFrame:
     return chunk.withColumn("text", T.snippet(F.col("text"), chars))
 
 
+def result_lines(ranked: DataFrame) -> DataFrame:
+    """(query_id, rank, line): rank, title, year, family, score to 4 digits and 200 characters of text."""
+    title, year, family = F.coalesce("title", F.lit("Unknown title")), F.coalesce(F.col("year").cast("string"), F.lit("-")), F.coalesce("family", F.lit("-"))
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), title, F.lit(" ("), year, F.lit(", "), family, F.lit(") "), F.format_string("%.4f", "score"), F.lit(" | "), T.snippet(F.col("text"), 200))
+    return ranked.select("query_id", "rank", line.alias("line"))
+
+
+def cited_passages(answers: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, number, id, snippet) of each valid citation, 200 characters each."""
+    cited = answers.select("query_id", F.posexplode("cited_ids").alias("number", "id"))
+    return cited.join(corpus.select(F.col("id").cast("string").alias("id"), "text"), "id").select("query_id", (F.col("number") + 1).alias("number"), "id", T.snippet(F.col("text"), 200).alias("snippet"))
+
+
 class Answerer:
     """Retrieve, prompt, generate and resolve citations for a batch of questions."""
 

@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from textloom.functions import fixed
 from textloom.functions import text as T
+from textloom.operators.numbering import numbered
 
 META = "source string, source_type string, page int, section array<string>, doc_type string, year int, doc_title string, family string, license_note string, retrieved_at string"
 CHUNK = f"id string, text string, metadata struct<{META.replace(' ', ':').replace(',:', ',')}>, usable_for_qa boolean, qa_rejection_reason string"
@@ -107,6 +108,12 @@ def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Data
     return named.filter(~F.contains(F.lower("source"), F.lit("excluded")) & ~F.lower("source").endswith("manifest.json"))
 
 
+def with_positions(units: DataFrame) -> DataFrame:
+    """units with unit_pos: their place in the order of source, and of page where there is one."""
+    order = [c for c in ("source", "page", "section_no") if c in units.columns]
+    return numbered(units, [], order, "unit_pos").withColumn("unit_pos", F.col("unit_pos") - 1)
+
+
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
 
@@ -198,17 +205,21 @@ def retry_after(value: str | None, now: datetime | None = None) -> float | None:
 class PoliteClient:
     """Calls ``get(title, timeout)`` -> (status, headers, body) with a least interval and retries.
 
-    429 and 5xx are tried again after Retry-After, else after 1, 2, 4, ... seconds.
+    With a ``budget`` the client makes at most so many calls. 429 and 5xx are tried again after Retry-After, else after 1, 2, 4, ... seconds.
     """
 
-    def __init__(self, get: Callable, *, retries: int = 4, interval: float = 1.0, timeout: float = 30.0, sleep: Callable = time.sleep, clock: Callable = time.monotonic):
+    def __init__(self, get: Callable, *, retries: int = 4, interval: float = 1.0, budget: int | None = None, timeout: float = 30.0, sleep: Callable = time.sleep, clock: Callable = time.monotonic):
         self.get, self.retries, self.interval, self.timeout, self.sleep, self.clock = get, retries, interval, timeout, sleep, clock
         self.last: float | None = None
+        self.budget, self.calls = budget, 0
 
     def fetch(self, title: str):
         for attempt in range(self.retries + 1):
             if self.last is not None and (wait := self.interval - (self.clock() - self.last)) > 0:
                 self.sleep(wait)
+            if self.budget is not None and self.calls >= self.budget:
+                raise OSError(f"{title}: the budget of {self.budget} calls is spent")
+            self.calls += 1
             self.last = self.clock()
             status, headers, body = self.get(title, self.timeout)
             if status == 200:
