@@ -250,6 +250,7 @@ class SubstringDedup:
         shared = met.filter("lo < hi").select("key")
         if old is not None:
             shared = shared.unionAll(old.select("key")).distinct()
+        shared = written(shared, "sub-shared")  # an aggregate that is joined by its own keys is written first: then both sides are exchanged and a hot key's part can be split
         asked = new.join(shared.hint("merge"), "key", "left_semi").select("doc_id", "key")
         if old is not None:
             asked = asked.unionAll(old.select("doc_id", "key"))
@@ -261,6 +262,7 @@ class SubstringDedup:
         spots = texts.mapInPandas(_window_rows(self.window), "doc_id long, key array<long>, check array<long>, pos array<int>")
         spots = written(spots.select("doc_id", F.explode(F.arrays_zip("key", "check", "pos")).alias("w")).select("doc_id", "w.key", "w.check", "w.pos"), "sub-spots")
         first = spots.groupBy("key", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+        first = written(first.select("key", "check", "lo"), "sub-first")
         gone = spots.join(first.hint("merge"), ["key", "check"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
         mine = judged.filter("fresh").select("doc_id")
         touched = written(texts.join(gone.hint("merge"), "doc_id").join(mine.hint("merge"), "doc_id", "left_semi").select("doc_id", "text", "starts").mapInPandas(_cut(self.window), _OUT), "sub-cut")
