@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,14 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a single-process session may do with a temporary folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """``spark.checkpoint.dir``; a single-process session may do with a temporary folder, gone at its end."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="textloom-")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="textloom-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return "file://" + _local[0]
 
 
 def stored(df: DataFrame) -> DataFrame:
