@@ -202,6 +202,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: i
 
     spread = heads.select("doc_id", "n", F.explode("sketches").alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "n")).alias("l1"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("l2")).filter("size > 1")
+    sizes = written(sizes, "near-sizes")  # written, so that both sides of the join are exchanged and a hot bucket can be split
     full = written(spread.join(sizes, "key"), "near-buckets")
     few = full.filter(F.col("size") <= small).select("key", "doc_id", "n")
     pairs = few.join(few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn")), "key").filter("doc_id < b").select(F.col("doc_id").alias("a"), F.col("n").alias("an"), "b", "bn")
@@ -236,7 +237,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: i
     roots = components(links)
     labelled = heads.join(roots, heads.doc_id == roots.node, "left").join(degree, "doc_id", "left")
     labelled = written(labelled.select("d1", "d2", "copies", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")), "near-classes")
-    size = labelled.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
+    size = written(labelled.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "near-class-sizes")
     classes = labelled.join(size, "class_id")
     out = real.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"])
     alone = told.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
