@@ -30,7 +30,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     digest = F.sha2(norm.cast("binary"), 256).alias("text_sha256")
     sig = written(docs.select(*cols, *([digest] if digest_all else [])), "exact-sig")
 
-    twice = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # each level is written before it is joined by its own keys: both sides are then exchanged, and a hot key's part can be split
+    twice = lambda df, *keys: written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "exact-level")
     same_length = sig.join(twice(sig, "n_bytes"), "n_bytes", "left_semi")
     level = ["n_bytes", "prefix_hash"]
     survivors = sig.join(twice(same_length, *level), level, "left_semi")
@@ -39,7 +40,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         full = full.join(survivors.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *level, F.sha2(F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), WS, " ").cast("binary"), 256).alias("text_sha256"))
         survivors = written(full, "exact-full")
     keys = [*level, "text_sha256"]
-    groups = survivors.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    groups = written(survivors.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "exact-groups")
     if digest_all:
         rows = sig.join(groups, keys, "left")
     else:
