@@ -60,6 +60,7 @@ def line_dedup(docs: DataFrame, *, divisor: int = 4, min_lines: int = 2, id_col:
     places = written(numbered.select("doc_id", "c.*").distinct(), "line-places")
     keys = ["hash", "n_bytes"]
     firsts = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "chunk_no", "start", "n")).alias("first")).filter("_n > 1").drop("_n")
+    firsts = written(firsts, "line-firsts")  # written, so that both sides of the join are exchanged and a hot chunk can be split
     here = F.struct("doc_id", "chunk_no", "start", "n")
     repeated = places.join(firsts, keys).withColumn("is_first", here == F.col("first"))
     wanted = written(repeated.select("doc_id", "chunk_no", "start", "n", *keys, "is_first"), "line-wanted")
