@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from textloom.llm.common import table, written
+from textloom.llm.common import free, table, written
 
 #: doc_id goes into the joins below as it is; a row with a null id is its own document and stays.
 
@@ -21,7 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     The model learns from labelled rows of its own input outside the held-out third.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("_score") >= 0.5).select(*docs.columns)
+    out = free(docs.columns, "_score")
+    return quality.score(docs, model, out).filter(F.col(out) >= 0.5).select(*docs.columns)
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -43,11 +44,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: range-partitioned and sorted by position."""
-    placed = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "position")
-    placed = written(placed.groupBy("_id", "_source").agg(F.min("position").alias("_position")), "pipeline-mix")
-    same = docs["doc_id"].eqNullSafe(placed["_id"]) & docs["source"].cast("string").eqNullSafe(placed["_source"])
-    ordered = docs.join(placed.hint("merge"), same).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_position")
-    return ordered.sortWithinPartitions("_position").select(*docs.columns)
+    i, s, p = (free(docs.columns, name) for name in ("_id", "_source", "_position"))
+    placed = mixing.mix(docs).select(F.col("doc_id").alias(i), F.col("source").alias(s), "position")
+    placed = written(placed.groupBy(i, s).agg(F.min("position").alias(p)), "pipeline-mix")
+    same = docs["doc_id"].eqNullSafe(placed[i]) & docs["source"].cast("string").eqNullSafe(placed[s])
+    ordered = docs.join(placed.hint("merge"), same).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), p)
+    return ordered.sortWithinPartitions(p).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import free, table
 
 #: Deletion tables for counting bytes of a class in UTF-8 text.
 _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
@@ -213,10 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample:
     return fit(got[STATS].to_numpy(dtype=float).reshape(-1, len(STATS)), got["_y"].to_numpy(dtype=float))
 
 
-def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with _score, 0 to 1; every row stays, with all its columns. A null text scores as an empty one."""
-    with_stats = docs.withColumn("_stats", stats_column(F.col("text")))
-    return with_stats.withColumn("_score", model.column(F.col("_stats"))).drop("_stats")
+def score(docs: DataFrame, model: RuleModel, out: str = "_score") -> DataFrame:
+    """``docs`` with ``out``, 0 to 1; every row stays, with all its columns. A null text scores as an empty one."""
+    stats = free([*docs.columns, out], "_stats")
+    with_stats = docs.withColumn(stats, stats_column(F.col("text")))
+    return with_stats.withColumn(out, model.column(F.col(stats))).drop(stats)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
