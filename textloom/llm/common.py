@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a single-process session (tests) may fall back on a local temporary folder.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -72,19 +73,25 @@ def words_of(text: str | None) -> list[str]:
     return text.split() if text.isascii() and not _ODD.search(text) else _WORD.findall(text)
 
 
-import re  # noqa: E402
-
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: ASCII characters that str.split() takes for white space beside the six.
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
+def free(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to clash with no column."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def hash60(value: Column) -> Column:
     """The first 60 bits of the MD5 of a value's text, as a long; null hashes as ''."""
     return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def gapless(df: DataFrame, key: str, order: list[str], total: int, out: str = "slot", per_bucket: int = 50_000) -> DataFrame:
+def gapless(df: DataFrame, key: str, order: list[str], total: int, out: str = "slot", per_bucket: int = 10_000) -> DataFrame:
     """Number the rows of each key 0, 1, 2, ... in the order of ``order``.
 
     ``order[0]`` is a long that spreads evenly over [0, 2**60), so its top bits split a key into
