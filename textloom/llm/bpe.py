@@ -48,7 +48,8 @@ class WordBpe:
         self.alphabet = byte_alphabet()
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.max_words = max_words
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known_ids: dict[str, str] = {}
+        self.known_texts: dict[str, str] = {}
 
     # encoding of distinct words -------------------------------------------------------------
 
@@ -114,12 +115,14 @@ class WordBpe:
         return out
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.max_words:
-            self.known.clear()  # bounded memory; words of this batch are encoded again
+        new = [w for w in words if w not in self.known_ids]
+        if len(self.known_ids) + len(new) > self.max_words:
+            self.known_ids.clear()  # bounded memory; words of this batch are encoded again
+            self.known_texts.clear()
             new = list(words)
         for w, ids in zip(new, self.merge_all(new), strict=True):
-            self.known[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.text_of[i] for i in ids))
+            self.known_ids[w] = " ".join(map(str, ids))
+            self.known_texts[w] = " ".join([self.text_of[i] for i in ids])
 
     # texts ----------------------------------------------------------------------------------
 
@@ -139,8 +142,16 @@ class WordBpe:
         self.learn({w for pieces in split for s, ws in pieces if not s for w in ws})
         out = []
         for pieces in split:
-            found = [(1, str(self.special[w]), w) if s else self.known[w] for s, ws in pieces for w in ws]
-            out.append((sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])))
+            ids, decoded = [], []
+            for special, ws in pieces:
+                if special:
+                    ids.append(str(self.special[ws[0]]))
+                    decoded.append(ws[0])
+                elif ws:
+                    ids.append(" ".join(map(self.known_ids.__getitem__, ws)))
+                    decoded.append(" ".join(map(self.known_texts.__getitem__, ws)))
+            joined = " ".join(ids)
+            out.append((joined.count(" ") + 1 if joined else 0, joined, " ".join(decoded)))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -153,6 +164,17 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+_loaded: dict[str, WordBpe] = {}
+
+
+def loaded(path: str) -> WordBpe:
+    """One encoder a worker process and file: its words outlive the task. Memory stays bounded by ``max_words``."""
+    if path not in _loaded:
+        with open(path, encoding="utf-8") as f:
+            _loaded[path] = WordBpe(json.load(f))
+    return _loaded[path]
+
+
 def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", batch: int = 200) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (decimal, joined by spaces), decoded.
 
@@ -166,8 +188,7 @@ def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id",
     name = vocab_path.rsplit("/", 1)[-1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(SparkFiles.get(name), encoding="utf-8") as f:
-            bpe = WordBpe(json.load(f))
+        bpe = loaded(SparkFiles.get(name))
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
