@@ -200,7 +200,7 @@ def test_page_furniture_and_cleaning(spark):
 
 
 def test_english_filter(spark):
-    vocab = F.array(*[F.lit(w) for w in "the rules of this service".split()])
+    vocab = "the rules of this service".split()
     reason = lambda t: one(spark, cleaning.english_reason(F.lit(t), vocab))
     assert reason("the rules") is None and reason("bad � char") == "replacement_character"
     assert reason("यह हिन्दी वाक्य है") == "devanagari" and reason("zxq wvut plmk") == "not_english" and reason("12 34") == "not_english"

@@ -58,20 +58,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokens("question")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_scores(corpus: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75, small_batch: int = 200_000) -> DataFrame:
     """(query_id, id, score) of every matching pair; the idf is that of the whole corpus.
 
     Only the postings of asked terms are kept: the set of distinct query terms filters the
-    exploded tokens before anything is shuffled. Adaptive execution broadcasts it by its size.
+    exploded tokens before anything is shuffled. A batch of up to ``small_batch`` query terms is
+    counted and then broadcast; a larger one is joined by shuffles.
     """
     check_parameters(k1, b)
     asked = query_terms(queries)
+    small = asked.limit(small_batch + 1).count() <= small_batch
     docs = corpus.select("id", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
     flat = docs.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    postings = flat.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = asked.select("term").distinct()
+    postings = flat.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return _score(postings, df, stats, asked, k1, b)
+    return _score(postings, df, stats, asked, k1, b, small)
 
 
 def search_index(index: LexicalIndex, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -79,9 +82,9 @@ def search_index(index: LexicalIndex, queries: DataFrame, *, k1: float = 1.5, b:
     return _score(index.postings, index.term_stats, index.corpus_stats, query_terms(queries), k1, b)
 
 
-def _score(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
+def _score(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k1: float, b: float, small: bool = False) -> DataFrame:
     weights = asked.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", "avg_len", (F.col("qn") * S.idf(F.col("n"), F.col("df"))).alias("w"))  # stats has one row
-    hits = postings.join(weights, "term")
+    hits = postings.join(F.broadcast(weights) if small else weights, "term")
     part = F.col("w") * S.saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

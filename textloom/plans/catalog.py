@@ -531,7 +531,7 @@ er AS (SELECT doc_id, source, text, CASE WHEN contains(text, '�') THEN 'replac
 
 def known_words(spark: SparkSession, d: str):
     """The corpus's 100 commonest words stand in for a word list, which is a parameter."""
-    return F.array(*[F.lit(r["word"]) for r in vocabulary_topn(spark, d).collect()])
+    return [r["word"] for r in vocabulary_topn(spark, d).collect()]
 
 
 @query(f"{ENGLISH} SELECT doc_id, reason FROM er")

@@ -11,7 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name. One of a few files that would leave cores idle is dealt out once; a large one never is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if 2_000_000 <= size <= 64_000_000 * cores and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 _local: list[str] = []
