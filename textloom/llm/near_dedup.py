@@ -148,10 +148,10 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = written(large.filter("a != b").distinct(), "cc-large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         joined = large.join(low, "a")
         small = joined.select("a", F.col("m").alias("b")).unionAll(joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))
         edges = written(small.filter("a != b").distinct(), "cc-small")
