@@ -11,16 +11,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.tables import table
+
+__all__ = ["WS", "drop_path", "free", "gapless", "hash60", "scratch_path", "shared_dir", "table", "words_of", "written"]
+
 #: ASCII white space, as the contracts define it.
 WS = r"[\x20\x09-\x0D]+"
 
 _scratch: list[tuple[SparkSession, str]] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
