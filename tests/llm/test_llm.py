@@ -306,6 +306,36 @@ def test_components(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_dedup_links_every_pair_of_a_large_bucket(spark):
+    rng = random.Random(12)
+
+    def changed(ws, n):
+        out = list(ws)
+        for at in rng.sample(range(len(ws)), n):
+            out[at] = f"x{rng.randrange(10**7)}"
+        return out
+
+    hub = [f"h{i}" for i in range(200)]
+    rows = [(70, " ".join(hub), "en", "s", 1)] + [(i, " ".join(changed(hub, 24)), "en", "s", 1) for i in range(71, 130)]
+    version = [f"v{i}" for i in range(100)]
+    for i in range(200, 240):  # a chain: neighbours are similar, its ends are not
+        rows.append((i, " ".join(version), "en", "s", 1))
+        version = changed(version, 4)
+    rng.shuffle(rows)
+    by_rows = {g.doc_id: g for g in near_dedup.near_dedup(docs(spark, rows), small=10**6).collect()}
+    by_blocks = {g.doc_id: g for g in near_dedup.near_dedup(docs(spark, rows), small=3, block=5).collect()}
+    assert by_blocks == by_rows
+    assert len({by_rows[i].class_id for i in range(200, 240)}) == 1 and sum(g.n_links for g in by_rows.values()) > 2 * len(rows)
+
+
+def test_compare_decides_every_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 30, 40, dtype=np.uint32)
+    texts = [np.delete(np.where(rng.random(40) < 0.06, rng.integers(0, 30, 40), base).astype(np.uint32), rng.integers(0, 40, rng.integers(0, 6))) for _ in range(50)]
+    got = near_dedup.compare(texts, np.ones((50, 50), dtype=bool), 0.8)
+    assert all(got[i, j] == near_dedup.similar(texts[i], texts[j], 0.8) for i in range(50) for j in range(50) if i != j) and 100 < got.sum() < 2400
+
+
 # ------------------------------------------------------------------ 1 nearest neighbours
 
 

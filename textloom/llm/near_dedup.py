@@ -71,16 +71,21 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
-    """Is the edit distance of two sequences at most ``limit``? Alignment in the band of ``limit`` diagonals each side.
+    """Is the edit distance of two sequences at most ``limit``?"""
+    return edits(a, b, limit) <= limit
+
+
+def edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """So many edits turn ``a`` into ``b``, though fewer may do; ``limit`` + 1 if ``limit`` edits do not. Alignment in the band of ``limit`` diagonals each side.
 
     Shortcuts that prove an answer come first: lengths, the straight alignment, common ends, and
     the multiset bound. Then the furthest cell on each diagonal of the band is carried from d to
     d + 1 edits, all diagonals at once; equal stretches are crossed 16 words at a time.
     """
     if abs(len(a) - len(b)) > limit:
-        return False
-    if len(a) == len(b) and int((a != b).sum()) <= limit:
-        return True
+        return limit + 1
+    if len(a) == len(b) and (straight := int((a != b).sum())) <= limit:
+        return straight
     m = min(len(a), len(b))
     diff = np.flatnonzero(a[:m] != b[:m])
     lead = int(diff[0]) if len(diff) else m
@@ -91,9 +96,9 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     n, m = len(a), len(b)
     if max(n, m) <= limit:
-        return True
+        return max(n, m)
     if max(n, m) - common_words(a, b) > limit:
-        return False
+        return limit + 1
     big, pad_a, pad_b = 16, np.append(a, np.uint32(0)), np.append(b, np.uint32(0))
     blocks_a, blocks_b = _blocks(a, big), _blocks(b, big)
     goal = n - m
@@ -120,8 +125,8 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
                 x[todo] += step
         furthest[lo:hi] = x
         if abs(goal) <= d and furthest[goal + limit + 1] >= n:
-            return True
-    return False
+            return d
+    return limit + 1
 
 
 _block_rollers: dict[int, Roller] = {}
@@ -138,6 +143,52 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return longest == 0 or within(a, b, int((1 - threshold) * longest + 1e-9))
 
 
+def compare(words: list[np.ndarray], open_: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the ``open_`` pairs (a symmetric matrix) are similar, as a symmetric matrix.
+
+    Every pair is decided exactly: by ``edits``, or by two texts' edits to a third one, which
+    together turn the one into the other (the triangle inequality).
+    """
+    n = np.array([len(w) for w in words])
+    longest = np.maximum.outer(n, n)
+    limit = ((1 - threshold) * longest + 1e-9).astype(np.int64)
+    todo = open_ & (np.abs(np.subtract.outer(n, n)) <= limit)
+    np.fill_diagonal(todo, False)
+    out = np.zeros_like(todo)
+    for i in range(len(words)):
+        others = np.flatnonzero(todo[i])
+        if not len(others):
+            continue
+        far = np.full(len(words), 1 << 40)
+        far[others] = [edits(words[i], words[j], int(limit[i, j])) for j in others]
+        near = far <= limit[i]
+        out[i] |= near
+        out[:, i] |= near
+        todo[i] = todo[:, i] = False
+        if near.sum() > 8:
+            both = np.flatnonzero(near)
+            sure = np.add.outer(far[both], far[both]) <= limit[np.ix_(both, both)]
+            at = np.ix_(both, both)
+            out[at] |= todo[at] & sure
+            todo[at] &= ~sure
+    return out
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric matrix a neighbour, or itself, so that these edges connect what the matrix connects."""
+    parent, fresh = np.arange(len(linked)), np.ones(len(linked), dtype=bool)
+    for start in range(len(linked)):
+        if not fresh[start]:
+            continue
+        fresh[start], stack = False, [start]
+        while stack:
+            i = stack.pop()
+            found = np.flatnonzero(linked[i] & fresh)
+            fresh[found], parent[found] = False, i
+            stack.extend(found.tolist())
+    return parent
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, by large-star and small-star.
 
@@ -161,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: int = 2, threshold: float = 0.8, small: int = 12) -> DataFrame:
+def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: int = 2, threshold: float = 0.8, small: int = 12, block: int = 256) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, n_links, kept.
 
     Two texts are near-duplicates if the edit similarity of their word sequences is at least
@@ -170,12 +221,14 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: i
     links of a row's text to other texts.
 
     Copies (equal word sequences) are one text: they are settled by digest, however many there
-    are, and only one of them goes on. Candidates are texts with an equal sketch. In a bucket of
-    up to ``small`` texts all pairs are candidates; in a larger one each text is paired with two
-    leaders, the smallest id and the smallest id hash, so the pairs grow with the bucket and not
-    with its square, and as each of the ``sketches`` buckets draws its own members, texts that are
-    linked to no leader of one meet each other in the others. Every candidate pair is verified on
-    whole texts by ``within``.
+    are, and only one of them goes on. Candidates are all pairs of texts with an equal sketch, and every
+    one is decided on whole texts, by ``edits``. The pairs of buckets of up to ``small`` texts are
+    rows; a larger bucket is cut into blocks of about ``block`` texts by a hash of their ids, and
+    each two blocks meet in one group, whose rows are its texts, not its pairs. A pair that
+    shares several large buckets is decided in that of the smallest key alone. So the rows of a
+    bucket grow with its square over ``block``, the pairs that are decided with its square, and no
+    group is more than about two blocks however hot the bucket; a group gives each of its texts
+    one row: an edge of a spanning forest of its links, and their number.
 
     Null and empty texts form one class. A row with a null id takes no part and comes back as a
     class of its own. Repeated rows of one id share a class, with different texts too; links are
@@ -201,16 +254,16 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: i
     heads = written(real.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "sketches")).alias("h"), F.count(F.lit(1)).alias("copies")).select("d1", "d2", "copies", "h.*"), "near-heads")
 
     spread = heads.select("doc_id", "n", F.explode("sketches").alias("key"))
-    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "n")).alias("l1"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("l2")).filter("size > 1")
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sizes = written(sizes, "near-sizes")  # written, so that both sides of the join are exchanged and a hot bucket can be split
     full = written(spread.join(sizes, "key"), "near-buckets")
-    few = full.filter(F.col("size") <= small).select("key", "doc_id", "n")
-    pairs = few.join(few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn")), "key").filter("doc_id < b").select(F.col("doc_id").alias("a"), F.col("n").alias("an"), "b", "bn")
-    for leader in ("l1", "l2"):
-        star = full.filter(F.col("size") > small).select(F.col(f"{leader}.doc_id").alias("a"), F.col(f"{leader}.n").alias("an"), F.col("doc_id").alias("b"), F.col("n").alias("bn"))
-        pairs = pairs.unionAll(star.filter("a != b"))
-    pairs = pairs.filter(F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-6)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    large = full.filter(F.col("size") > small)
+    own = written(large.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("large")), "near-large")
+    few = full.filter(F.col("size") <= small).join(own, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("large", F.array().cast("array<long>")).alias("large"))
+    few = written(few, "near-few")
+    pairs = few.join(few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("large").alias("bl")), "key").filter(F.col("doc_id") < F.col("b")).filter(~F.arrays_overlap("large", "bl"))
+    pairs = pairs.filter(F.least("n", "bn") >= threshold * F.greatest("n", "bn") - 1e-6)
+    pairs = written(pairs.select(F.col("doc_id").alias("a"), "b").distinct(), "near-pairs")
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -219,7 +272,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: i
                 part = f.iloc[at : at + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "w": [(hashes.of(words_of(t)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in part["text"]]})
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(own.select("doc_id")).distinct()
     texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi")
     words = written(texts.mapInPandas(tokens, "doc_id long, w array<int>").groupBy("doc_id").agg(F.min("w").alias("w")), "near-words")
 
@@ -233,8 +286,30 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: i
     right = words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "wa", "wb")
     links = written(both.mapInPandas(verify, "a long, b long"), "near-links")
-    degree = links.select(F.col("a").alias("doc_id")).unionAll(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("links"))
-    roots = components(links)
+
+    def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(over="ignore"):
+            words = [np.asarray(w, dtype=np.int32).view(np.uint32) for w in f["w"]]
+            x = f["x"].to_numpy()
+            open_ = np.ones((len(f), len(f)), dtype=bool) if key[1] == key[2] else x[:, None] != x[None, :]
+            earlier = [k[: np.searchsorted(k, key[0])] for k in f["large"]]
+            names, which = np.unique(np.concatenate(earlier), return_inverse=True)
+            shared = np.zeros((len(f), len(names)), dtype=np.float32)
+            shared[np.repeat(np.arange(len(f)), [len(k) for k in earlier]), which] = 1
+            shared = shared[:, shared.sum(axis=0) > 1]
+            linked = compare(words, open_ & (shared @ shared.T == 0), threshold)
+            count, ids = linked.sum(axis=1), f["doc_id"].to_numpy()
+            out = pd.DataFrame({"a": ids, "b": ids[forest(linked)], "links": count})
+            return out[count > 0]
+
+    parts = F.ceil(F.col("size") / block).cast("int")
+    cut = large.select("doc_id", "key", parts.alias("parts")).withColumn("x", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("parts")).cast("int"))
+    cut = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("doc_id", "key", "x", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+    groups = cut.join(own.join(words.hint("merge"), "doc_id").hint("merge"), "doc_id").groupBy("key", "p", "q")
+    met = written(groups.applyInPandas(meet, "a long, b long, links long"), "near-met")
+    counted = links.select(F.col("a").alias("doc_id"), F.lit(1).cast("long").alias("links")).unionAll(links.select("b", F.lit(1).cast("long"))).unionAll(met.select("a", "links"))
+    degree = counted.groupBy("doc_id").agg(F.sum("links").alias("links"))
+    roots = components(links.unionAll(met.select("a", "b")))
     labelled = heads.join(roots, heads.doc_id == roots.node, "left").join(degree, "doc_id", "left")
     labelled = written(labelled.select("d1", "d2", "copies", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")), "near-classes")
     size = written(labelled.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "near-class-sizes")
