@@ -462,6 +462,21 @@ def test_edf_keeps_windows_and_shares():
             assert all(abs(seen[x] - counts[x] * (slot + 1) / period) < 1 + 1e-9 for x in counts)
 
 
+def test_every_prefix_of_a_long_schedule_keeps_the_target_weights():
+    blocks = {"big": 5000, "rare": 40} | {f"s{i}": 520 for i in range(19)}
+    weights = {s: float(n) ** 0.5 for s, n in blocks.items()} | {"rare": 0.02}
+    total = sum(weights.values())
+    seen, slots, within = collections.Counter(), 0, True
+    for slot, (s, k, release, deadline) in enumerate(mixing.schedule(blocks, weights)):
+        assert release <= slot < deadline and k == seen[s]
+        seen[s] += 1
+        slots = slot + 1
+        within = within and max(seen[x] / blocks[x] for x in seen) < 0.99  # no source has run out
+        if within:
+            assert all(abs(seen[x] - slots * weights[x] / total) < 1 + 1e-6 for x in blocks)
+    assert seen == blocks and slots == sum(blocks.values())
+
+
 def test_mixing_places_every_row(spark):
     rows = [(i, "t", "en", "hot" if i % 3 == 0 else f"s{i % 7}", 1) for i in range(1500)] + [(None, "x", "en", None, 1), (4, "again", "en", "hot", 1)]
     got = mixing.mix(clashing(docs(spark, rows)), block=4, period=50, weights={"s1": 30.0, "s2": 60.0}).collect()

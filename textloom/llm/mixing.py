@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import gapless, hash60, table
+from textloom.llm.common import gapless, hash60, scratch_path, table
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -27,94 +32,79 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def windows(count: int, period: int) -> list[tuple[int, int]]:
-    """Release and deadline of each of a source's ``count`` blocks in a period: floor(k/u), ceil((k+1)/u), u = count/period."""
-    return [(k * period // count, -(-(k + 1) * period // count)) for k in range(count)]
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
+    """Slot by slot (source, block, release, deadline), until all ``blocks`` are placed.
 
-
-def edf(counts: dict[str, int], period: int) -> list[tuple[str, int, int, int]]:
-    """Earliest deadline first over the released blocks: slot i holds (source, block, release, deadline).
-
-    Only a source's next block competes, and not before its release. Ties go to the block whose
-    window overlaps the next one's, then to the larger share, then by name, so each block meets its window and
-    every prefix of slots holds each source's due share to within one block.
+    The target is the fluid mixture: at any time the sources that have something left share it by
+    their exact weights. Block k of a source flows from virtual time k/w to (k+1)/w; its release
+    and deadline are the slots in which that begins and ends, in whole-number arithmetic, so
+    nothing is rounded to a period and no error adds up. The fluid mixture shows that all windows
+    can be met, and earliest deadline first among the released blocks then meets them: every prefix holds
+    each source's target to within one block, to the last slot. Time is that of one heap step a block.
     """
-    plan = {s: windows(c, period) for s, c in counts.items()}
-    waiting = [(0, s, 0) for s in plan]
+    n = {s: c for s, c in blocks.items() if c > 0}
+    exact = {s: Fraction(weights[s]) for s in n}
+    scale = math.lcm(*(w.denominator for w in exact.values())) if n else 1
+    w = {s: int(x * scale) for s, x in exact.items()}
+    order = sorted(n, key=lambda s: Fraction(n[s], w[s]))
+    ends = [Fraction(n[s], w[s]) for s in order]  # when a source runs out
+    gone, active = [0], [sum(w.values())]  # blocks of those that have, and the weight of the others
+    for s in order:
+        gone.append(gone[-1] + n[s])
+        active.append(active[-1] - w[s])
+    stage = dict.fromkeys(n, 0)
+
+    def slots(s: str, k: int) -> tuple[int, int]:
+        """The slots that hold the moment k/w: its floor and its ceiling."""
+        i = stage[s]
+        if i < len(ends) and ends[i].numerator * w[s] <= k * ends[i].denominator:
+            i = stage[s] = bisect.bisect_right(ends, Fraction(k, w[s]))
+        return gone[i] + k * active[i] // w[s], gone[i] - (-k * active[i] // w[s])
+
+    waiting = [(0, s, 0) for s in n]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int, str, int]] = []
-    out = []
-    for slot in range(period):
+    ready: list[tuple[int, str, int, int]] = []
+    for slot in range(sum(n.values())):
         while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            release, deadline = plan[s][k]
-            overlap = k + 1 < len(plan[s]) and plan[s][k + 1][0] < deadline
-            heapq.heappush(ready, (deadline, 0 if overlap else 1, -counts[s], s, k))
-        deadline, _, _, s, k = heapq.heappop(ready)
-        out.append((s, k, plan[s][k][0], deadline))
-        if k + 1 < counts[s]:
-            heapq.heappush(waiting, (max(plan[s][k + 1][0], slot + 1), s, k + 1))
-    return out
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (slots(s, k + 1)[1], s, k, release))
+        deadline, s, k, release = heapq.heappop(ready)
+        yield s, k, release, deadline
+        if k + 1 < n[s]:
+            heapq.heappush(waiting, (slots(s, k + 1)[0], s, k + 1))
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple[str, int, int, int, int, int, int]]:
-    """The whole schedule as rows (source, first_block, per_period, index, first_slot, slots_per_period, rounds).
+def edf(counts: dict[str, int], period: int) -> list[tuple[str, int, int, int]]:
+    """The schedule of ``period`` slots in which each source has as many blocks as its weight."""
+    return list(schedule(counts, counts))[:period]
 
-    While the same sources have blocks left, the schedule repeats each ``period`` slots, so one
-    period describes any length: block first_block + r * per_period + index takes slot
-    first_slot + r * slots_per_period + (its place), r < rounds. When a source runs out, the
-    others share its slots by their weights: a new phase. There are at most two phases a source.
-    """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    slot, out = 0, []
-    while left:
-        length = max(period, 4 * len(left)) if len(left) > 1 else 1
-        counts = shares({s: weights[s] for s in left}, length)
-        pattern = edf(counts, length)
-        rounds = min(left[s] // counts[s] for s in left)
-        if rounds:
-            for place, (s, k, _, _) in enumerate(pattern):
-                out.append((s, done[s], counts[s], k, slot + place, length, rounds))
-            slot += length * rounds
-            for s, c in counts.items():
-                done[s] += c * rounds
-                left[s] -= c * rounds
-        left = {s: n for s, n in left.items() if n}
-        if left and rounds == 0 or any(left.get(s, 0) < counts[s] for s in counts) and left:
-            # the period in which the first source runs out: stop right after its last block
-            counts = shares({s: weights[s] for s in left}, length) if len(left) > 1 else {s: 1 for s in left}
-            length = sum(counts.values())
-            pattern = edf(counts, length)
-            used = dict.fromkeys(left, 0)
-            for s, k, _, _ in pattern:
-                if used[s] < left[s]:
-                    out.append((s, done[s] + used[s], 1, 0, slot, 1, 1))
-                    used[s] += 1
-                    slot += 1
-                if any(used[x] == left[x] for x in left):
-                    break
-            for s, u in used.items():
-                done[s] += u
-                left[s] -= u
-            left = {s: n for s, n in left.items() if n}
-    return out
+
+def _written_schedule(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], rows: int = 500_000) -> DataFrame:
+    """(k, b, slot) of each block, written ``rows`` at a time, so the driver never holds the whole."""
+    path, placed, at = scratch_path(spark, "mix-schedule"), schedule(blocks, weights), 0
+    while True:
+        part = list(itertools.islice(placed, rows))
+        columns = {"k": pa.array([p[0] for p in part], pa.string()), "b": pa.array([p[1] for p in part], pa.int64()), "slot": pa.array(range(at, at + len(part)), pa.int64())}
+        spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(path)
+        at += len(part)
+        if len(part) < rows:
+            break
+    return spark.read.schema("k string, b long, slot long").parquet(path)
 
 
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int = 8, period: int = 1000, max_sources: int = 100, exponent: float = 0.5, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Give every row a place in the mixture: doc_id, source, block, slot, place, position.
 
     A source's rows are shuffled by a seeded hash of the id and cut into blocks of ``block`` rows.
-    Block k of a source with share u is released at slot floor(k/u) and due at ceil((k+1)/u);
-    earliest deadline first then interleaves the blocks, so as long as no source has run out,
-    every prefix holds each source's share to within one block. All rows are kept: a source that
-    has run out leaves its slots to the others. position numbers the mixed rows, gapless from 0
+    ``schedule`` interleaves the blocks, so every prefix holds each source's exact share to within
+    one block. All rows are kept: a source that has run out leaves its slots to the others. position numbers the mixed rows, gapless from 0
     up to short last blocks: slot * block + place.
 
     ``weights`` maps sources to target weights; by default, and for sources it does not name, a
     source weighs the ``exponent`` power of its row count. The driver holds one count for each of
     at most ``max_sources`` sources, named ones and then large ones first: the others share the
-    last place as one pool. The schedule that is broadcast has at most two periods of rows a source. A null source is
+    last place as one pool. The schedule is made on the driver, one step a block, and written in
+    pieces; ``period`` no longer changes anything. A null source is
     a source of its own, a null id hashes as ''; repeated rows are rows. Text is not read.
 
     A hot source is never one task's work: rows are numbered in ranges of their hash.
@@ -139,18 +129,9 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
     keyed = rows.join(F.broadcast(keys), rows["source"].eqNullSafe(keys["s"]), "left").drop("s").withColumn("_key", F.coalesce("_key", F.lit(pool)))
     numbered = gapless(keyed, "_key", ["_h", "doc_id"], total, out="_i").withColumn("block", F.floor(F.col("_i") / block)).withColumn("place", F.pmod("_i", F.lit(block)).cast("int"))
 
-    plan = phases({k: -(-n // block) for k, n in counts.items()}, target, period)
-    schedule = spark.createDataFrame(plan or [("", 0, 1, 0, 0, 1, 0)], "k string, first long, per long, idx long, slot0 long, len long, rounds long")
-    # a phase's rows by (source, phase, index in its period): first the phase of a block, then its index
-    spans = schedule.groupBy("k", "first", "per", "rounds").agg(F.count(F.lit(1)).alias("_"))
-    spans = spans.select("k", "first", "per", (F.col("first") + F.col("per") * F.col("rounds")).alias("until"))
-    by_key = spans.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("first", "per", "until"))).alias("spans"))
-    found = numbered.join(F.broadcast(by_key), F.col("_key") == F.col("k")).drop("k")
-    found = found.withColumn("_p", F.element_at(F.filter("spans", lambda s: (s["first"] <= F.col("block")) & (F.col("block") < s["until"])), 1))
-    found = found.withColumn("_first", F.col("_p.first")).withColumn("_idx", F.pmod(F.col("block") - F.col("_p.first"), F.col("_p.per"))).withColumn("_round", F.floor((F.col("block") - F.col("_p.first")) / F.col("_p.per")))
-    placed = found.join(F.broadcast(schedule.select("k", "first", "idx", "slot0", "len")), (F.col("_key") == F.col("k")) & (F.col("_first") == F.col("first")) & (F.col("_idx") == F.col("idx")))
-    slot = F.col("slot0") + F.col("_round") * F.col("len")
-    return placed.select("doc_id", "source", "block", slot.alias("slot"), "place", (slot * block + F.col("place")).alias("position"))
+    plan = _written_schedule(spark, {k: -(-n // block) for k, n in counts.items()}, target)
+    placed = numbered.join(plan, (F.col("_key") == F.col("k")) & (F.col("block") == F.col("b")))
+    return placed.select("doc_id", "source", "block", "slot", "place", (F.col("slot") * block + F.col("place")).alias("position"))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
