@@ -501,6 +501,15 @@ def test_mixing_pools_small_sources(spark):
     assert len({g.position for g in got}) == 500
 
 
+def test_mixing_schedules_every_source(spark):
+    rows = [(i, "t", "en", f"s{i % 130}", 1) for i in range(1300)]
+    got = mixing.mix(docs(spark, rows), block=5, weights={"s129": 1000.0}).collect()
+    assert len({(g.source, g.slot) for g in got}) == len({g.slot for g in got}) == 260
+    assert {g.source for g in got if g.slot < 2} == {"s129"}
+    with pytest.raises(ValueError, match="pool"):
+        mixing.mix(docs(spark, rows), max_sources=2, weights={"s1": 1.0, "s2": 1.0, "s3": 1.0})
+
+
 # ------------------------------------------------------------------ all: empty tables
 
 

@@ -92,7 +92,7 @@ def _written_schedule(spark: SparkSession, blocks: dict[str, int], weights: dict
     return spark.read.schema("k string, b long, slot long").parquet(path)
 
 
-def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int = 8, period: int = 1000, max_sources: int = 100, exponent: float = 0.5, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int = 8, period: int = 1000, max_sources: int | None = None, exponent: float = 0.5, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Give every row a place in the mixture: doc_id, source, block, slot, place, position.
 
     A source's rows are shuffled by a seeded hash of the id and cut into blocks of ``block`` rows.
@@ -101,9 +101,10 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
     up to short last blocks: slot * block + place.
 
     ``weights`` maps sources to target weights; by default, and for sources it does not name, a
-    source weighs the ``exponent`` power of its row count. The driver holds one count for each of
-    at most ``max_sources`` sources, named ones and then large ones first: the others share the
-    last place as one pool. The schedule is made on the driver, one step a block, and written in
+    source weighs the ``exponent`` power of its row count. The driver holds one count a source,
+    and every source has its own blocks. Only a caller that gives ``max_sources`` gets a pool: beyond so many
+    sources, named ones and then large ones first, the others share one place, which weighs what
+    they weigh together; a weight given for one of them is an error. The schedule is made on the driver, one step a block, and written in
     pieces; ``period`` no longer changes anything. A null source is
     a source of its own, a null id hashes as ''; repeated rows are rows. Text is not read.
 
@@ -112,21 +113,23 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
     rows = rows.withColumn("_h", hash60(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    top = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(F.coalesce(F.col("source").isin(list(weights or {})), F.lit(False))), F.desc("n"), "source").limit(max_sources).collect()
-    total = docs.count()
-    names = {r["source"]: i for i, r in enumerate(top)}
-    counts = {f"{i:06d}": r["n"] for i, r in enumerate(top)}
-    pool = f"{len(top):06d}"
-    if total > sum(counts.values()):
-        counts[pool] = total - sum(counts.values())
-    target = {k: n**exponent for k, n in counts.items()}
-    for s, w in (weights or {}).items():
-        if s in names:
-            target[f"{names[s]:06d}"] = float(w)
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    rows = rows.withColumn("_key", key)
+    found = rows.groupBy("source", "_key").agg(F.count(F.lit(1)).alias("n")).collect()
+    named = weights or {}
+    found.sort(key=lambda r: (r["source"] not in named, -r["n"], r["_key"]))
+    total = sum(r["n"] for r in found)
+    own, pooled = found[:max_sources], found[len(found[:max_sources]) :]
+    if lost := sorted(r["source"] for r in pooled if r["source"] in named):
+        raise ValueError(f"weights are given for sources in the pool: {lost[:5]}")
+    counts = {r["_key"]: r["n"] for r in own}
+    target = {r["_key"]: float(named.get(r["source"], r["n"] ** exponent)) for r in own}
+    if pooled:
+        counts["pool"] = sum(r["n"] for r in pooled)
+        target["pool"] = sum(r["n"] ** exponent for r in pooled)
     if any(w <= 0 for w in target.values()):
         raise ValueError("a weight must be positive")
-    keys = spark.createDataFrame([(s, f"{i:06d}") for s, i in names.items()] or [("", pool)], "s string, _key string")
-    keyed = rows.join(F.broadcast(keys), rows["source"].eqNullSafe(keys["s"]), "left").drop("s").withColumn("_key", F.coalesce("_key", F.lit(pool)))
+    keyed = rows.withColumn("_key", F.when(F.col("_key").isin(list(counts)), F.col("_key")).otherwise("pool")) if pooled else rows
     numbered = gapless(keyed, "_key", ["_h", "doc_id"], total, out="_i").withColumn("block", F.floor(F.col("_i") / block)).withColumn("place", F.pmod("_i", F.lit(block)).cast("int"))
 
     plan = _written_schedule(spark, {k: -(-n // block) for k, n in counts.items()}, target)
