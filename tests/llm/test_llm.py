@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -192,6 +193,28 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(v[1] for v in want.values()) > 200
 
 
+def test_run_dedup_removes_every_repeated_run(spark):
+    rng = random.Random(6)
+    rows = [r for r in EDGE if r[0] != 5]
+    for i in range(60):
+        ls = [f"own {rng.randrange(10**6)}" for _ in range(rng.randint(1, 4))]
+        at, start = rng.randint(0, len(ls)), rng.randrange(8)
+        ls[at:at] = [f"passage {j}" for j in range(start, start + rng.randint(1, 4))]
+        rows.append((100 + i, "\n".join(ls), "en", "s", 1))
+    want, seen = {}, set()
+    for i, text, *_ in sorted(rows):
+        ls = (text or "").split("\n")
+        gone = set()
+        for k, pair in enumerate(itertools.pairwise(ls)):
+            gone |= {k, k + 1} if pair in seen else set()
+            seen.add(pair)
+        want[i] = (len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone)) if text is not None else (0, 0, None)
+    got = {g.doc_id: (g.n_lines, g.n_removed, g.kept_text) for g in line_dedup.run_dedup(clashing(docs(spark, rows))).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 80
+    old = {g.doc_id: g.n_removed for g in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert sum(old.values()) < sum(v[1] for v in want.values())
+
+
 # ------------------------------------------------------------------ 4 substring dedup
 
 

@@ -85,7 +85,45 @@ def line_dedup(docs: DataFrame, *, divisor: int = 4, min_lines: int = 2, id_col:
     )
 
 
+def run_dedup(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove every run of at least ``min_lines`` lines that occurred before; columns as in ``line_dedup``.
+
+    All windows of ``min_lines`` adjacent lines take part, so where a run begins does not matter. The first occurrence of
+    a window, by (doc_id, line number), stays; the lines of a later one go if its bytes equal the
+    first's, in its own document too. The first occurrence of any line is never removed. Nulls, empty
+    texts and repeated ids come out as in ``line_dedup``, and texts move in the same merge joins.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    source = base.filter("doc_id IS NOT NULL AND _text IS NOT NULL").withColumn("_lines", F.split("_text", "\n", -1)).filter(F.size("_lines") >= min_lines)
+    cut = lambda at: F.array_join(F.slice("_lines", at, min_lines), "\n")
+    windows = F.transform(F.sequence(F.lit(1), F.size("_lines") - (min_lines - 1)), lambda at: F.struct(at.alias("at"), F.xxhash64(cut(at)).alias("hash"), F.octet_length(cut(at)).alias("n_bytes")))
+    places = written(source.select("doc_id", F.explode(windows).alias("c")).select("doc_id", "c.*").distinct(), "run-places")
+    keys = ["hash", "n_bytes"]
+    firsts = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("_n > 1").drop("_n")
+    firsts = written(firsts, "run-firsts")  # written, so that both sides of the join are exchanged and a hot window can be split
+    repeated = places.join(firsts, keys).withColumn("is_first", F.struct("doc_id", "at") == F.col("first"))
+    wanted = written(repeated.select("doc_id", "at", *keys, "is_first"), "run-wanted")
+
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", *keys, "is_first")).alias("_asked"))
+    texts = source.join(asked.hint("shuffle_merge"), "doc_id").select("doc_id", F.explode(F.transform("_asked", lambda c: F.struct(c["at"].alias("at"), c["hash"].alias("hash"), c["n_bytes"].alias("n_bytes"), c["is_first"].alias("is_first"), cut(c["at"]).alias("window")))).alias("c")).select("doc_id", "c.*")
+    texts = written(texts, "run-texts")
+    originals = texts.filter("is_first").select(*keys, F.col("window").alias("original")).dropDuplicates(keys)
+    gone = texts.filter("NOT is_first").join(originals, keys).filter(F.col("window") == F.col("original"))
+    lines = gone.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))).alias("line"))
+    removed = written(lines.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "run-removed")
+
+    rows = base.withColumn("_lines", F.split("_text", "\n", -1)).join(removed.hint("shuffle_merge"), "doc_id", "left")
+    kept = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i + 1))
+    touched = F.col("_gone").isNotNull()
+    return rows.withColumn("_kept", F.when(touched, kept)).select(
+        "doc_id",
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.when(touched, F.size("_lines") - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias("kept_text"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_sha256 of the text that is left."""
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = run_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
