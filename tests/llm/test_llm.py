@@ -64,6 +64,17 @@ def test_exact_dedup(spark, digest_all):
         assert sorted(tuple(g[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for g in got) == want
     else:
         assert sorted(tuple(g[c] for c in ("doc_id", "keep_id", "group_size", "kept")) for g in got) == [w[:4] for w in want]
+        assert {g.text_sha256 for g in got if g.group_size > 1} == {w[4] for w in want if w[2] > 1}  # survivors only, and of each
+
+
+@pytest.mark.parametrize("digest_all", [True, False])
+def test_exact_dedup_of_null_ids_and_several_texts_of_one_id(spark, digest_all):
+    long = "x" * 300
+    rows = [(None, "same", "en", "s", 1), (None, "same", "en", "s", 1), (3, "same", "en", "s", 1), (4, long + "1", "en", "s", 1), (4, long + "2", "en", "s", 1), (5, long + "2", "en", "s", 1), (None, "alone", "en", "s", 1)]
+    got = collections.Counter((g.doc_id, g.keep_id, g.group_size, g.kept) for g in exact_dedup.exact_dedup(docs(spark, rows), digest_all=digest_all).collect())
+    assert got == {(None, 3, 3, False): 2, (3, 3, 3, True): 1, (4, 4, 1, True): 1, (4, 4, 2, True): 1, (5, 4, 2, False): 1, (None, None, 1, True): 1}
+    kept = exact_dedup.first_of_equal(clashing(docs(spark, rows)))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone"), (3, "same"), (4, long + "1"), (4, long + "2")] and "_n" not in kept.columns
 
 
 # ------------------------------------------------------------------ 6 sharding
@@ -147,72 +158,43 @@ def test_bpe_random_texts_and_bounded_memory(library):
 # ------------------------------------------------------------------ 9 line dedup
 
 
-def brute_lines(rows, divisor=4, least=2):
-    def chunks(text):
-        lines = text.split("\n")
-        h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in lines]
-        out, start = [], 0
-        for i in range(len(lines)):
-            inner = i > 0
-            if inner:
-                a = xxhash.xxh64(h[i - 1].to_bytes(8, "little"), seed=42).intdigest()
-                v = xxhash.xxh64(h[i].to_bytes(8, "little"), seed=a).intdigest()
-                inner = (v - (1 << 64) if v >= 1 << 63 else v) % divisor == 0
-            if inner or i == len(lines) - 1:
-                out.append(lines[start : i + 1])
-                start = i + 1
-        return out
+def brute_lines(rows):
+    """Each row by itself: the lines of every pair of lines that an earlier place holds, by (doc_id, line)."""
+    first = {}
+    for i, text, *_ in rows:
+        if i is not None and text is not None:
+            for k, pair in enumerate(itertools.pairwise(text.split("\n"))):
+                first[pair] = min(first.get(pair, (i, k)), (i, k))
+    out = collections.Counter()
+    for i, text, *_ in rows:
+        if text is None:
+            out[i, 0, 0, None] += 1
+            continue
+        ls = text.split("\n")
+        gone = set() if i is None else {j for k, pair in enumerate(itertools.pairwise(ls)) if first[pair] != (i, k) for j in (k, k + 1)}
+        out[i, len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone)] += 1
+    return out
+
 
-    seen, result = set(), {}
-    for doc_id, text in sorted((r[0], r[1]) for r in rows if r[1] is not None):
-        kept, n, gone = [], 0, 0
-        for c in chunks(text):
-            body = "\n".join(c)
-            n += len(c)
-            if len(c) >= least and body in seen:
-                gone += len(c)
-            else:
-                kept.append(body)
-                if len(c) >= least:
-                    seen.add(body)
-        result[doc_id] = (n, gone, "\n".join(kept))
-    return result
-
-
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("divisor", [1, 2, 4])
+def test_line_dedup_against_brute_force(spark, divisor):
     rng = random.Random(5)
     block = [f"boiler plate {i} of the site" for i in range(12)]
-    rows = [r for r in EDGE if r[0] != 5]
+    rows = [*EDGE, (None, "\n".join(block), "en", "a", 1)]
     for i in range(120):
         own = [f"own line {rng.randrange(10**6)}" for _ in range(rng.randint(0, 9))]
-        at = rng.randint(0, len(own))
-        rows.append((100 + i, "\n".join(own[:at] + (block if i % 2 else []) + own[at:]), "en", "s", 1))
-    got = {g.doc_id: (g.n_lines, g.n_removed, g.kept_text) for g in line_dedup.line_dedup(clashing(docs(spark, rows))).collect()}
+        at, start = rng.randint(0, len(own)), rng.randrange(9)
+        rows.append((100 + i, "\n".join(own[:at] + (block if i % 2 else block[start : start + rng.randint(1, 4)]) + own[at:]), "en", "s", 1))
+    got = collections.Counter((g.doc_id, g.n_lines, g.n_removed, g.kept_text) for g in line_dedup.line_dedup(clashing(docs(spark, rows)), divisor=divisor).collect())
     want = brute_lines(rows)
-    assert {k: v for k, v in got.items() if k != 1} == want and got[1] == (0, 0, None)
-    assert sum(v[1] for v in want.values()) > 200
+    assert got == want and sum(k[2] for k in want) > 300
 
 
-def test_run_dedup_removes_every_repeated_run(spark):
-    rng = random.Random(6)
-    rows = [r for r in EDGE if r[0] != 5]
-    for i in range(60):
-        ls = [f"own {rng.randrange(10**6)}" for _ in range(rng.randint(1, 4))]
-        at, start = rng.randint(0, len(ls)), rng.randrange(8)
-        ls[at:at] = [f"passage {j}" for j in range(start, start + rng.randint(1, 4))]
-        rows.append((100 + i, "\n".join(ls), "en", "s", 1))
-    want, seen = {}, set()
-    for i, text, *_ in sorted(rows):
-        ls = (text or "").split("\n")
-        gone = set()
-        for k, pair in enumerate(itertools.pairwise(ls)):
-            gone |= {k, k + 1} if pair in seen else set()
-            seen.add(pair)
-        want[i] = (len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone)) if text is not None else (0, 0, None)
-    got = {g.doc_id: (g.n_lines, g.n_removed, g.kept_text) for g in line_dedup.run_dedup(clashing(docs(spark, rows))).collect()}
-    assert got == want and sum(v[1] for v in want.values()) > 80
-    old = {g.doc_id: g.n_removed for g in line_dedup.line_dedup(docs(spark, rows)).collect()}
-    assert sum(old.values()) < sum(v[1] for v in want.values())
+def test_line_dedup_judges_each_text_of_a_repeated_id(spark):
+    common, own = [f"common {i}" for i in range(12)], [f"unique {i}" for i in range(12)]
+    rows = [(i, "\n".join(t), "en", "s", 1) for i, t in [(1, common), (7, common), (7, own), (8, own[:3] + ["x"])]]
+    got = collections.Counter((g.doc_id, g.n_removed) for g in line_dedup.line_dedup(docs(spark, rows)).collect())
+    assert got == {(1, 0): 1, (7, 12): 1, (7, 0): 1, (8, 3): 1}
 
 
 # ------------------------------------------------------------------ 4 substring dedup

@@ -8,12 +8,13 @@ import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.sources.tables import table
 
-__all__ = ["WS", "drop_path", "free", "gapless", "hash60", "scratch_path", "shared_dir", "table", "words_of", "written"]
+__all__ = ["WS", "drop_path", "free", "gapless", "hash60", "release", "scratch_path", "shared_dir", "table", "words_of", "written"]
 
 #: ASCII white space, as the contracts define it.
 WS = r"[\x20\x09-\x0D]+"
@@ -45,24 +46,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again.
 
-    The files survive the loss of executors; they go when the session ends.
+    The files survive the loss of executors; they go by ``release`` or when the interpreter ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that no plan to come reads."""
+    for t in tables:
+        drop_path(t.sparkSession, t._scratch)
+        _scratch.remove((t.sparkSession, t._scratch))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+    """Delete a folder, in a stopped session too: the JVM outlives it."""
+    jvm, live = SparkContext._jvm, spark.sparkContext._jsc
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at.getFileSystem(live.hadoopConfiguration() if live else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _scratch:
-        with contextlib.suppress(Exception):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
             drop_path(spark, path)
 
 
@@ -91,12 +102,13 @@ def hash60(value: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def gapless(df: DataFrame, key: str, order: list[str], total: int, out: str = "slot", per_bucket: int = 10_000) -> DataFrame:
+def gapless(df: DataFrame, key: str, order: list[str], total: int, out: str = "slot", per_bucket: int = 1_000) -> DataFrame:
     """Number the rows of each key 0, 1, 2, ... in the order of ``order``.
 
     ``order[0]`` is a long that spreads evenly over [0, 2**60), so its top bits split a key into
-    ranges of about ``per_bucket`` rows or fewer: no task ever sorts a whole key, however hot. A
-    small table of counts per range gives each range its first number.
+    ranges of about ``per_bucket`` rows or fewer: no task ever sorts a whole key, however hot. Rows
+    that are equal in ``order[0]`` (one id many times, null ids) are one range. A small table of
+    counts per range gives each range its first number.
     """
     bits = max(0, (max(1, total) // per_bucket).bit_length())
     bucket = F.shiftright(F.col(order[0]), 60 - bits).cast("int") if bits else F.lit(0)
