@@ -234,16 +234,51 @@ def test_substring_dedup_against_brute_force(spark, batches, window):
     assert got == brute_windows(rows, window)
 
 
-def test_run_index_compacts(spark):
-    index = substring.RunIndex(spark, "test", buckets=2, fanout=2)
+def test_substring_dedup_judges_each_text_of_a_repeated_id(spark):
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(5, [f"a{i}" for i in range(120)] + passage), (5, [f"b{i}" for i in range(5)] + passage), (3, passage), (3, [f"c{i}" for i in range(60)]), (6, [f"c{i}" for i in range(60)]), (None, passage), (7, passage[:49])]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in rows]
+    got = collections.Counter((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in substring.substring_dedup(docs(spark, rows)).collect())
+    want = brute_windows([r for r in rows if r[0] is not None], 50)
+    want[None, 60, 0, sha(" ".join(passage))] += 1
+    assert got == want and sum(k[2] for k in want) == 180
+
+
+def test_run_index_compacts(spark, tmp_path):
+    index = substring.RunIndex(spark, "test", f"file://{tmp_path}", buckets=2, fanout=2)
     for i in range(5):
-        index.add(spark.createDataFrame([(k, 0, 10 * i + k) for k in range(4)], "key long, check long, doc_id long"))
+        index.drop(index.add(spark.createDataFrame([(k, 0, 10 * i + k) for k in range(4)], "key long, check long, doc_id long")))
     assert sorted(r.level for r in index.runs) == [0, 2]
     hits = index.matching(spark.createDataFrame([(3, 0), (9, 0), (1, 7)], "key long, check long"))
     assert sorted((r.key, r.doc_id) for r in hits.collect()) == [(3, 3), (3, 13), (3, 23), (3, 33), (3, 43)]
     index.drop()
 
 
+def test_runs_are_neither_exchanged_nor_sorted_again(spark, tmp_path):
+    index = substring.RunIndex(spark, "test", f"file://{tmp_path}", buckets=8)
+    index.add(spark.range(1000).select(F.col("id").alias("key"), (F.col("id") % 7).alias("check"), F.col("id").alias("doc_id")))
+    with substring._sorted_buckets(spark):
+        plan = index.matching(spark.range(50).select(F.col("id").alias("key"), (F.col("id") % 7).alias("check")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "SortMergeJoin" in plan  # those of the asked keys
+    index.drop()
+
+
+def test_a_later_session_continues_the_index(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(12))
+    first = docs(spark, [(1, f"a b {passage}", "en", "s", 1), (2, "x " * 12, "en", "s", 1)])
+    second = docs(spark, [(3, f"{passage} q r", "en", "s", 1), (4, "x " * 12, "en", "s", 1)])
+    at = f"file://{tmp_path}/index"
+    substring.SubstringDedup(spark, path=at, window=8, buckets=2, fanout=2).add(first)
+    for r in spark.sql("SHOW TABLES").collect():
+        if r.tableName.startswith("textloom_"):
+            spark.sql(f"DROP TABLE {r.tableName}")  # external: the files stay, as after the end of a session
+    with pytest.raises(ValueError, match="archive"):
+        substring.SubstringDedup(spark, path=at, window=8)
+    again = substring.SubstringDedup(spark, path=at, archive=first, window=8, fanout=2)
+    assert {r.doc_id: r.n_removed for r in again.add(second).collect()} == {3: 12, 4: 12}
+    assert [r.level for r in again.anchors.runs] == [1] and again.version == 2
+
+
 # ------------------------------------------------------------------ 3 near dedup
 
 

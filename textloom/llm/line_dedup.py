@@ -101,9 +101,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-p AS (SELECT doc_id, at, l[at] || chr(10) || l[at + 1] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS at FROM d)),
-f AS (SELECT doc_id, at, row_number() OVER (PARTITION BY t ORDER BY doc_id, at) > 1 AS gone FROM p),
-r AS (SELECT doc_id, list(line) AS ls FROM (SELECT DISTINCT doc_id, unnest([at, at + 1]) AS line FROM f WHERE gone) GROUP BY doc_id)
+p AS (SELECT doc_id, pos, l[pos] || chr(10) || l[pos + 1] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS pos FROM d)),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) > 1 AS gone FROM p),
+r AS (SELECT doc_id, list(line) AS ls FROM (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS line FROM f WHERE gone) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(ls), 0)::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN ls IS NULL THEN l ELSE list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(ls, i)), lambda i: l[i]) END, chr(10)), '')) AS kept_sha256
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id

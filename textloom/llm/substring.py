@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import drop_path, scratch_path, table, words_of, written
+from textloom.llm.common import drop_path, release, scratch_path, table, words_of, written
 
 # ---------------------------------------------------------------------------- hashes of words
 
@@ -21,14 +23,14 @@ from textloom.llm.common import drop_path, scratch_path, table, words_of, writte
 class WordHashes(dict):
     """64-bit hashes of words, kept for the frequent ones; forgotten when there are too many."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 500_000, seed: int = 0):
         super().__init__()
-        self.most = most
+        self.most, self.seed = most, seed
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -85,7 +87,7 @@ class Fingerprints:
     def __init__(self, window: int):
         self.window, self.k = window, max(1, window // 2)
         self.first, self.second = Roller(0x9E3779B97F4A7C15), Roller(0xD1B54A32D192ED03)
-        self.words = WordHashes()
+        self.words, self.others = WordHashes(), WordHashes(seed=1)
 
     def anchors(self, h: np.ndarray) -> np.ndarray:
         """The anchor of each window, in order of the windows."""
@@ -93,9 +95,9 @@ class Fingerprints:
             return np.empty(0, dtype=np.uint64)
         return sliding_min(self.first.runs(h, self.k), self.window - self.k + 1)
 
-    def windows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of each window: the fingerprint and its verification."""
-        return self.first.runs(h, self.window), self.second.runs(mix64(h ^ np.uint64(0xA0761D6478BD642F)), self.window)
+    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each window, over word hashes of different seeds: the fingerprint and its verification."""
+        return self.first.runs(self.words.of(words), self.window), self.second.runs(self.others.of(words), self.window)
 
 
 # ---------------------------------------------------------------------------- the index
@@ -103,61 +105,80 @@ class Fingerprints:
 
 @dataclass
 class Run:
-    """An immutable table of (key, check, doc_id), bucketed and sorted by key."""
+    """An immutable table of (key, check, doc_id), bucketed and sorted by (key, check), one file a bucket."""
 
     name: str
     path: str
     level: int
 
 
+@contextlib.contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside take the order of a run's files as given and do not sort them again."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class RunIndex:
     """Sorted immutable runs. New rows become a run of level 0; ``fanout`` runs of a level are compacted into one of the next."""
 
     spark: SparkSession
     kind: str
+    path: str
     buckets: int
     fanout: int = 4
     runs: list[Run] = field(default_factory=list)
 
     def _write(self, rows: DataFrame, level: int) -> Run:
         name = f"textloom_{self.kind}_{uuid.uuid4().hex}"
-        path = scratch_path(self.spark, f"{self.kind}-l{level}")
-        rows.select("key", "check", "doc_id").repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        path = f"{self.path}/{name}"
+        rows = rows.select("key", "check", "doc_id").repartition(self.buckets, "key", "check")
+        rows.write.bucketBy(self.buckets, "key", "check").sortBy("key", "check").option("path", path).saveAsTable(name)
         return Run(name, path, level)
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame) -> list[Run]:
+        """Index ``rows``; the runs that a compaction has replaced come back, to be dropped once the manifest no longer names them."""
         self.runs.append(self._write(rows, 0))
-        level = 0
+        level, replaced = 0, []
         while len(same := [r for r in self.runs if r.level == level]) >= self.fanout:
             merged = self.spark.table(same[0].name)
             for r in same[1:]:
                 merged = merged.unionAll(self.spark.table(r.name))
             self.runs = [r for r in self.runs if r.level != level] + [self._write(merged, level + 1)]
-            for r in same:
-                self.spark.sql(f"DROP TABLE {r.name}")
-                drop_path(self.spark, r.path)
+            replaced += same
             level += 1
+        return replaced
+
+    def attach(self, runs: list[dict]) -> None:
+        """Name the tables of another session's runs in this one."""
+        self.runs = [Run(**r) for r in runs]
+        for r in self.runs:
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {r.name} (key BIGINT, `check` BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (key, `check`) SORTED BY (key, `check`) INTO {self.buckets} BUCKETS LOCATION '{r.path}'")
 
     def matching(self, keys: DataFrame) -> DataFrame | None:
-        """The rows of all runs whose (key, check) is among ``keys``: a merge join with each run."""
+        """The rows of all runs whose (key, check) is among ``keys``: a merge join with each run, which is neither exchanged nor sorted again."""
         out = None
         for r in self.runs:
             hits = self.spark.table(r.name).join(keys.hint("merge"), ["key", "check"], "left_semi")
             out = hits if out is None else out.unionAll(hits)
         return out
 
-    def drop(self) -> None:
-        for r in self.runs:
+    def drop(self, runs: list[Run] | None = None) -> None:
+        for r in self.runs if runs is None else runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {r.name}")
-        self.runs = []
+            drop_path(self.spark, r.path)
+        if runs is None:
+            self.runs = []
 
 
 # ---------------------------------------------------------------------------- the operator
 
-_OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
-
-
 def _sha(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -171,11 +192,14 @@ def _describe(window: int):
                 for text in part["text"]:
                     words = words_of(text)
                     out.append((len(words), _sha(words), np.unique(prints.anchors(prints.words.of(words))).view(np.int64)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_words": [o[0] for o in out], "sha": [o[1] for o in out], "anchors": [o[2] for o in out]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "n_words": [o[0] for o in out], "sha": [o[1] for o in out], "anchors": [o[2] for o in out]})
 
     return run
 
 
+_TOLD = "doc_id long, h long, n_words long, sha string, anchors array<long>"
+
+
 def _window_rows(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prints = Fingerprints(window)
@@ -183,11 +207,11 @@ def _window_rows(window: int):
             for at in range(0, len(f), 100):
                 part, out = f.iloc[at : at + 100], []
                 for text, asked in zip(part["text"], part["asked"], strict=True):
-                    h = prints.words.of(words_of(text))
-                    pos = np.flatnonzero(np.isin(prints.anchors(h), np.asarray(asked, dtype=np.int64).view(np.uint64)))
-                    a, b = prints.windows(h)
+                    words = words_of(text)
+                    pos = np.flatnonzero(np.isin(prints.anchors(prints.words.of(words)), np.asarray(asked, dtype=np.int64).view(np.uint64)))
+                    a, b = prints.windows(words)
                     out.append((a[pos].view(np.int64), b[pos].view(np.int64), pos.astype(np.int32)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "key": [o[0] for o in out], "check": [o[1] for o in out], "pos": [o[2] for o in out]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "key": [o[0] for o in out], "check": [o[1] for o in out], "pos": [o[2] for o in out]})
 
     return run
 
@@ -196,7 +220,7 @@ def _cut(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc_id, text, starts in zip(f["doc_id"], f["text"], f["starts"], strict=True):
+            for doc_id, h, text, starts in zip(f["doc_id"], f["h"], f["text"], f["starts"], strict=True):
                 words = words_of(text)
                 edge = np.zeros(len(words) + 1, dtype=np.int32)
                 starts = np.unique(np.asarray(starts, dtype=np.int64))
@@ -205,48 +229,80 @@ def _cut(window: int):
                 gone = np.cumsum(edge[:-1]) > 0
                 change = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(change[::2], change[1::2], strict=True)]
-                out.append((doc_id, len(words), int(gone.sum()), _sha([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), spans))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+                out.append((doc_id, h, int(gone.sum()), _sha([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), spans))
+            yield pd.DataFrame(out, columns=["doc_id", "h", "n_removed", "kept_sha256", "spans"])
 
     return run
 
 
+_CUT = "doc_id long, h long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+
+
 class SubstringDedup:
     """Incremental: each ``add`` judges one batch against all before it and itself, then indexes it.
 
-    The ids of a batch must lie above those already indexed. ``archive`` holds every document
-    added so far (by default the batches themselves), for the texts that an old anchor newly met
-    has to be read again for.
+    The ids of a batch must lie above those already indexed. The index lives in the folder ``path``
+    (default: a scratch folder), and a manifest there names its runs after every batch: a later
+    session that gives the same ``path`` goes on where the last complete ``add`` ended. ``archive``
+    holds every document added so far, for the texts that an old anchor newly met has to be read
+    again for; within a session it is the batches themselves.
     """
 
-    def __init__(self, spark: SparkSession, *, window: int = 50, buckets: int | None = None, fanout: int = 4):
-        self.window = window
-        buckets = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.copies = RunIndex(spark, "digests", buckets, fanout)
-        self.anchors = RunIndex(spark, "anchors", buckets, fanout)
-        self.archive: DataFrame | None = None
+    def __init__(self, spark: SparkSession, *, path: str | None = None, archive: DataFrame | None = None, window: int = 50, buckets: int | None = None, fanout: int = 4):
+        self.spark, self.window, self.path = spark, window, path or scratch_path(spark, "sub-index")
+        known = self._manifest()
+        if known and known["window"] != window:
+            raise ValueError(f"the index at {self.path} has windows of {known['window']} words")
+        if known and archive is None:
+            raise ValueError("an index that is continued needs the archive of its documents")
+        buckets = known["buckets"] if known else buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.version = known["version"] if known else 0
+        self.copies = RunIndex(spark, "digests", self.path, buckets, fanout)
+        self.anchors = RunIndex(spark, "anchors", self.path, buckets, fanout)
+        if known:
+            self.copies.attach(known["copies"])
+            self.anchors.attach(known["anchors"])
+        self.archive = self._rows(archive) if known else None
+
+    @staticmethod
+    def _rows(docs: DataFrame) -> DataFrame:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).filter("doc_id IS NOT NULL")
+
+    def _manifest(self) -> dict | None:
+        """The last complete manifest: a folder that Spark has marked as written to the end."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        done = sorted(f.getPath().getParent().toString() for f in found or [])
+        return json.loads(self.spark.read.text(done[-1]).first()[0]) if done else None
+
+    def _commit(self) -> None:
+        self.version += 1
+        state = {"version": self.version, "window": self.window, "buckets": self.anchors.buckets, **{i.kind: [asdict(r) for r in i.runs] for i in (self.copies, self.anchors)}}
+        state["copies"] = state.pop("digests")
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:09d}")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        rows = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        told = written(rows.mapInPandas(_describe(self.window), "doc_id long, n_words long, sha string, anchors array<long>"), "sub-told")
+        rows = self._rows(batch)
+        told = written(rows.mapInPandas(_describe(self.window), _TOLD), "sub-told")
         half = lambda at: F.conv(F.substring("sha", at, 15), 16, 10).cast("long")
         keyed = told.withColumn("key", half(1)).withColumn("check", half(17))
 
         # whole copies: only the smallest id of a word sequence is looked at any further
         heads = written(keyed.filter(F.col("n_words") >= self.window).groupBy("key", "check").agg(F.min("doc_id").alias("doc_id")), "sub-heads")
-        older = self.copies.matching(heads.select("key", "check"))
-        fresh = heads if older is None else heads.join(older.select("key", "check").distinct(), ["key", "check"], "left_anti")
-        fresh = written(fresh, "sub-fresh")
+        with _sorted_buckets(self.spark):
+            older = self.copies.matching(heads.select("key", "check"))
+            fresh = heads if older is None else heads.join(older.select("key", "check").distinct(), ["key", "check"], "left_anti")
+            fresh = written(fresh, "sub-fresh")
         is_fresh = keyed.join(fresh.withColumnRenamed("doc_id", "_head"), ["key", "check"], "left").withColumn("fresh", (F.col("n_words") < self.window) | F.col("_head").eqNullSafe(F.col("doc_id")))
-        judged = written(is_fresh.select("doc_id", "n_words", "sha", "anchors", "key", "check", "fresh"), "sub-judged")
+        judged = written(is_fresh.select("doc_id", "h", "n_words", "sha", "anchors", "fresh"), "sub-judged")
 
         # anchors that stand in two documents, this batch's or older ones
-        new = judged.filter("fresh").select(F.explode("anchors").alias("key"), "doc_id").distinct().withColumn("check", F.lit(0).cast("long"))
-        by_key = new.groupBy("key", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        met = written(by_key, "sub-met")
-        old = self.anchors.matching(met.select("key", "check"))
-        if old is not None:
-            old = written(old, "sub-old")
+        new = judged.filter("fresh").select(F.explode("anchors").alias("key"), F.lit(0).cast("long").alias("check"), "doc_id").distinct()
+        met = written(new.groupBy("key", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "sub-met")
+        with _sorted_buckets(self.spark):
+            old = self.anchors.matching(met.select("key", "check"))
+            old = old if old is None else written(old, "sub-old")
         shared = met.filter("lo < hi").select("key")
         if old is not None:
             shared = shared.unionAll(old.select("key")).distinct()
@@ -255,58 +311,63 @@ class SubstringDedup:
         if old is not None:
             asked = asked.unionAll(old.select("doc_id", "key"))
         asked = asked.groupBy("doc_id").agg(F.collect_set("key").alias("asked"))
-        known = rows.filter("doc_id IS NOT NULL") if self.archive is None else self.archive.unionAll(rows)
-        texts = written(known.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked"), "sub-texts")
+        known = rows if self.archive is None else self.archive.unionAll(rows)
+        texts = written(known.join(asked.hint("merge"), "doc_id").select("doc_id", "h", "text", "asked"), "sub-texts")
 
         # exact judgement of the windows that hold a shared anchor
-        spots = texts.mapInPandas(_window_rows(self.window), "doc_id long, key array<long>, check array<long>, pos array<int>")
-        spots = written(spots.select("doc_id", F.explode(F.arrays_zip("key", "check", "pos")).alias("w")).select("doc_id", "w.key", "w.check", "w.pos"), "sub-spots")
+        spots = texts.mapInPandas(_window_rows(self.window), "doc_id long, h long, key array<long>, check array<long>, pos array<int>")
+        spots = written(spots.select("doc_id", "h", F.explode(F.arrays_zip("key", "check", "pos")).alias("w")).select("doc_id", "h", "w.key", "w.check", "w.pos"), "sub-spots")
         first = spots.groupBy("key", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
         first = written(first.select("key", "check", "lo"), "sub-first")
-        gone = spots.join(first.hint("merge"), ["key", "check"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
-        mine = judged.filter("fresh").select("doc_id")
-        touched = written(texts.join(gone.hint("merge"), "doc_id").join(mine.hint("merge"), "doc_id", "left_semi").select("doc_id", "text", "starts").mapInPandas(_cut(self.window), _OUT), "sub-cut")
+        uid = ["doc_id", "h"]
+        gone = spots.join(first.hint("merge"), ["key", "check"]).filter("doc_id > lo").groupBy(*uid).agg(F.collect_set("pos").alias("starts"))
+        mine = judged.filter("fresh").select(*uid)
+        touched = texts.join(gone.hint("merge"), uid).join(mine.hint("merge"), uid, "left_semi").select(*uid, "text", "starts").mapInPandas(_cut(self.window), _CUT)
+        touched = written(touched.dropDuplicates(uid), "sub-cut")
 
         none = F.lit(_sha([]))
-        cut = touched.select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n"), F.col("n_removed").alias("_r"), F.col("kept_sha256").alias("_s"), F.col("spans").alias("_spans")).distinct()
-        whole = judged.join(cut, (judged.doc_id == F.col("_id")) & (judged.n_words == F.col("_n")) & F.col("fresh"), "left")
+        whole = judged.join(touched, uid, "left")
         all_gone = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
         out = whole.select(
             "doc_id", "n_words",
-            F.when(~F.col("fresh"), F.col("n_words")).otherwise(F.coalesce("_r", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(~F.col("fresh"), none).otherwise(F.coalesce("_s", "sha")).alias("kept_sha256"),
-            F.when(~F.col("fresh"), all_gone).otherwise(F.coalesce("_spans", F.slice(all_gone, 1, 0))).alias("spans"),
+            F.when(~F.col("fresh"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(~F.col("fresh"), none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+            F.when(~F.col("fresh"), all_gone).otherwise(F.coalesce("spans", F.slice(all_gone, 1, 0))).alias("spans"),
         )
         out = written(out, "sub-out")
-        self.copies.add(fresh)
-        self.anchors.add(new)
-        self.archive = rows if self.archive is None else self.archive.unionAll(rows)
+        replaced = [(i, i.add(rows_)) for i, rows_ in ((self.copies, fresh), (self.anchors, new))]
+        self._commit()
+        for index, runs in replaced:
+            index.drop(runs)
+        self.archive = known
+        release(told, heads, fresh, judged, met, shared, texts, spots, first, touched, *([] if old is None else [old]))
         return out
 
 
-def substring_dedup(docs: DataFrame, *, window: int = 50, batches: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, window: int = 50, batches: int = 3, fanout: int = 2) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, spans (the word ranges removed).
 
     Words are runs of anything but ASCII white space. A word goes if a window of ``window`` words
     around it has the same words as one that starts in a document of smaller id; windows are
     judged on the input. The documents enter in ``batches`` ranges of ids, each judged against the
-    index of all before.
+    index of all before; with the defaults the third batch meets a compacted run.
 
     The index holds, for every window, the smallest hash of the half-window runs inside it (its
     anchor): equal windows have equal anchors, so a window that recurs has an anchor that recurs.
-    Where one does, the windows around it are hashed in full, verified by a second independent
-    64-bit hash, and compared by their smallest document. Whole copies are settled by digest first.
-    Very common passages meet in aggregates with map-side combine and in joins that adaptive
+    Where one does, the windows around it are hashed in full, verified by a second 64-bit hash over
+    other word hashes, and compared by their smallest document. Whole copies are settled by digest
+    first. Very common passages meet in aggregates with map-side combine and in joins that adaptive
     execution can split; no group is ever gathered in one task.
 
-    Null and empty texts have no words; texts shorter than the window lose nothing. Repeated rows
-    of one id are the same document and do not remove each other. A row with a null id comes back
-    whole. Other columns are not read.
+    Null and empty texts have no words; texts shorter than the window lose nothing. One id may have
+    several texts: each is judged by itself, by (doc_id, text hash), and none of them removes
+    words of another. Equal rows come out equal. A row with a null id comes back whole. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    index = SubstringDedup(spark, window=window)
+    index = SubstringDedup(spark, window=window, fanout=fanout)
     edges = [None, *sorted(set(cuts or [])), None]
     out = None
     for lo, hi in zip(edges, edges[1:], strict=False):
@@ -317,7 +378,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, batches: int = 2) -> D
         out = got if out is None else out.unionAll(got)
     index.copies.drop()
     index.anchors.drop()
-    rest = rows.filter("doc_id IS NULL").mapInPandas(_describe(window), "doc_id long, n_words long, sha string, anchors array<long>")
+    rest = rows.filter("doc_id IS NULL").withColumn("h", F.xxhash64("text")).mapInPandas(_describe(window), _TOLD)
     none = F.array().cast("array<struct<start:int,end:int>>")
     return out.unionAll(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none.alias("spans")))
 
