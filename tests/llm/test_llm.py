@@ -317,7 +317,7 @@ def test_near_dedup_against_all_pairs(spark):
             for _ in range(rng.randint(0, 2)):
                 ws[rng.randrange(len(ws))] = f"new{rng.randrange(10**6)}"
             rows.append((100 * g + c + 50, " ".join(ws), "en", "s", 1))
-    got = near_dedup.near_dedup(clashing(docs(spark, rows)), small=4).collect()
+    got = near_dedup.near_dedup(clashing(docs(spark, rows))).collect()
     assert len(got) == len(rows)
     texts = {r[0]: words_of(r[1]) for r in rows}
     root = {i: i for i in texts}
@@ -346,34 +346,82 @@ def test_components(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_dedup_links_every_pair_of_a_large_bucket(spark):
-    rng = random.Random(12)
+def changed(rng, ws, n):
+    out = list(ws)
+    for at in rng.sample(range(len(ws)), n):
+        out[at] = f"x{rng.randrange(10**7)}"
+    return out
 
-    def changed(ws, n):
-        out = list(ws)
-        for at in rng.sample(range(len(ws)), n):
-            out[at] = f"x{rng.randrange(10**7)}"
-        return out
 
+def test_near_dedup_finds_scattered_edits_near_the_threshold(spark):
+    """Of pairs at an edit similarity of 0.80 to 0.85, at every length, nine in ten and more share a class."""
+    rng = random.Random(21)
+    rows, i = [], 0
+    for n in (10, 30, 60, 100, 124, 130, 200, 400):
+        for _ in range(40):
+            base = [f"w{rng.randrange(20_000)}" for _ in range(n)]
+            for ws in (base, changed(rng, base, int(n * rng.uniform(0.15, 0.2)))):
+                rows.append((i, " ".join(ws), "en", "s", 1))
+                i += 1
+    cls = {g.doc_id: g.class_id for g in near_dedup.near_dedup(docs(spark, rows)).collect()}
+    found = [cls[j + 1] == j for j in range(0, i, 2)]
+    assert all(c in (j, j - j % 2) for j, c in cls.items())  # and nothing else is linked
+    assert min(np.mean(found[g : g + 40]) for g in range(0, len(found), 40)) >= 0.85 and np.mean(found) >= 0.95
+
+
+def test_near_dedup_decides_every_pair_of_a_large_bucket(spark):
+    """A hub with variants that are not alike, a chain of versions, and texts that share a long passage only."""
+    rng = random.Random(12)
     hub = [f"h{i}" for i in range(200)]
-    rows = [(70, " ".join(hub), "en", "s", 1)] + [(i, " ".join(changed(hub, 24)), "en", "s", 1) for i in range(71, 130)]
+    rows = [(70, " ".join(hub), "en", "s", 1)] + [(i, " ".join(changed(rng, hub, 24)), "en", "s", 1) for i in range(71, 130)]
     version = [f"v{i}" for i in range(100)]
-    for i in range(200, 240):  # a chain: neighbours are similar, its ends are not
+    for i in range(200, 240):
         rows.append((i, " ".join(version), "en", "s", 1))
-        version = changed(version, 4)
+        version = changed(rng, version, 4)
+    passage = [f"p{i}" for i in range(60)]
+    for i in range(300, 400):
+        rows.append((i, " ".join(passage + [f"own{rng.randrange(10**7)}" for _ in range(rng.randint(25, 60))]), "en", "s", 1))
     rng.shuffle(rows)
-    by_rows = {g.doc_id: g for g in near_dedup.near_dedup(docs(spark, rows), small=10**6).collect()}
-    by_blocks = {g.doc_id: g for g in near_dedup.near_dedup(docs(spark, rows), small=3, block=5).collect()}
-    assert by_blocks == by_rows
-    assert len({by_rows[i].class_id for i in range(200, 240)}) == 1 and sum(g.n_links for g in by_rows.values()) > 2 * len(rows)
+    cls = {g.doc_id: g.class_id for g in near_dedup.near_dedup(docs(spark, rows)).collect()}
+    assert {cls[i] for i in range(70, 130)} == {70} and {cls[i] for i in range(200, 240)} == {200}
+    assert all(cls[i] == i for i in range(300, 400))
+
+
+def test_near_dedup_step_3_joins_what_no_leader_met(spark, monkeypatch):
+    """With the leaders' links lost, the exact join alone finds every link of texts that share a bucket."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(changed(rng, base, 9)), "en", "s", 1) for i in range(30)]
+    real, calls = near_dedup.components, []
 
+    def lossy(edges):
+        calls.append(edges)
+        return real(edges.limit(0) if len(calls) < 3 else edges)
 
-def test_compare_decides_every_pair():
+    monkeypatch.setattr(near_dedup, "components", lossy)
+    got = near_dedup.near_dedup(docs(spark, rows)).collect()
+    assert len(calls) == 3 and len({g.class_id for g in got}) <= 2 and collections.Counter(g.class_id for g in got).most_common(1)[0][1] >= 29
+
+
+def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
+    a, b = [f"a{i}" for i in range(50)], [f"b{i}" for i in range(50)]
+    rows = [(1, a), (5, b), (5, a[:-1]), (6, b[:-1]), (None, a)]
+    got = near_dedup.near_dedup(docs(spark, [(i, " ".join(w), "en", "s", 1) for i, w in rows]))
+    got = sorted((g.doc_id or 0, g.class_id or 0, g.class_size, g.kept) for g in got.collect())
+    assert got == [(0, 0, 1, True), (1, 1, 2, True), (5, 1, 2, False), (5, 5, 2, True), (6, 5, 2, False)]
+
+
+def test_similar_texts_share_a_rare_gram():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 30, 40, dtype=np.uint32)
-    texts = [np.delete(np.where(rng.random(40) < 0.06, rng.integers(0, 30, 40), base).astype(np.uint32), rng.integers(0, 40, rng.integers(0, 6))) for _ in range(50)]
-    got = near_dedup.compare(texts, np.ones((50, 50), dtype=bool), 0.8)
-    assert all(got[i, j] == near_dedup.similar(texts[i], texts[j], 0.8) for i in range(50) for j in range(50) if i != j) and 100 < got.sum() < 2400
+    omh, counts = near_dedup.OrderMinHash(2, 1, 1), rng.integers(0, 9, 64)
+    with np.errstate(over="ignore"):
+        for _ in range(400):
+            n = int(rng.integers(1, 60))
+            a = rng.integers(0, 30, n, dtype=np.uint64)
+            b = np.delete(np.where(rng.random(n) < 0.1, rng.integers(0, 30, n, dtype=np.uint64), a), rng.integers(0, n, int(rng.integers(0, 5))))
+            if len(b) and near_dedup.similar(a, b, 0.8):
+                first = [set(near_dedup.rare_first(omh.labelled(near_dedup.mix64(x)), counts)[: near_dedup.prefix_length(len(x), 0.8)].tolist()) for x in (a, b)]
+                assert first[0] & first[1]
 
 
 # ------------------------------------------------------------------ 1 nearest neighbours

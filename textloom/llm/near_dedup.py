@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, words_of, written
+from textloom.llm.common import release, table, words_of, written
 from textloom.llm.substring import Roller, WordHashes, mix64
 
 
@@ -21,7 +21,7 @@ class OrderMinHash:
 
     def __init__(self, k: int, sketches: int, tuple_size: int, seed: int = 11):
         self.k, self.tuple_size = k, tuple_size
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng((seed, k))
         self.seeds = rng.integers(1, 2**63, sketches, dtype=np.uint64)
         self.odd = rng.integers(1, 2**63, sketches, dtype=np.uint64) | np.uint64(1)
         self.roller = Roller(0x9E3779B97F4A7C15)
@@ -39,23 +39,55 @@ class OrderMinHash:
         number[order] = (np.arange(len(grams)) - starts[np.cumsum(head) - 1]).astype(np.uint64)
         return mix64(grams + number * np.uint64(0x9E3779B97F4A7C15))
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """One value per sketch; none for a text without words."""
-        x = self.labelled(h)
-        if not len(x):
-            return np.empty(0, dtype=np.uint64)
-        out = np.empty(len(self.seeds), dtype=np.uint64)
-        n = min(self.tuple_size, len(x))
+    def of(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each text, given as word hashes, one value per sketch; none for a text without words.
+
+        All texts lie in one array: a sketch takes ``tuple_size`` passes over it, each of which finds
+        every text's smallest value that is left.
+        """
+        out = [np.empty(0, dtype=np.uint64)] * len(texts)
+        which = [i for i, h in enumerate(texts) if len(h)]
+        if not which:
+            return out
+        grams = [self.labelled(texts[i]) for i in which]
+        sizes = np.array([len(g) for g in grams])
+        x, starts, owner = np.concatenate(grams), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(which)), sizes)
+        values = np.empty((len(which), len(self.seeds)), dtype=np.uint64)
         for j, (seed, odd) in enumerate(zip(self.seeds, self.odd, strict=True)):
             v = (x ^ seed) * odd
             v ^= v >> np.uint64(32)
-            at = np.sort(np.argpartition(v, n - 1)[:n]) if n < len(v) else np.arange(n)
-            value = np.uint64(j)
-            for p in at:
-                value = (value * np.uint64(0x9E3779B97F4A7C15)) ^ v[p]
+            places, least = np.empty((self.tuple_size, len(which)), dtype=np.int64), np.empty((self.tuple_size, len(which)), dtype=np.uint64)
+            for r in range(self.tuple_size):
+                least[r] = np.minimum.reduceat(v, starts)
+                hit = np.flatnonzero(v == least[r][owner])[::-1]
+                places[r][owner[hit]] = hit  # the first place of each text's smallest value
+                v[hit] = _MOST
+            least = np.take_along_axis(least, np.argsort(places, axis=0, kind="stable"), axis=0)
+            value = np.full(len(which), j + 1000 * self.k, dtype=np.uint64)
+            for part in least:
+                value = (value * np.uint64(0x9E3779B97F4A7C15)) ^ part
                 value ^= value >> np.uint64(29)
-            out[j] = value
-        return mix64(out)
+            values[:, j] = value
+        for i, row in zip(which, mix64(values), strict=True):
+            out[i] = row
+        return out
+
+
+_MOST = np.uint64(2**64 - 1)
+
+
+class Sketcher:
+    """Sketches of ``k``-word k-mers; texts of under ``short`` words have some of two-word k-mers too.
+
+    A change of one word changes up to k k-mers, so short texts may share too few long ones.
+    """
+
+    def __init__(self, k: int, sketches: int, tuple_size: int, short: int = 125):
+        self.long, self.brief, self.short = OrderMinHash(k, sketches, tuple_size), OrderMinHash(2, max(1, sketches // 2), tuple_size), short
+
+    def of(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        brief = self.brief.of([h if len(h) < self.short else h[:0] for h in texts])
+        return [np.concatenate(pair) for pair in zip(self.long.of(texts), brief, strict=True)]
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -99,7 +131,7 @@ def edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
         return max(n, m)
     if max(n, m) - common_words(a, b) > limit:
         return limit + 1
-    big, pad_a, pad_b = 16, np.append(a, np.uint32(0)), np.append(b, np.uint32(0))
+    big, pad_a, pad_b = 16, np.append(a, a[:1] * 0), np.append(b, b[:1] * 0)
     blocks_a, blocks_b = _blocks(a, big), _blocks(b, big)
     goal = n - m
     # furthest[k + limit + 1]: the most words of a used on diagonal k = i - j after d edits
@@ -143,50 +175,19 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return longest == 0 or within(a, b, int((1 - threshold) * longest + 1e-9))
 
 
-def compare(words: list[np.ndarray], open_: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the ``open_`` pairs (a symmetric matrix) are similar, as a symmetric matrix.
+def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes in the order of their slot's count, ties by hash: one order for all texts, rare ones first."""
+    return grams[np.lexsort((grams, counts[(grams >> np.uint64(40)).astype(np.int64) % len(counts)]))]
+
 
-    Every pair is decided exactly: by ``edits``, or by two texts' edits to a third one, which
-    together turn the one into the other (the triangle inequality).
+def prefix_length(n: int, threshold: float) -> int:
+    """How many two-word grams of a text of n words must be looked at so that every similar text shares one.
+
+    A similar text has at most n / threshold words, so at most d = (1 - threshold) * n / threshold
+    edits lie between, each of which changes two grams at most: all but 2 d of a text's grams stand
+    in the other too, so in any common order the first 2 d + 1 of each have one in common.
     """
-    n = np.array([len(w) for w in words])
-    longest = np.maximum.outer(n, n)
-    limit = ((1 - threshold) * longest + 1e-9).astype(np.int64)
-    todo = open_ & (np.abs(np.subtract.outer(n, n)) <= limit)
-    np.fill_diagonal(todo, False)
-    out = np.zeros_like(todo)
-    for i in range(len(words)):
-        others = np.flatnonzero(todo[i])
-        if not len(others):
-            continue
-        far = np.full(len(words), 1 << 40)
-        far[others] = [edits(words[i], words[j], int(limit[i, j])) for j in others]
-        near = far <= limit[i]
-        out[i] |= near
-        out[:, i] |= near
-        todo[i] = todo[:, i] = False
-        if near.sum() > 8:
-            both = np.flatnonzero(near)
-            sure = np.add.outer(far[both], far[both]) <= limit[np.ix_(both, both)]
-            at = np.ix_(both, both)
-            out[at] |= todo[at] & sure
-            todo[at] &= ~sure
-    return out
-
-
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each node of a symmetric matrix a neighbour, or itself, so that these edges connect what the matrix connects."""
-    parent, fresh = np.arange(len(linked)), np.ones(len(linked), dtype=bool)
-    for start in range(len(linked)):
-        if not fresh[start]:
-            continue
-        fresh[start], stack = False, [start]
-        while stack:
-            i = stack.pop()
-            found = np.flatnonzero(linked[i] & fresh)
-            fresh[found], parent[found] = False, i
-            stack.extend(found.tolist())
-    return parent
+    return 2 * int((1 - threshold) * int(n / threshold + 1e-9) + 1e-9) + 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,121 +203,180 @@ def components(edges: DataFrame) -> DataFrame:
         low = written(both.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = written(large.filter("a != b").distinct(), "cc-large")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
-        joined = large.join(low, "a")
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
+        joined = large.join(lower, "a")
         small = joined.select("a", F.col("m").alias("b")).unionAll(joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))
-        edges = written(small.filter("a != b").distinct(), "cc-small")
+        before, edges = edges, written(small.filter("a != b").distinct(), "cc-small")
+        release(before, low, large, lower)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
 
 
-def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 16, tuple_size: int = 2, threshold: float = 0.8, small: int = 12, block: int = 256) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, n_links, kept.
+_SLOTS = 1 << 18
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()
+
+
+def _describe(k: int, sketches: int, tuple_size: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketcher, hashes = Sketcher(k, sketches, tuple_size), WordHashes()
+        with np.errstate(over="ignore"):
+            for f in frames:
+                at = 0
+                while at < len(f):
+                    texts, digests, size, start = [], [], 0, at
+                    while at < len(f) and size < 100_000:  # batches of about as many words, so memory follows the longest text
+                        words = words_of(f["text"].iloc[at])
+                        texts.append(hashes.of(words))
+                        digests.append(_digest(words))
+                        size, at = size + len(words), at + 1
+                    part = f.iloc[start:at]
+                    yield pd.DataFrame({
+                        "doc_id": part["doc_id"].array, "h": part["h"].array, "n": [len(t) for t in texts], "node": [int.from_bytes(d[:8], "big", signed=True) for d in digests],
+                        "d2": [int.from_bytes(d[8:16], "big", signed=True) for d in digests], "sketches": [x.view(np.int64) for x in sketcher.of(texts)],
+                    })
+
+    return run
+
+
+def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
+    for f in frames:
+        for at in range(0, len(f), 500):
+            words = [words_of(t) for t in f["text"].iloc[at : at + 500]]
+            yield pd.DataFrame({"node": [int.from_bytes(_digest(w)[:8], "big", signed=True) for w in words], "w": [hashes.of(w).view(np.int64) for w in words]})
+
+
+def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: int = 2, threshold: float = 0.8) -> DataFrame:
+    """One row per input row: doc_id, class_id, class_size, kept, text_hash.
 
     Two texts are near-duplicates if the edit similarity of their word sequences is at least
-    ``threshold``; a class is what such links connect, its class_id the smallest doc_id, whose
-    row stays. Words are runs of anything but ASCII white space. n_links counts the verified
-    links of a row's text to other texts.
+    ``threshold``; a class is what such links connect, its class_id the smallest doc_id of its rows,
+    whose row stays. Words are runs of anything but ASCII white space. text_hash is the xxHash64 of
+    the row's own text: with doc_id it tells rows apart.
 
     Copies (equal word sequences) are one text: they are settled by digest, however many there
-    are, and only one of them goes on. Candidates are all pairs of texts with an equal sketch, and every
-    one is decided on whole texts, by ``edits``. The pairs of buckets of up to ``small`` texts are
-    rows; a larger bucket is cut into blocks of about ``block`` texts by a hash of their ids, and
-    each two blocks meet in one group, whose rows are its texts, not its pairs. A pair that
-    shares several large buckets is decided in that of the smallest key alone. So the rows of a
-    bucket grow with its square over ``block``, the pairs that are decided with its square, and no
-    group is more than about two blocks however hot the bucket; a group gives each of its texts
-    one row: an edge of a spanning forest of its links, and their number.
+    are, and only one of them goes on. Candidates are all pairs of texts with an equal sketch; no
+    bucket is capped. Classes need no link inside what is connected already, so the pairs of a bucket
+    are decided in three steps, each on whole texts by ``edits``:
+
+    1. every text of a bucket meets its leader, the text that meets most others in all buckets;
+    2. of the texts outside the leader's class one, by hash, meets all of other classes;
+    3. buckets that still hold several classes give their texts, but for the leaders, to an exact join: two similar
+       texts share one of their rarest two-word grams, see ``prefix_length``. So a passage that a
+       third of all documents hold makes no pairs unless it is most of them.
+
+    Rows so grow with the input and with the pairs that are nearly similar, not with the square of a
+    bucket. Steps move narrow rows; texts move to the pairs that are decided. The counts by which
+    grams are rare are 2**18 sums, whatever the input.
 
     Null and empty texts form one class. A row with a null id takes no part and comes back as a
-    class of its own. Repeated rows of one id share a class, with different texts too; links are
-    then those of one of the texts. Other columns are not read.
+    class of its own. One id may have several texts: each is judged by itself, and all rows of a
+    class's smallest id stay. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    make = lambda: OrderMinHash(k, sketches, tuple_size)
-
-    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        omh, hashes = make(), WordHashes()
-        with np.errstate(over="ignore"):
-            for f in frames:
-                for at in range(0, len(f), 500):
-                    part, out = f.iloc[at : at + 500], []
-                    for text in part["text"]:
-                        words = words_of(text)
-                        sha = hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()
-                        out.append((len(words), int.from_bytes(sha[:8], "big", signed=True), int.from_bytes(sha[8:16], "big", signed=True), omh.of(hashes.of(words)).view(np.int64)))
-                    yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": [o[0] for o in out], "d1": [o[1] for o in out], "d2": [o[2] for o in out], "sketches": [o[3] for o in out]})
-
-    told = written(rows.mapInPandas(describe, "doc_id long, n int, d1 long, d2 long, sketches array<long>"), "near-told")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    told = written(rows.mapInPandas(_describe(k, sketches, tuple_size), "doc_id long, h long, n int, node long, d2 long, sketches array<long>"), "near-told")
     real = told.filter("doc_id IS NOT NULL")
-    heads = written(real.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "sketches")).alias("h"), F.count(F.lit(1)).alias("copies")).select("d1", "d2", "copies", "h.*"), "near-heads")
+    heads = written(real.groupBy("node", "d2").agg(F.min(F.struct("doc_id", "n", "sketches")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "d2", "copies", "x.*"), "near-heads")
 
-    spread = heads.select("doc_id", "n", F.explode("sketches").alias("key"))
+    spread = heads.select("node", "n", F.explode("sketches").alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sizes = written(sizes, "near-sizes")  # written, so that both sides of the join are exchanged and a hot bucket can be split
     full = written(spread.join(sizes, "key"), "near-buckets")
-    large = full.filter(F.col("size") > small)
-    own = written(large.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("large")), "near-large")
-    few = full.filter(F.col("size") <= small).join(own, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("large", F.array().cast("array<long>")).alias("large"))
-    few = written(few, "near-few")
-    pairs = few.join(few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("large").alias("bl")), "key").filter(F.col("doc_id") < F.col("b")).filter(~F.arrays_overlap("large", "bl"))
-    pairs = pairs.filter(F.least("n", "bn") >= threshold * F.greatest("n", "bn") - 1e-6)
-    pairs = written(pairs.select(F.col("doc_id").alias("a"), "b").distinct(), "near-pairs")
-
-    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for f in frames:
-            for at in range(0, len(f), 500):
-                part = f.iloc[at : at + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "w": [(hashes.of(words_of(t)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in part["text"]]})
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(own.select("doc_id")).distinct()
-    texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi")
-    words = written(texts.mapInPandas(tokens, "doc_id long, w array<int>").groupBy("doc_id").agg(F.min("w").alias("w")), "near-words")
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-6
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    def words_for(nodes: DataFrame) -> DataFrame:
+        wanted = heads.join(nodes.distinct(), "node", "left_semi").select("doc_id").distinct()
+        texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi").mapInPandas(_words, "node long, w array<long>")
+        return written(texts.dropDuplicates(["node"]), "near-words")
+
+    def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with np.errstate(over="ignore"):
+                for f in frames:
+                    ok = [similar(np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64), threshold) for x, y in zip(f["wa"], f["wb"], strict=True)]
+                    yield f.loc[ok, ["a", "b"]]
+
+        left, right = (words.select(F.col("node").alias(c), F.col("w").alias(f"w{c}")) for c in "ab")
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "wa", "wb")
+        return written(both.mapInPandas(run, "a long, b long"), "near-links")
+
+    def renamed(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+        """``column`` as the root of its class."""
+        to = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return df.join(to, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_root", column)).drop("_node", "_root")
+
+    # 1: leaders
+    score = full.groupBy("node").agg(F.sum("size").alias("score"))
+    leader = full.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("x")).select("key", F.col("x.node").alias("lead"), F.col("x.n").alias("lead_n"))
+    leader = written(leader, "near-leaders")
+    pairs = full.join(leader, "key").filter((F.col("node") != F.col("lead")) & near("n", "lead_n")).select(*pair("node", "lead")).distinct()
+    pairs = written(pairs, "near-pairs")
+    words = words_for(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")))
+    links = verified(pairs, words)
+    roots = components(links)
+
+    # 2: one text outside the leader's class
+    classed = renamed(full.select("key", "node", "n", F.col("node").alias("cls")), "cls", roots)
+    rest = written(classed.join(renamed(leader.select("key", "lead", F.col("lead").alias("lead_cls")), "lead_cls", roots), "key").filter("node != lead"), "near-rest")
+    second = rest.filter("cls != lead_cls").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("x"), "node", "n", "cls")).alias("s")).select("key", "s")
+    second = written(second, "near-second")
+    pairs2 = rest.join(second, "key").filter((F.col("cls") != F.col("s.cls")) & near("n", "s.n")).select(*pair("node", "s.node")).distinct()
+    links2 = verified(pairs2, words)
+    roots2 = components(renamed(renamed(links2, "a", roots), "b", roots))
+
+    # 3: what is still apart in one bucket
+    apart = renamed(rest.select("key", "node", "n", "cls"), "cls", roots2)
+    open_ = written(apart.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("key"), "near-open")
+    left = written(apart.join(open_, "key", "left_semi").select("node", "n", "cls").distinct(), "near-left")
+    grams = written(left.join(words_for(left.select("node")), "node"), "near-grams")
+
+    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        omh, total = OrderMinHash(2, 1, 1), np.zeros(_SLOTS, dtype=np.int64)
         with np.errstate(over="ignore"):
             for f in frames:
-                ok = [similar(np.asarray(x, dtype=np.int32).view(np.uint32), np.asarray(y, dtype=np.int32).view(np.uint32), threshold) for x, y in zip(f["wa"], f["wb"], strict=True)]
-                yield f.loc[ok, ["a", "b"]]
-
-    left = words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa"))
-    right = words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "wa", "wb")
-    links = written(both.mapInPandas(verify, "a long, b long"), "near-links")
-
-    def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+                for w in f["w"]:
+                    total += np.bincount((omh.labelled(np.asarray(w).view(np.uint64)) >> np.uint64(40)).astype(np.int64) % _SLOTS, minlength=_SLOTS)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot, "c": total[slot]})
+
+    counts = np.zeros(_SLOTS, dtype=np.int64)
+    for r in grams.select("w").mapInPandas(tally, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).collect():
+        counts[r["slot"]] = r["c"]
+    shared = spark.sparkContext.broadcast(counts)
+
+    def rarest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        omh = OrderMinHash(2, 1, 1)
         with np.errstate(over="ignore"):
-            words = [np.asarray(w, dtype=np.int32).view(np.uint32) for w in f["w"]]
-            x = f["x"].to_numpy()
-            open_ = np.ones((len(f), len(f)), dtype=bool) if key[1] == key[2] else x[:, None] != x[None, :]
-            earlier = [k[: np.searchsorted(k, key[0])] for k in f["large"]]
-            names, which = np.unique(np.concatenate(earlier), return_inverse=True)
-            shared = np.zeros((len(f), len(names)), dtype=np.float32)
-            shared[np.repeat(np.arange(len(f)), [len(k) for k in earlier]), which] = 1
-            shared = shared[:, shared.sum(axis=0) > 1]
-            linked = compare(words, open_ & (shared @ shared.T == 0), threshold)
-            count, ids = linked.sum(axis=1), f["doc_id"].to_numpy()
-            out = pd.DataFrame({"a": ids, "b": ids[forest(linked)], "links": count})
-            return out[count > 0]
-
-    parts = F.ceil(F.col("size") / block).cast("int")
-    cut = large.select("doc_id", "key", parts.alias("parts")).withColumn("x", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("parts")).cast("int"))
-    cut = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("doc_id", "key", "x", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
-    groups = cut.join(own.join(words.hint("merge"), "doc_id").hint("merge"), "doc_id").groupBy("key", "p", "q")
-    met = written(groups.applyInPandas(meet, "a long, b long, links long"), "near-met")
-    counted = links.select(F.col("a").alias("doc_id"), F.lit(1).cast("long").alias("links")).unionAll(links.select("b", F.lit(1).cast("long"))).unionAll(met.select("a", "links"))
-    degree = counted.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    roots = components(links.unionAll(met.select("a", "b")))
-    labelled = heads.join(roots, heads.doc_id == roots.node, "left").join(degree, "doc_id", "left")
-    labelled = written(labelled.select("d1", "d2", "copies", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")), "near-classes")
-    size = written(labelled.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "near-class-sizes")
-    classes = labelled.join(size, "class_id")
-    out = real.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"])
-    alone = told.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    return out.select("doc_id", "class_id", "class_size", F.col("n_links").cast("long").alias("n_links"), (F.col("doc_id") == F.col("class_id")).alias("kept")).unionAll(alone)
+            for f in frames:
+                first = [rare_first(omh.labelled(np.asarray(w).view(np.uint64)), shared.value)[: prefix_length(len(w), threshold)].view(np.int64) for w in f["w"]]
+                yield pd.DataFrame({"node": f["node"].array, "n": f["n"].array, "cls": f["cls"].array, "grams": first})
+
+    posted = grams.mapInPandas(rarest, "node long, n int, cls long, grams array<long>").select("node", "n", "cls", F.explode("grams").alias("gram"))
+    posted = written(posted, "near-posted")
+    common = written(posted.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("gram"), "near-common")
+    posted = written(posted.join(common, "gram", "left_semi"), "near-met")
+    other = posted.select("gram", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("cls").alias("bc"))
+    pairs3 = posted.join(other, "gram").filter((F.col("node") < F.col("b")) & (F.col("cls") != F.col("bc")) & near("n", "bn")).select(F.col("node").alias("a"), "b").distinct()
+    links3 = verified(pairs3, grams.select("node", "w"))
+    roots3 = components(renamed(renamed(renamed(renamed(links3, "a", roots), "a", roots2), "b", roots), "b", roots2))
+
+    labelled = heads.select("node", "d2", "copies", "doc_id", F.col("node").alias("cls"))
+    for r in (roots, roots2, roots3):
+        labelled = renamed(labelled, "cls", r)
+    labelled = written(labelled, "near-classes")
+    size = written(labelled.groupBy("cls").agg(F.sum("copies").alias("class_size"), F.min("doc_id").alias("class_id")), "near-class-sizes")
+    out = real.select("doc_id", "h", "node", "d2").join(labelled.drop("doc_id", "copies"), ["node", "d2"]).join(size, "cls")
+    out = out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash"))
+    alone = told.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("h").alias("text_hash"))
+    release(sizes, full, leader, pairs, words, links, rest, second, links2, open_, left, grams, common, posted, links3)
+    return out.unionAll(alone)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
