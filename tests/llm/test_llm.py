@@ -136,7 +136,7 @@ TEXTS = ["", "  ", "Hello WORLD's don't I'LL <|endoftext|>x", "ΑΣΣ ΟΔΟΣ 
 
 def test_bpe_equals_the_library(spark, library):
     rows = EDGE + [(50 + i, t, "en", "s", 1) for i, t in enumerate(TEXTS)]
-    got = bpe.bpe_round_trip(clashing(docs(spark, rows)), bpe.default_vocab(), batch=3).collect()
+    got = bpe.bpe_round_trip(clashing(docs(spark, rows)), bpe.default_vocab(), batch_chars=500).collect()
     want = collections.Counter()
     for r in rows:
         e = library.encode(r[1] or "", add_special_tokens=False)

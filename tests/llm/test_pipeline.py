@@ -9,7 +9,7 @@ pytest.importorskip("textloom.llm")
 
 import corpus_pipeline as cp  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from textloom.llm import bpe, quality  # noqa: E402
+from textloom.llm import bpe, mixing, quality  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 EDGE = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (None, "some text here", "en", "b", 1), (4, "a  b", "en", "b", 4), (5, "a b", "en", "b", 3), (5, "a b", "en", "b", 3), (6, "long " * 20_000, None, "c", None)]
@@ -42,7 +42,10 @@ def test_stages_on_their_own_inputs(spark):
     for r in mixed.collect():
         e = library.encode(r.text, add_special_tokens=False)
         assert tokens[r.doc_id].n_tokens == len(e.ids) and tokens[r.doc_id].ids_sha256 == bpe.sha256_hex(" ".join(map(str, e.ids)))
-    assert {r.doc_id for r in cp.run(spark, SF).collect()} == set(tokens)
+    run = cp.run(spark, SF).collect()
+    assert {r.doc_id for r in run} == set(tokens) and sorted(r.position for r in run) == list(range(len(run)))
+    place = {r.doc_id: r.position for r in mixing.mix(near).collect()}
+    assert [r.doc_id for r in sorted(run, key=lambda r: r.position)] == sorted(place, key=place.get)  # the mixture reaches the output
 
 
 @pytest.mark.parametrize("clash", [False, True])
@@ -58,6 +61,14 @@ def test_edge_rows_and_clashing_columns(spark, clash):
     assert sorted(r.doc_id for r in cp.exact_stage(spark, docs, SF).collect() if r.doc_id is not None) == [1, 4, 6]
 
 
+def test_a_repeated_id_loses_only_the_text_that_repeats(spark):
+    own, common = " ".join(f"own{i}" for i in range(60)), " ".join(f"common{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, common, "en", "a", 1), (7, common + " more", "en", "a", 1), (7, own, "en", "a", 1)], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in cp.near_stage(spark, docs, SF).collect()) == [(1, common), (7, own)]
+    docs = spark.createDataFrame([(1, common, "en", "a", 1), (7, common, "en", "a", 1), (7, own, "en", "a", 1)], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in cp.exact_stage(spark, docs, SF).collect()) == [(1, common), (7, own)]
+
+
 def test_empty_input(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in cp.STAGES:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -45,6 +46,7 @@ class WordBpe:
         self.pattern = regex.compile(pattern)
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_start = os.path.commonprefix(list(self.special))  # "" is in every text
         self.alphabet = byte_alphabet()
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.max_words = max_words
@@ -128,7 +130,7 @@ class WordBpe:
 
     def split(self, text: str) -> list[tuple[bool, str]]:
         """(special, piece): special tokens are found in the raw text before it is normalised."""
-        if self.special_split is None or "<|" not in text:
+        if self.special_split is None or self.special_start not in text:
             return [(False, text)]
         return [(p in self.special, p) for p in self.special_split.split(text) if p]
 
@@ -175,13 +177,16 @@ def loaded(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", batch: int = 200) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids (decimal, joined by spaces), decoded.
+def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), batch_chars: int = 8_000_000) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids (decimal, joined by spaces), decoded, and the columns named in ``keep``.
 
     Special tokens in a text are encoded as such, as the vocabulary's library does by default.
     A null or empty text has no ids and decodes to ''. Rows are independent: repeated rows and
-    null ids come back as they are. The distinct words of a batch are encoded together, see
-    ``WordBpe.merge_all``; what is kept between batches is bounded. Other columns are not read.
+    null ids come back as they are. The distinct words of a batch that are not known yet are encoded
+    together, see ``WordBpe.merge_all``. A batch is an Arrow batch of the partition, cut where it
+    passes ``batch_chars`` characters, so memory follows that and the longest text; the words kept
+    between batches are bounded, and decoded texts are put together from their words. A single word
+    of n bytes takes some 300 n bytes while it is merged. Other columns are not read.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(vocab_path)
@@ -190,13 +195,17 @@ def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id",
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(SparkFiles.get(name))
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                rows = bpe.encode_batch(part["text"].fillna("").tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": [r[0] for r in rows], "ids": [r[1] for r in rows], "decoded": [r[2] for r in rows]})
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {id_type}, n_tokens long, ids string, decoded string")
+            texts, at = frame["text"].fillna("").tolist(), 0
+            while at < len(texts):
+                start, size = at, 0
+                while at < len(texts) and size <= batch_chars:
+                    size, at = size + len(texts[at]), at + 1
+                rows, part = bpe.encode_batch(texts[start:at]), frame.iloc[start:at]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": [r[0] for r in rows], "ids": [r[1] for r in rows], "decoded": [r[2] for r in rows], **{c: part[c].array for c in keep}})
+
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    extra = "".join(f", `{c}` {kind(c)}" for c in keep)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep).mapInPandas(run, f"doc_id {kind(id_col)}, n_tokens long, ids string, decoded string{extra}")
 
 
 def default_vocab() -> str:
