@@ -387,7 +387,8 @@ def test_near_dedup_decides_every_pair_of_a_large_bucket(spark):
     assert all(cls[i] == i for i in range(300, 400))
 
 
-def test_near_dedup_step_3_joins_what_no_leader_met(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 16])
+def test_near_dedup_step_3_joins_what_no_leader_met(spark, monkeypatch, small):
     """With the leaders' links lost, the exact join alone finds every link of texts that share a bucket."""
     rng = random.Random(13)
     base = [f"w{i}" for i in range(120)]
@@ -399,8 +400,8 @@ def test_near_dedup_step_3_joins_what_no_leader_met(spark, monkeypatch):
         return real(edges.limit(0) if len(calls) < 3 else edges)
 
     monkeypatch.setattr(near_dedup, "components", lossy)
-    got = near_dedup.near_dedup(docs(spark, rows)).collect()
-    assert len(calls) == 3 and len({g.class_id for g in got}) <= 2 and collections.Counter(g.class_id for g in got).most_common(1)[0][1] >= 29
+    got = near_dedup.near_dedup(docs(spark, rows), small=small, block=7).collect()
+    assert len(calls) == 4 and len({g.class_id for g in got}) <= 2 and collections.Counter(g.class_id for g in got).most_common(1)[0][1] >= 29
 
 
 def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
@@ -411,6 +412,16 @@ def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
     assert got == [(0, 0, 1, True), (1, 1, 2, True), (5, 1, 2, False), (5, 5, 2, True), (6, 5, 2, False)]
 
 
+def test_compare_decides_every_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 30, 40, dtype=np.uint64)
+    texts = [np.delete(np.where(rng.random(40) < 0.06, rng.integers(0, 30, 40, dtype=np.uint64), base), rng.integers(0, 40, rng.integers(0, 6))) for _ in range(50)]
+    with np.errstate(over="ignore"):
+        got = near_dedup.compare(texts, np.ones((50, 50), dtype=bool), 0.8)
+        assert all(got[i, j] == near_dedup.similar(texts[i], texts[j], 0.8) for i in range(50) for j in range(50) if i != j) and 100 < got.sum() < 2400
+        assert near_dedup.shared_words(texts)[3, 4] == near_dedup.common_words(texts[3], texts[4])
+
+
 def test_similar_texts_share_a_rare_gram():
     rng = np.random.default_rng(3)
     omh, counts = near_dedup.OrderMinHash(2, 1, 1), rng.integers(0, 9, 64)

@@ -175,6 +175,69 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return longest == 0 or within(a, b, int((1 - threshold) * longest + 1e-9))
 
 
+def occurrences(words: np.ndarray) -> np.ndarray:
+    """Hashes of words with their occurrence numbers, so that sets of them meet as multisets of words."""
+    return OrderMinHash(1, 1, 1).labelled(words)
+
+
+def shared_words(words: list[np.ndarray]) -> np.ndarray:
+    """How many words each two texts have in common, as multisets: one product over the words that two texts hold."""
+    labelled = [occurrences(w) for w in words]
+    owner = np.repeat(np.arange(len(words)), [len(x) for x in labelled])
+    _, which, n = np.unique(np.concatenate(labelled), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    held = np.zeros((len(words), int((n > 1).sum())), dtype=np.float32)
+    often = n[which] > 1
+    held[owner[often], column[which[often]]] = 1
+    return held @ held.T
+
+
+def compare(words: list[np.ndarray], open_: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the ``open_`` pairs (a symmetric matrix) are similar, as a symmetric matrix.
+
+    Every pair is decided exactly: by the words it has in common (an edit adds one at most), by
+    ``edits``, or by two texts' edits to a third one, which together turn the one into the other.
+    """
+    n = np.array([len(w) for w in words])
+    longest = np.maximum.outer(n, n)
+    limit = ((1 - threshold) * longest + 1e-9).astype(np.int64)
+    todo = open_ & (longest - shared_words(words) <= limit)
+    np.fill_diagonal(todo, False)
+    out = np.zeros_like(todo)
+    for i in range(len(words)):
+        others = np.flatnonzero(todo[i])
+        if not len(others):
+            continue
+        far = np.full(len(words), 1 << 40)
+        far[others] = [edits(words[i], words[j], int(limit[i, j])) for j in others]
+        near = far <= limit[i]
+        out[i] |= near
+        out[:, i] |= near
+        todo[i] = todo[:, i] = False
+        if near.sum() > 8:
+            both = np.flatnonzero(near)
+            at = np.ix_(both, both)
+            sure = np.add.outer(far[both], far[both]) <= limit[at]
+            out[at] |= todo[at] & sure
+            todo[at] &= ~sure
+    return out
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric matrix a neighbour, or itself, so that these edges connect what the matrix connects."""
+    parent, fresh = np.arange(len(linked)), np.ones(len(linked), dtype=bool)
+    for start in range(len(linked)):
+        if not fresh[start]:
+            continue
+        fresh[start], stack = False, [start]
+        while stack:
+            i = stack.pop()
+            found = np.flatnonzero(linked[i] & fresh)
+            fresh[found], parent[found] = False, i
+            stack.extend(found.tolist())
+    return parent
+
+
 def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Hashes in the order of their slot's count, ties by hash: one order for all texts, rare ones first."""
     return grams[np.lexsort((grams, counts[(grams >> np.uint64(40)).astype(np.int64) % len(counts)]))]
@@ -251,7 +314,7 @@ def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": [int.from_bytes(_digest(w)[:8], "big", signed=True) for w in words], "w": [hashes.of(w).view(np.int64) for w in words]})
 
 
-def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: int = 2, threshold: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: int = 2, threshold: float = 0.8, small: int = 16, block: int = 256) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, kept, text_hash.
 
     Two texts are near-duplicates if the edit similarity of their word sequences is at least
@@ -268,11 +331,14 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     2. of the texts outside the leader's class one, by hash, meets all of other classes;
     3. buckets that still hold several classes give their texts, but for the leaders, to an exact join: two similar
        texts share one of their rarest two-word grams, see ``prefix_length``. So a passage that a
-       third of all documents hold makes no pairs unless it is most of them.
+       third of all documents hold makes no pairs unless it is most of them. Texts that meet in grams
+       of more than ``small`` texts are one family, cut into blocks of about ``block`` texts; each two
+       blocks meet in one group, whose rows are its texts, not its pairs, and ``compare`` decides all of them.
 
-    Rows so grow with the input and with the pairs that are nearly similar, not with the square of a
-    bucket. Steps move narrow rows; texts move to the pairs that are decided. The counts by which
-    grams are rare are 2**18 sums, whatever the input.
+    How a pair meets is so a matter of counts, but every pair that shares a bucket is decided, by the
+    same measure. Rows grow with the input, and in a family of texts that are nearly alike with its
+    square over ``block``. Steps move narrow rows; texts move to the pairs that are decided. The
+    counts by which grams are rare are 2**18 sums, whatever the input.
 
     Null and empty texts form one class. A row with a null id takes no part and comes back as a
     class of its own. One id may have several texts: each is judged by itself, and all rows of a
@@ -360,11 +426,31 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
 
     posted = grams.mapInPandas(rarest, "node long, n int, cls long, grams array<long>").select("node", "n", "cls", F.explode("grams").alias("gram"))
     posted = written(posted, "near-posted")
-    common = written(posted.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("gram"), "near-common")
-    posted = written(posted.join(common, "gram", "left_semi"), "near-met")
-    other = posted.select("gram", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("cls").alias("bc"))
-    pairs3 = posted.join(other, "gram").filter((F.col("node") < F.col("b")) & (F.col("cls") != F.col("bc")) & near("n", "bn")).select(F.col("node").alias("a"), "b").distinct()
+    common = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("node").alias("first")).filter("lo != hi")
+    common = written(common.select("gram", "size", "first"), "near-common")
+    met = written(posted.join(common, "gram"), "near-met")
+    few = met.filter(F.col("size") <= small).select("gram", "node", "n", "cls")
+    other = few.select("gram", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("cls").alias("bc"))
+    pairs3 = few.join(other, (few["gram"] == other["gram"]) & (F.col("node") < F.col("b")) & (F.col("cls") != F.col("bc")) & near("n", "bn")).select(F.col("node").alias("a"), "b").distinct()
     links3 = verified(pairs3, grams.select("node", "w"))
+
+    many = met.filter(F.col("size") > small).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    family = components(many)
+    family = written(family.unionAll(family.select(F.col("root").alias("node"), "root")).distinct(), "near-family")
+    parts = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    cut = family.join(parts, "root").withColumn("x", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("node", "root", "x", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+
+    def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(over="ignore"):
+            x, cls = f["x"].to_numpy(), f["cls"].to_numpy()
+            apart = (cls[:, None] != cls[None, :]) & ((x[:, None] != x[None, :]) | (key[1] == key[2]))
+            linked = compare([np.asarray(w).view(np.uint64) for w in f["w"]], apart, threshold)
+            ids = f["node"].to_numpy()
+            return pd.DataFrame({"a": ids, "b": ids[forest(linked)]})[linked.any(axis=1)]
+
+    met3 = written(cut.join(grams.select("node", "cls", "w"), "node").groupBy("root", "p", "q").applyInPandas(meet, "a long, b long"), "near-met3")
+    links3 = links3.unionAll(met3)
     roots3 = components(renamed(renamed(renamed(renamed(links3, "a", roots), "a", roots2), "b", roots), "b", roots2))
 
     labelled = heads.select("node", "d2", "copies", "doc_id", F.col("node").alias("cls"))
@@ -375,7 +461,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     out = real.select("doc_id", "h", "node", "d2").join(labelled.drop("doc_id", "copies"), ["node", "d2"]).join(size, "cls")
     out = out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash"))
     alone = told.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("h").alias("text_hash"))
-    release(sizes, full, leader, pairs, words, links, rest, second, links2, open_, left, grams, common, posted, links3)
+    release(sizes, full, leader, pairs, words, links, rest, second, links2, open_, left, grams, common, posted, met, family, met3)
     return out.unionAll(alone)
 
 
