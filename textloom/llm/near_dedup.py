@@ -42,8 +42,8 @@ class OrderMinHash:
     def of(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """For each text, given as word hashes, one value per sketch; none for a text without words.
 
-        All texts lie in one array: a sketch takes ``tuple_size`` passes over it, each of which finds
-        every text's smallest value that is left.
+        All texts lie in one array. A sketch hashes it once and goes on with values so small that a
+        text of m k-mers has about 16 of them; all k-mers of a text that has too few are taken.
         """
         out = [np.empty(0, dtype=np.uint64)] * len(texts)
         which = [i for i, h in enumerate(texts) if len(h)]
@@ -51,16 +51,24 @@ class OrderMinHash:
             return out
         grams = [self.labelled(texts[i]) for i in which]
         sizes = np.array([len(g) for g in grams])
-        x, starts, owner = np.concatenate(grams), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(which)), sizes)
+        x, owner = np.concatenate(grams), np.repeat(np.arange(len(which)), sizes)
+        bound = np.repeat(np.where(sizes > 16, 2.0**64 * 16 / np.maximum(sizes, 17), 0).astype(np.uint64) - np.uint64(1), sizes)
+        least_count = np.minimum(self.tuple_size, sizes)
         values = np.empty((len(which), len(self.seeds)), dtype=np.uint64)
         for j, (seed, odd) in enumerate(zip(self.seeds, self.odd, strict=True)):
             v = (x ^ seed) * odd
             v ^= v >> np.uint64(32)
+            low = np.flatnonzero(v <= bound)
+            count = np.bincount(owner[low], minlength=len(which))
+            if (lacking := count < least_count).any():
+                low = np.flatnonzero((v <= bound) | lacking[owner])
+                count = np.bincount(owner[low], minlength=len(which))
+            v, own, starts = v[low], owner[low], np.cumsum(count) - count
             places, least = np.empty((self.tuple_size, len(which)), dtype=np.int64), np.empty((self.tuple_size, len(which)), dtype=np.uint64)
             for r in range(self.tuple_size):
                 least[r] = np.minimum.reduceat(v, starts)
-                hit = np.flatnonzero(v == least[r][owner])[::-1]
-                places[r][owner[hit]] = hit  # the first place of each text's smallest value
+                hit = np.flatnonzero(v == least[r][own])[::-1]
+                places[r][own[hit]] = hit  # the first place of each text's smallest value
                 v[hit] = _MOST
             least = np.take_along_axis(least, np.argsort(places, axis=0, kind="stable"), axis=0)
             value = np.full(len(which), j + 1000 * self.k, dtype=np.uint64)
@@ -246,11 +254,12 @@ def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def prefix_length(n: int, threshold: float) -> int:
     """How many two-word grams of a text of n words must be looked at so that every similar text shares one.
 
-    A similar text has at most n / threshold words, so at most d = (1 - threshold) * n / threshold
-    edits lie between, each of which changes two grams at most: all but 2 d of a text's grams stand
-    in the other too, so in any common order the first 2 d + 1 of each have one in common.
+    Of a text of n words and one of m <= n, at most d = (1 - threshold) * n edits apart, all but
+    2 d of the longer one's n - 1 grams stand in the other too, for an edit changes two at most. In
+    any common order the first 2 d + 1 grams of the longer and the first m - n + 2 d + 1 of the shorter
+    then have one in common, which is 2 (1 - threshold) m + 2 at most.
     """
-    return 2 * int((1 - threshold) * int(n / threshold + 1e-9) + 1e-9) + 1
+    return 2 * int((1 - threshold) * n + 1e-9) + 2
 
 
 def components(edges: DataFrame) -> DataFrame:
