@@ -530,18 +530,59 @@ def test_toxicity_without_labels(spark):
     assert len(got) == len(EDGE) and all(r.score <= 0.5 for r in got)
 
 
-def test_example_index_is_exact():
+@pytest.mark.parametrize("lead", [1, 8])
+def test_example_index_is_exact(lead):
     rng = random.Random(6)
     vecs = []
     for _ in range(400):
-        v = {rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randint(1, 5))}
-        n = math.sqrt(sum(x * x for x in v.values()))
-        vecs.append({t: x / n for t, x in v.items()})
-    index = toxicity.ExampleIndex(np.arange(400), np.array([i % 2 for i in range(400)]), vecs, block=16)
-    for q in vecs[:60]:
-        all_ = sorted(((sum(q.get(t, 0) * w for t, w in v.items()), i) for i, v in enumerate(vecs)), key=lambda x: (-round(x[0], 12), x[1]))
-        want = [(i, round(c, 9)) for c, i in all_[:10] if c > 0]
-        assert [(i, round(c, 9)) for c, i, _ in index.top(q, 10)] == want
+        t = np.array(sorted(rng.sample(range(30), rng.randint(1, 5))))
+        w = np.array([rng.random() + 0.1 for _ in t])
+        vecs.append((t, w / np.linalg.norm(w)))
+    index = toxicity.ExampleIndex(np.array([i % 2 for i in range(400)]), vecs, 30, block=16)
+    dense = np.zeros((400, 30))
+    for i, (t, w) in enumerate(vecs):
+        dense[i, t] = w
+    for i in range(60):
+        all_ = sorted(((float(c), j) for j, c in enumerate(dense @ dense[i]) if j != i), key=lambda x: (-round(x[0], 12), x[1]))
+        want = [(j, round(c, 9)) for c, j in all_[:10] if c > 1e-12]
+        got = index.top(*vecs[i], 10, skip=i, lead=lead)
+        assert [(j, round(c, 9)) for c, j, _ in got] == want and all(y == j % 2 for _, j, y in got)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Scores and evidence from dense vectors over all words, all examples and all documents."""
+    rows, labels = labelled(random.Random(3), 300)
+    rows += [(2000 + i, r[1], "en", "s", 1) for i, r in enumerate(rows[:20])] + [(None, "river moon", "en", "s", 1), (3000, None, "en", "s", 1), (3001, "", "en", "s", 1), (7, rows[8][1], "en", "s", 1)]
+    lab = spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, toxic int")
+    got = collections.Counter((r.doc_id, round(r.score, 8), tuple((round(x.cosine, 8), x.doc_id, x.label) for x in r.neighbours)) for r in toxicity.score_toxicity(docs(spark, rows), lab, k=5).collect())
+    truth = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5}
+    text_of = {r.doc_id: r.text for r in docs(spark, rows).withColumn("h", F.xxhash64("text")).orderBy(F.desc("h")).collect()}  # of id 7 the text of smallest hash
+    ids = sorted(truth)
+    bags = [collections.Counter(re.findall(r"\w+", text_of[i].lower())) for i in ids]
+    terms = sorted(set().union(*bags))
+    y = np.array([truth[i] for i in ids])
+    all_bags = [collections.Counter(re.findall(r"\w+", (r[1] or "").lower())) for r in rows]
+    n = [np.array([sum(w in b for b, t in zip(bags, y, strict=True) if t == side) for w in terms], dtype=float) for side in (0, 1)]
+    idf = np.array([math.log((1 + len(rows)) / (1 + sum(w in b for b in all_bags))) + 1 for w in terms])
+    weight = idf * toxicity.favour(n[0], n[1], int((y == 0).sum()), int(y.sum()), 5.0)
+
+    def unit(bag):
+        v = np.array([(1 + math.log(bag[w])) if bag[w] else 0.0 for w in terms]) * weight
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    examples = np.stack([unit(b) for b in bags])
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+
+    def nearest(v, skip=None):
+        c = examples @ v
+        return [(c[j], ids[j], int(y[j])) for j in sorted((j for j in range(len(ids)) if j != skip and c[j] > 1e-12), key=lambda j: (-round(c[j], 12), ids[j]))[:5]]
+
+    slope, shift = toxicity.platt(np.array([toxicity.vote(nearest(e, j), prior) for j, e in enumerate(examples)]), y.astype(float))
+    want = collections.Counter()
+    for r, bag in zip(rows, all_bags, strict=True):
+        near = nearest(unit(bag))
+        want[r[0], round(toxicity.calibrated(toxicity.vote(near, prior), slope, shift) if near else prior, 8), tuple((round(c, 8), i, t) for c, i, t in near)] += 1
+    assert got == want
 
 
 # ------------------------------------------------------------------ 8 mixing

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table, written
@@ -17,92 +17,103 @@ from textloom.llm.common import table, written
 _TOKEN = re.compile(r"\w+")
 
 
-#: Lengths of the word beginnings that count as terms beside whole words.
-STEMS = (3, 4, 5, 6, 7, 8)
+def features(text: str | None) -> Counter:
+    """Counts of a whole text's lower-case words."""
+    return Counter(_TOKEN.findall((text or "").lower()))
 
 
-def features(text: str | None) -> Counter:
-    """Counts of a whole text's lower-case words and, marked ^, of the beginnings of longer words."""
-    words = Counter(_TOKEN.findall((text or "").lower()))
-    stems: Counter = Counter()
-    for w, c in words.items():
-        for n in STEMS:
-            if len(w) <= n:
-                break
-            stems["^" + w[:n]] += c
-    words.update(stems)
-    return words
-
-
-def known_features(text: str | None, words: dict[str, int], stems: list[tuple[int, dict[str, int]]]) -> list[tuple[int, int]]:
-    """(term number, count) of the features that have a number, in order."""
-    out: dict[int, int] = {}
-    for w, c in Counter(_TOKEN.findall((text or "").lower())).items():
-        if w in words:
-            out[words[w]] = c
-        for n, numbers in stems:
-            if len(w) > n and (i := numbers.get(w[:n])) is not None:
-                out[i] = out.get(i, 0) + c
-    return sorted(out.items())
+def _slices(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all given ranges, one after the other."""
+    n = stop - start
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))
 
 
 class ExampleIndex:
-    """Exact top-k cosine over sparse vectors: postings in blocks of examples, each with its largest weight.
+    """Exact top-k cosine over sparse vectors, by inverted lists in blocks of examples with each term's largest weight in a block.
 
-    A block's bound for a query is the sum over the query's terms of query weight times the
-    term's largest weight in the block. Blocks are scored in descending bound, until a bound is
-    below the k-th best cosine found.
+    A block's bound for a query is the sum over the query's terms of query weight times that largest
+    weight. The blocks of highest bound are scored first; of the others only those are scored whose
+    bound reaches the k-th best cosine found, by their own rows, or by the query's inverted lists if
+    those are shorter. Ties go to the example that was given first.
     """
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], block: int = 64):
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), int(ids[i])))  # alike vectors side by side: tight bounds
-        self.ids, self.labels, self.block = ids[order], labels[order].astype(float), block
-        by: dict[int, list[tuple[int, float]]] = {}
-        for pos, i in enumerate(order):
-            for t, w in vectors[i].items():
-                by.setdefault(t, []).append((pos, w))
+    def __init__(self, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 32):
+        # alike vectors side by side make tight bounds: by their heaviest terms
+        order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist())
+        self.given, self.labels, self.block = np.array(order, dtype=np.int64), labels[order].astype(float), block
+        sizes = np.array([len(vectors[i][0]) for i in order], dtype=np.int64)
+        self.row = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.term = np.concatenate([vectors[i][0] for i in order] or [[]]).astype(np.int32)
+        self.weight = np.concatenate([vectors[i][1] for i in order] or [[]]).astype(float)
+        owner = np.repeat(np.arange(len(order)), sizes)
+        by = np.lexsort((owner, self.term))
+        self.list_at = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=terms))]).astype(np.int64)
+        self.list_owner, self.list_weight = owner[by].astype(np.int32), self.weight[by]
         self.blocks = -(-len(order) // block)
-        self.places = {t: np.array([p for p, _ in v], dtype=np.int32) for t, v in by.items()}
-        self.weights = {t: np.array([w for _, w in v]) for t, v in by.items()}
-        self.maxima: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, p in self.places.items():
-            which, start = np.unique(p // block, return_index=True)
-            self.maxima[t] = which, np.maximum.reduceat(self.weights[t], start), np.append(start, len(p))
-
-    def top(self, query: dict[int, float], k: int, skip: int | None = None) -> list[tuple[float, int, float]]:
-        """The k best (cosine, id, label), ties to the smaller id; examples without a common term do not count."""
-        known = [(t, q) for t, q in query.items() if t in self.places]
-        if not known:
-            return []
-        bound = np.zeros(self.blocks)
-        for t, q in known:
-            which, most, _ = self.maxima[t]
-            bound[which] += q * most
-        best: list[tuple[float, int, float]] = []
-        order = np.argsort(-bound, kind="stable")
-        for b in order:
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[k - 1][0] - 1e-12):
-                break
-            lo = b * self.block
-            score = np.zeros(min(self.block, len(self.ids) - lo))
-            for t, q in known:
-                which, _, start = self.maxima[t]
-                i = np.searchsorted(which, b)
-                if i < len(which) and which[i] == b:
-                    s = slice(start[i], start[i + 1])
-                    score[self.places[t][s] - lo] += q * self.weights[t][s]
-            floor = best[k - 1][0] if len(best) >= k else 0.0
-            hits = np.flatnonzero(score >= max(floor - 1e-12, 1e-12))
-            best += [(float(score[h]), int(self.ids[lo + h]), float(self.labels[lo + h])) for h in hits if int(self.ids[lo + h]) != skip]
-            best = sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
-
-
-def vector(tf: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    """Unit TF-IDF vector with weights (1 + ln tf) * idf."""
-    w = {t: (1 + math.log(c)) * idf[t] for t, c in tf.items()}
-    length = math.sqrt(sum(x * x for x in w.values()))
-    return {t: x / length for t, x in w.items()} if length > 0 else {}
+        key = self.term[by].astype(np.int64) * max(1, self.blocks) + self.list_owner // block
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
+        self.most = np.maximum.reduceat(self.list_weight, head) if len(head) else np.empty(0)
+        self.most_block = (key[head] % max(1, self.blocks)).astype(np.int32)
+        self.most_at = np.concatenate([[0], np.cumsum(np.bincount(self.term[by][head], minlength=terms))]).astype(np.int64)
+        self.terms = terms
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "dense"}
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None, lead: int = 8) -> list[tuple[float, int, float]]:
+        """The k best (cosine, number of the example, label), but for example ``skip``; examples without a common term do not count."""
+        start, stop = self.most_at[terms], self.most_at[terms + 1]
+        at = _slices(start, stop)
+        bound = np.bincount(self.most_block[at], weights=self.most[at] * np.repeat(weights, stop - start), minlength=self.blocks)
+        score = np.zeros(len(self.given))
+        first = np.argsort(-bound, kind="stable")[:lead]
+        if not hasattr(self, "dense"):
+            self.dense = np.zeros(self.terms)
+        self.dense[terms] = weights
+
+        def rows(blocks: np.ndarray) -> None:
+            for b in blocks.tolist():
+                lo, hi = b * self.block, min((b + 1) * self.block, len(self.given))
+                x, y = self.row[lo], self.row[hi]
+                score[lo:hi] = np.add.reduceat(self.dense[self.term[x:y]] * self.weight[x:y], self.row[lo:hi] - x)
+
+        rows(first)
+        mine = np.flatnonzero(self.given == skip) if skip is not None else np.empty(0, dtype=np.int64)
+        score[mine] = 0
+        floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        bound[first] = -1
+        live = np.flatnonzero((bound > 0) & (bound >= floor - 1e-12))
+        if len(live):
+            start, stop = self.list_at[terms], self.list_at[terms + 1]
+            if int((stop - start).sum()) < 2 * int((self.row[np.minimum((live + 1) * self.block, len(self.given))] - self.row[live * self.block]).sum()):
+                at = _slices(start, stop)
+                score = np.bincount(self.list_owner[at], weights=self.list_weight[at] * np.repeat(weights, stop - start), minlength=len(self.given))
+            else:
+                rows(live)
+            score[mine] = 0
+        self.dense[terms] = 0
+        floor = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        hits = np.flatnonzero(score >= max(floor - 1e-12, 1e-12))
+        best = sorted(((float(score[h]), int(self.given[h]), float(self.labels[h])) for h in hits), key=lambda x: (-round(x[0], 12), x[1]))
+        return best[:k]
+
+
+def favour(n0: np.ndarray, n1: np.ndarray, total0: int, total1: int, gain: float) -> np.ndarray:
+    """1 to 1 + ``gain`` for each term: more, the surer (chi-squared, full from 30) and stronger (odds ratio, full from 6) a label goes with it.
+
+    n0 and n1 are the examples of either label that hold the term. A term of one example gets 1.
+    """
+    absent0, absent1 = total0 - n0, total1 - n1
+    chi2 = (total0 + total1) * (n0 * absent1 - n1 * absent0) ** 2 / np.maximum(1e-9, float(total0) * total1 * (n0 + n1) * (absent0 + absent1))
+    odds = np.abs(np.log((n1 + 0.5) * (absent0 + 0.5) / ((n0 + 0.5) * (absent1 + 0.5))))
+    return 1 + gain * np.minimum(1, chi2 / 30) * np.minimum(1, odds / math.log(6)) * (n0 + n1 >= 2)
+
+
+def vector(t: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and unit TF-IDF vector: (1 + ln tf) times the term's weight."""
+    w = (1 + np.log(tf)) * weight[t]
+    length = math.sqrt(float((w * w).sum()))
+    return t, w / length if length > 0 else w
 
 
 def vote(near: list[tuple[float, int, float]], prior: float, strength: float = 0.5) -> float:
@@ -128,104 +139,88 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 and math.isfinite(a) and math.isfinite(b) else (1.0, 0.0)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 20_000, terms: int = 2_000, chi2: float = 30.0, odds: float = 6.0, k: int = 15, holdout: tuple[int, int] = (5, 0)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 4_000, gain: float = 5.0, k: int = 15, holdout: tuple[int, int] = (5, 0)) -> DataFrame:
     """Per row: doc_id, score (0 to 1), neighbours (cosine, doc_id, label of the nearest examples).
 
     Examples are at most ``sample`` labelled documents outside the held-out part, those of
-    smallest id hash. Terms are the at most ``terms`` words and word stems that their labels
-    favour: chi-squared at least ``chi2``, odds ratio at least ``odds`` either way. Document
-    frequencies for the IDF are counted over all documents. A row's score is the vote of its k
-    nearest examples by cosine, calibrated on the examples' own leave-one-out votes; a row
-    without any term gets the smoothed rate among the examples without any.
-
-    Whole texts are read; null and empty ones have no terms. Repeated rows are scored each; a row
-    with a null id is never an example. With no examples every score is 0.5 at most. Only
-    ``sample`` examples and ``terms`` counts ever come to the driver. Other columns are not read.
+    smallest id hash; of an id with several texts, the one of smallest text hash. Terms are all
+    words of the examples' whole texts. A term's weight is its IDF, from document frequencies over
+    all documents, times 1 to 1 + ``gain`` by how far it goes with a label, see ``favour``; no term
+    is left out. A row's score is the vote of its k nearest examples by exact cosine, calibrated on
+    all examples' own leave-one-out votes; a row without any term gets the smoothed rate among the
+    examples without any.
+
+    Null and empty texts have no terms. Repeated rows are scored each; a row with a null id is never
+    an example. With no examples every score is 0.5 at most. To the driver come the examples' term
+    counts and the counts of their terms, bounded by the words of ``sample`` texts. Other columns are not read.
     """
     spark = docs.sparkSession
     parts, part = holdout
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == part
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
-    truth = dict(zip(chosen["doc_id"].tolist(), chosen["y"].tolist(), strict=True))
+    small = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxic-labels")
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    small = spark.createDataFrame(chosen, "doc_id long, y int") if len(chosen) else spark.createDataFrame([], "doc_id long, y int")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[int]] = {}
-
-        def parts() -> Iterator[pd.DataFrame]:
-            terms, both = list(seen), list(seen.values())
-            for i in range(0, len(terms), 20_000):
-                yield pd.DataFrame({"term": terms[i : i + 20_000], "n0": [v[0] for v in both[i : i + 20_000]], "n1": [v[1] for v in both[i : i + 20_000]]})
-
         for f in frames:
+            seen: dict[str, list[int]] = {}
             for text, y in zip(f["text"], f["y"], strict=True):
                 for w in features(text):
                     seen.setdefault(w, [0, 0])[y] += 1
-            if len(seen) > 300_000:  # bounded memory: pass on what there is
-                yield from parts()
-                seen.clear()
-        yield from parts()
-
-    n1 = int(sum(truth.values()))
-    n0 = len(truth) - n1
-    counted = rows.join(F.broadcast(small), "doc_id").select("text", "y").mapInPandas(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b"))
-    a, b, total = F.col("a"), F.col("b"), float(max(1, n0 + n1))
-    c, d = F.lit(float(n0)) - a, F.lit(float(n1)) - b
-    strength = F.lit(total) * F.pow(a * d - b * c, 2) / F.greatest(F.lit(1e-9), F.lit(float(n0)) * F.lit(float(n1)) * (a + b) * (c + d))
-    ratio = F.abs(F.log((b + 0.5) * (c + 0.5) / ((a + 0.5) * F.greatest(F.lit(0.5), d + 0.5))))
-    picked = counted.filter((a + b) >= 2).withColumn("x", strength).filter((F.col("x") >= chi2) & (ratio >= math.log(odds))).orderBy(F.desc("x"), "term").limit(terms).collect() if n0 and n1 else []
-    number = {r["term"]: i for i, r in enumerate(sorted(picked, key=lambda r: r["term"]))}
-
-    whole = {w: i for w, i in number.items() if not w.startswith("^")}
-    stems = [(n, found) for n in STEMS if (found := {w[1:]: i for w, i in number.items() if w.startswith("^") and len(w) == n + 1})]
+            terms, both = list(seen), list(seen.values())
+            yield pd.DataFrame({"term": terms, "n0": [v[0] for v in both], "n1": [v[1] for v in both]})
+
+    chosen = rows.join(F.broadcast(small), "doc_id").withColumn("h", F.xxhash64("text"))
+    chosen = chosen.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).filter("at = 1").select("doc_id", "y", "text", "h")
+    chosen = written(chosen, "toxic-examples")
+    counted = chosen.select("text", "y").mapInPandas(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1")).toPandas().sort_values("term")
+    total = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
+    number = {t: i for i, t in enumerate(counted["term"].tolist())}
+    numbers = spark.sparkContext.broadcast(number)
 
     def sparse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = numbers.value.get
         for f in frames:
-            out = [known_features(text, whole, stems) for text in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].array, "t": [[t for t, _ in x] for x in out], "tf": [[v for _, v in x] for x in out]})
+            for at in range(0, len(f), 500):
+                part = f.iloc[at : at + 500]
+                out = [sorted((i, c) for w, c in features(text).items() if (i := find(w)) is not None) for text in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "t": [[t for t, _ in x] for x in out], "tf": [[v for _, v in x] for x in out]})
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    narrow = written(rows.mapInPandas(sparse, f"doc_id {id_type}, t array<int>, tf array<int>"), "toxic-terms")
-    df = np.zeros(max(1, len(number)))
+    narrow = written(rows.withColumn("h", F.xxhash64("text")).mapInPandas(sparse, f"doc_id {id_type}, h long, t array<int>, tf array<int>"), "toxic-terms")
+    df = np.zeros(len(number))
     for r in narrow.select(F.explode("t").alias("t")).groupBy("t").count().collect():
         df[r["t"]] = r["count"]
-    idf = np.log((1 + narrow.count()) / (1 + df)) + 1
-    mine = narrow.join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    vectors = [vector(dict(zip(t, tf, strict=True)), idf) for t, tf in zip(mine["t"].tolist(), mine["tf"].tolist(), strict=True)]
-    y = mine["y"].to_numpy(dtype=float)
-    full = np.array([bool(v) for v in vectors], dtype=bool)
+    weight = (np.log((1 + narrow.count()) / (1 + df)) + 1) * favour(counted["n0"].to_numpy(), counted["n1"].to_numpy(), total.get(0, 0), total.get(1, 0), gain)
+    mine = narrow.join(F.broadcast(chosen.select("doc_id", "h", "y")), ["doc_id", "h"]).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    ids, y = mine["doc_id"].tolist(), mine["y"].to_numpy(dtype=float)
+    made = lambda t, tf: vector(np.asarray(t, dtype=np.int64), np.asarray(tf, dtype=np.int64), weight)
+    vectors = [made(t, tf) for t, tf in zip(mine["t"], mine["tf"], strict=True)]
+    full = np.flatnonzero([len(t) > 0 for t, _ in vectors])
     prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
-    bare = float((y[~full].sum() + 0.5 * prior) / ((~full).sum() + 0.5)) if (~full).any() else prior
-    index = ExampleIndex(mine["doc_id"].to_numpy(dtype="int64")[full], y[full], [v for v in vectors if v])
-    own = [(vote(index.top(v, k, skip=int(i)), prior), t) for i, v, t in zip(mine["doc_id"], vectors, y, strict=True) if v][:4000]
-    slope, shift = platt(np.array([r for r, _ in own]), np.array([t for _, t in own])) if own and 0 < sum(t for _, t in own) < len(own) else (1.0, 0.0)
-    shared = spark.sparkContext.broadcast(index)
+    empty = np.setdiff1d(np.arange(len(y)), full)
+    bare = float((y[empty].sum() + 0.5 * prior) / (len(empty) + 0.5)) if len(empty) else prior
+    index = ExampleIndex(y[full], [vectors[i] for i in full], len(number))
+    own = np.array([vote(index.top(*vectors[i], k, skip=n), prior) for n, i in enumerate(full)])
+    slope, shift = platt(own, y[full]) if 0 < y[full].sum() < len(full) else (1.0, 0.0)
+    shared = spark.sparkContext.broadcast((index, [ids[i] for i in full], weight))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        kept: dict[tuple, tuple] = {}
+        index, ids, weight = shared.value
         for f in frames:
             scores, evidence = [], []
             for t, tf in zip(f["t"], f["tf"], strict=True):
-                key = (*t, -1, *tf)
-                if key not in kept:
-                    if len(kept) > 50_000:
-                        kept.clear()
-                    near = index.top(vector(dict(zip(t, tf, strict=True)), idf), k) if len(t) else []
-                    if near:
-                        raw = min(max(vote(near, prior), 1e-4), 1 - 1e-4)
-                        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log(raw / (1 - raw)) + shift))))
-                    else:
-                        p = bare
-                    kept[key] = (p, [{"cosine": c, "doc_id": i, "label": int(label)} for c, i, label in near])
-                p, near = kept[key]
-                scores.append(p)
-                evidence.append(near)
+                near = index.top(*vector(np.asarray(t, dtype=np.int64), np.asarray(tf, dtype=np.int64), weight), k) if len(t) else []
+                scores.append(calibrated(vote(near, prior), slope, shift) if near else bare)
+                evidence.append([{"cosine": c, "doc_id": ids[i], "label": int(label)} for c, i, label in near])
             yield pd.DataFrame({"doc_id": f["doc_id"].array, "score": scores, "neighbours": evidence})
 
-    return narrow.mapInPandas(search, f"doc_id {id_type}, score double, neighbours array<struct<cosine:double,doc_id:long,label:int>>")
+    return narrow.mapInPandas(search, f"doc_id {id_type}, score double, neighbours array<struct<cosine:double,doc_id:{id_type},label:int>>")
+
+
+def calibrated(raw: float, slope: float, shift: float) -> float:
+    raw = min(max(raw, 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log(raw / (1 - raw)) + shift))))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
