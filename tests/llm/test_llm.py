@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empty tables, long texts, ties, repeats and clashing columns."""
 
 import collections
+import fractions
 import hashlib
 import itertools
 import json
@@ -588,18 +589,20 @@ def test_toxicity_against_brute_force(spark):
 # ------------------------------------------------------------------ 8 mixing
 
 
-def test_edf_keeps_windows_and_shares():
-    rng = random.Random(7)
-    for _ in range(60):
-        weights = {str(i): rng.random() + 0.01 for i in range(rng.randint(1, 9))}
-        period = max(rng.choice([10, 50, 500]), 4 * len(weights))
-        counts = mixing.shares(weights, period)
-        assert sum(counts.values()) == period
-        seen = collections.Counter()
-        for slot, (s, _, release, deadline) in enumerate(mixing.edf(counts, period)):
-            assert release <= slot < deadline
-            seen[s] += 1
-            assert all(abs(seen[x] - counts[x] * (slot + 1) / period) < 1 + 1e-9 for x in counts)
+@pytest.mark.parametrize("weights", [[1, 2], [1, 1, 5], [4, 9996], [0.1, 0.2, 0.7], [1e-3] * 299 + [0.7], [3**0.5, 2**0.5, 7**0.5, 1.0]])
+def test_schedule_stays_within_a_block_of_the_true_weights(weights):
+    """At every prefix of 30,000 slots and more, while no source has run out; windows hold to the end."""
+    w = {f"s{i:03}": fractions.Fraction(x) for i, x in enumerate(weights)}
+    total = sum(w.values())
+    blocks = {s: math.ceil(30_000 * x / total) + 1 for s, x in w.items()}
+    names, share = sorted(w), np.array([float(w[s] / total) for s in sorted(w)])
+    at, seen, worst = {s: i for i, s in enumerate(names)}, np.zeros(len(w)), 0.0
+    for slot, (s, k, release, deadline) in enumerate(mixing.schedule(blocks, w)):
+        assert release <= slot < deadline and k == seen[at[s]]
+        seen[at[s]] += 1
+        if slot < 30_000:
+            worst = max(worst, float(np.abs(seen - (slot + 1) * share).max()))
+    assert worst < 1 - 1e-9 and dict(zip(names, seen.astype(int).tolist(), strict=True)) == blocks
 
 
 def test_every_prefix_of_a_long_schedule_keeps_the_target_weights():
@@ -619,7 +622,7 @@ def test_every_prefix_of_a_long_schedule_keeps_the_target_weights():
 
 def test_mixing_places_every_row(spark):
     rows = [(i, "t", "en", "hot" if i % 3 == 0 else f"s{i % 7}", 1) for i in range(1500)] + [(None, "x", "en", None, 1), (4, "again", "en", "hot", 1)]
-    got = mixing.mix(clashing(docs(spark, rows)), block=4, period=50, weights={"s1": 30.0, "s2": 60.0}).collect()
+    got = mixing.mix(clashing(docs(spark, rows)), block=4, weights={"s1": 30.0, "s2": 60.0}).collect()
     assert len(got) == len(rows)
     assert collections.Counter((g.doc_id, g.source) for g in got) == collections.Counter((r[0], r[3]) for r in rows)
     assert len({g.position for g in got}) == len(rows)
@@ -632,22 +635,16 @@ def test_mixing_places_every_row(spark):
     seen, total = collections.Counter(), sum(w.values())
     for n, slot in enumerate(sorted(slots)[:30], 1):
         seen[next(iter(slots[slot]))[0]] += 1
-        assert all(abs(seen[s] - n * w[s] / total) < 1.6 for s in w)  # one block, and the rounding of shares to the period
-
-
-def test_mixing_pools_small_sources(spark):
-    rows = [(i, "t", "en", f"s{i % 50}", 1) for i in range(500)]
-    got = mixing.mix(docs(spark, rows), max_sources=5, block=2, period=20).collect()
-    assert len({g.position for g in got}) == 500
+        assert all(abs(seen[s] - n * w[s] / total) < 1 for s in w)
 
 
 def test_mixing_schedules_every_source(spark):
-    rows = [(i, "t", "en", f"s{i % 130}", 1) for i in range(1300)]
-    got = mixing.mix(docs(spark, rows), block=5, weights={"s129": 1000.0}).collect()
-    assert len({(g.source, g.slot) for g in got}) == len({g.slot for g in got}) == 260
-    assert {g.source for g in got if g.slot < 2} == {"s129"}
-    with pytest.raises(ValueError, match="pool"):
-        mixing.mix(docs(spark, rows), max_sources=2, weights={"s1": 1.0, "s2": 1.0, "s3": 1.0})
+    rows = [(i, "t", "en", f"s{i % 300}", 1) for i in range(1500)]
+    got = mixing.mix(docs(spark, rows), block=5, weights={"s129": 10_000.0}).collect()
+    assert len({(g.source, g.slot) for g in got}) == len({g.slot for g in got}) == 300
+    assert {g.source for g in got if g.slot == 0} == {"s129"}
+    with pytest.raises(ValueError, match="positive"):
+        mixing.mix(docs(spark, rows), weights={"s1": -1.0})
 
 
 # ------------------------------------------------------------------ all: empty tables

@@ -16,23 +16,12 @@ from pyspark.sql import functions as F
 from textloom.llm.common import gapless, hash60, scratch_path, table
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Blocks of each source in a period of slots: the weights' shares by largest remainder, at least 1."""
-    total = sum(weights.values())
-    ideal = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in ideal.items()}
-    order = sorted(ideal, key=lambda s: (-(ideal[s] - math.floor(ideal[s])), s))
-    short = period - sum(out.values())
-    for i in range(max(0, short)):
-        out[order[i % len(order)]] += 1
-    while short < 0:  # the minimum of 1 took too many: take them from the largest
-        s = max(out, key=lambda s: (out[s], s))
-        out[s] -= 1
-        short += 1
-    return out
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
+def default_weight(rows: int, exponent: float = 0.5) -> Fraction:
+    """The ``exponent`` power of a source's row count, as an exact multiple of 2**-20."""
+    return Fraction(max(1, math.isqrt(rows << 40) if exponent == 0.5 else math.floor(rows**exponent * 2**20)), 2**20)
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, Fraction | float]) -> Iterator[tuple[str, int, int, int]]:
     """Slot by slot (source, block, release, deadline), until all ``blocks`` are placed.
 
     The target is the fluid mixture: at any time the sources that have something left share it by
@@ -74,12 +63,7 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tupl
             heapq.heappush(waiting, (slots(s, k + 1)[0], s, k + 1))
 
 
-def edf(counts: dict[str, int], period: int) -> list[tuple[str, int, int, int]]:
-    """The schedule of ``period`` slots in which each source has as many blocks as its weight."""
-    return list(schedule(counts, counts))[:period]
-
-
-def _written_schedule(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], rows: int = 500_000) -> DataFrame:
+def _written_schedule(spark: SparkSession, blocks: dict[str, int], weights: dict[str, Fraction | float], rows: int = 500_000) -> DataFrame:
     """(k, b, slot) of each block, written ``rows`` at a time, so the driver never holds the whole."""
     path, placed, at = scratch_path(spark, "mix-schedule"), schedule(blocks, weights), 0
     while True:
@@ -92,47 +76,35 @@ def _written_schedule(spark: SparkSession, blocks: dict[str, int], weights: dict
     return spark.read.schema("k string, b long, slot long").parquet(path)
 
 
-def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int = 8, period: int = 1000, max_sources: int | None = None, exponent: float = 0.5, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int = 8, exponent: float = 0.5, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Give every row a place in the mixture: doc_id, source, block, slot, place, position.
 
     A source's rows are shuffled by a seeded hash of the id and cut into blocks of ``block`` rows.
     ``schedule`` interleaves the blocks, so every prefix holds each source's exact share to within
-    one block. All rows are kept: a source that has run out leaves its slots to the others. position numbers the mixed rows, gapless from 0
-    up to short last blocks: slot * block + place.
+    one block. All rows are kept: a source that has run out leaves its slots to the others. position
+    is slot * block + place: it numbers the mixed rows, with gaps after a source's short last block.
 
     ``weights`` maps sources to target weights; by default, and for sources it does not name, a
-    source weighs the ``exponent`` power of its row count. The driver holds one count a source,
-    and every source has its own blocks. Only a caller that gives ``max_sources`` gets a pool: beyond so many
-    sources, named ones and then large ones first, the others share one place, which weighs what
-    they weigh together; a weight given for one of them is an error. The schedule is made on the driver, one step a block, and written in
-    pieces; ``period`` no longer changes anything. A null source is
-    a source of its own, a null id hashes as ''; repeated rows are rows. Text is not read.
+    source weighs the ``exponent`` power of its row count. Every source has its own blocks, however
+    many there are; the driver holds one count a source. The schedule is made on the driver, one heap
+    step a block, and written in pieces, so its memory is that of the sources and its time some three
+    microseconds a block: give ``block`` as many rows as keeps the blocks below 10**8. A null source
+    is a source of its own, a null id hashes as ''; repeated rows are rows. Text is not read.
 
     A hot source is never one task's work: rows are numbered in ranges of their hash.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
     rows = rows.withColumn("_h", hash60(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    rows = rows.withColumn("_key", key)
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     found = rows.groupBy("source", "_key").agg(F.count(F.lit(1)).alias("n")).collect()
     named = weights or {}
-    found.sort(key=lambda r: (r["source"] not in named, -r["n"], r["_key"]))
-    total = sum(r["n"] for r in found)
-    own, pooled = found[:max_sources], found[len(found[:max_sources]) :]
-    if lost := sorted(r["source"] for r in pooled if r["source"] in named):
-        raise ValueError(f"weights are given for sources in the pool: {lost[:5]}")
-    counts = {r["_key"]: r["n"] for r in own}
-    target = {r["_key"]: float(named.get(r["source"], r["n"] ** exponent)) for r in own}
-    if pooled:
-        counts["pool"] = sum(r["n"] for r in pooled)
-        target["pool"] = sum(r["n"] ** exponent for r in pooled)
+    target = {r["_key"]: Fraction(named[r["source"]]) if r["source"] in named else default_weight(r["n"], exponent) for r in found}
     if any(w <= 0 for w in target.values()):
         raise ValueError("a weight must be positive")
-    keyed = rows.withColumn("_key", F.when(F.col("_key").isin(list(counts)), F.col("_key")).otherwise("pool")) if pooled else rows
-    numbered = gapless(keyed, "_key", ["_h", "doc_id"], total, out="_i").withColumn("block", F.floor(F.col("_i") / block)).withColumn("place", F.pmod("_i", F.lit(block)).cast("int"))
-
-    plan = _written_schedule(spark, {k: -(-n // block) for k, n in counts.items()}, target)
+    total = sum(r["n"] for r in found)
+    numbered = gapless(rows, "_key", ["_h", "doc_id"], total, out="_i").withColumn("block", F.floor(F.col("_i") / block)).withColumn("place", F.pmod("_i", F.lit(block)).cast("int"))
+    plan = _written_schedule(spark, {r["_key"]: -(-r["n"] // block) for r in found}, target)
     placed = numbered.join(plan, (F.col("_key") == F.col("k")) & (F.col("block") == F.col("b")))
     return placed.select("doc_id", "source", "block", "slot", "place", (F.col("slot") * block + F.col("place")).alias("position"))
 
@@ -140,3 +112,21 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source."""
     return mix(table(spark, sf_dir, "documents"))
+
+
+#: Windows of all blocks in whole numbers, then one recursion a slot: the released block of earliest deadline.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, row_number() OVER (PARTITION BY source ORDER BY substr(md5(coalesce('mix:' || doc_id::VARCHAR, 'mix')), 1, 15), doc_id) - 1 AS i FROM documents),
+s AS (SELECT key, ((count(*) + 7) // 8)::HUGEINT AS n, floor(sqrt(count(*)) * 1048576)::HUGEINT AS w, row_number() OVER (ORDER BY key) AS r FROM d GROUP BY key),
+b AS (SELECT key, r, n, w, unnest(range(0, n::BIGINT + 1)) AS k FROM s),
+t AS (SELECT b.key, b.r, b.k, b.n, b.w, coalesce(sum(o.n) FILTER (o.n * b.w <= b.k * o.w), 0)::HUGEINT AS gone, coalesce(sum(o.w) FILTER (o.n * b.w > b.k * o.w), 0)::HUGEINT AS active FROM b, s o GROUP BY ALL),
+v AS (SELECT key, r, k, n, gone + (k * active) // w AS floor_slot, gone + (k * active + w - 1) // w AS ceil_slot FROM t),
+win AS (SELECT a.key, a.r, a.k, a.floor_slot AS release, z.ceil_slot AS deadline FROM v a JOIN v z ON z.r = a.r AND z.k = a.k + 1),
+run AS (
+  SELECT 0 AS slot, (SELECT list(0::BIGINT) FROM s) AS done, NULL::STRUCT(deadline HUGEINT, key VARCHAR, r BIGINT, k BIGINT) AS pick
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda x, j: CASE WHEN j = p.r THEN x + 1 ELSE x END), p
+  FROM (SELECT slot, done, min(struct_pack(deadline := deadline, key := key, r := r, k := k)) AS p FROM run JOIN win ON win.k = run.done[win.r] AND win.release <= run.slot GROUP BY slot, done)),
+plan AS (SELECT slot - 1 AS slot, pick.key AS key, pick.k AS block FROM run WHERE slot > 0)
+SELECT doc_id, source, block::BIGINT AS block, slot::BIGINT AS slot, (i % 8)::INT AS place, (slot * 8 + i % 8)::BIGINT AS position FROM d JOIN plan ON plan.key = d.key AND plan.block = d.i // 8
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op4_substring": substring.ORACLE, "op6_shard": sharding.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op4_substring": substring.ORACLE, "op6_shard": sharding.ORACLE, "op8_mix": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
