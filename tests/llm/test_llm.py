@@ -439,7 +439,8 @@ def test_similar_texts_share_a_rare_gram():
 # ------------------------------------------------------------------ 1 nearest neighbours
 
 
-def test_ann_recall_ties_and_invalid_vectors(spark):
+@pytest.mark.parametrize("group_rows,query_slice", [(3000, 4000), (10, 7)])
+def test_ann_recall_ties_and_invalid_vectors(spark, group_rows, query_slice):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, size=(1500, 1))
     x[400:460] = x[20]  # a very common vector
@@ -447,7 +448,7 @@ def test_ann_recall_ties_and_invalid_vectors(spark):
     rows += [(2000, None, 1), (2020, [0.0] * 16, 1), (2040, [float("nan")] * 16, 1), (2060, [None] * 16, 1), (2080, [1.0] * 3, 1), (2100, [float("inf")] * 16, 1), rows[7]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("rep", "ids", "vec", "leaf", "g", "s", "score", "rank")})
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, k=20, leaf=16, group_rows=3000).collect():
+    for r in ann.nearest(df, k=20, leaf=16, group_rows=group_rows, query_slice=query_slice).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     assert sorted(got) == list(range(0, 1500, 20))
     recall = []
@@ -472,6 +473,12 @@ def test_ann_small_tables(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in two] == [(0, 1, 3, 0.5)]
 
 
+def test_ann_searches_each_length_and_each_vector_of_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (20, [1.0, 0.0, 0.0]), (21, [2.0, 0.0, 5.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 2, 2, 0.0), (20, 1, 21, 2.0)]
+
+
 # ------------------------------------------------------------------ 2 and 10 classifiers
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,7 +121,19 @@ def calibrate(trees: list[Tree], points: np.ndarray, k: int, target: float, quer
     return min(float(len(trees)), float(np.quantile(need, target)) / len(points)) if need else 1.0
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, is_query: str = "vec_id % 20 = 0", trees: int = 8, leaf: int = 64, sample: int = 65_536, target: float = 0.94, group_rows: int = 20_000, query_slice: int = 4_000, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def pack(sizes: np.ndarray, group_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each leaf, parts of each group): leaves side by side in groups of about ``group_rows`` rows; a larger leaf is a group of its own, in parts."""
+    group, parts, filled = np.empty(len(sizes), dtype=np.int64), [], math.inf
+    for i, size in enumerate(sizes.tolist()):
+        if filled + size > group_rows:
+            parts.append(max(1, math.ceil(size / group_rows)))
+            filled = 0.0
+        group[i] = len(parts) - 1
+        filled += size
+    return group, np.array(parts, dtype=np.int64)
+
+
+def nearest(vectors: DataFrame, *, k: int = 20, is_query: str = "vec_id % 20 = 0", trees: int = 4, leaf: int = 256, sample: int = 65_536, target: float = 0.94, group_rows: int = 20_000, query_slice: int = 4_000, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k vectors of largest inner product found for each query: query_id, rank, vec_id, score.
 
     Inner products become distances by one more component, sqrt(largest norm squared - own norm
@@ -132,75 +143,81 @@ def nearest(vectors: DataFrame, *, k: int = 20, is_query: str = "vec_id % 20 = 0
     ``target`` of the sample's own true neighbours is reached. All rows of the visited leaves are
     reranked by their exact inner product in double precision.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-    vectors of another length than the commonest. Equal vectors are one entry with their k + 1
-    smallest ids, which is all that an answer can hold, so a very common vector weighs no more
-    than another. Repeated rows of an id count once. Ties go to the smaller id. A table with fewer
+    Leaves are dealt into groups of about ``group_rows`` rows, a larger leaf into parts, and a group's
+    queries into slices of about ``query_slice``: what meets in one task is bounded, however many
+    rows a leaf has. Only a group that more than ``query_slice`` queries visit is copied.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of
+    different lengths have no inner product: each length is searched by itself. Equal vectors are one
+    entry with their k + 1 smallest ids, which is all that an answer can hold, so a very common vector
+    weighs no more than another. Repeated equal rows count once; an id with several vectors asks once
+    with each, and a query's own id is no candidate. Ties go to the smaller id. A table with fewer
     than two vectors gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec")).filter(
         "vec_id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vec, x -> x != 0)"
     )
-    common = base.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not common:
-        return spark.createDataFrame([], schema)
-    dim = int(common[0]["dim"])
-    base = base.filter(F.size("vec") == dim).dropDuplicates(["vec_id", "vec"]).withColumn("h", F.xxhash64("vec"))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in base.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect():
+        out = out.unionAll(_nearest(base.filter(F.size("vec") == r["dim"]), k, is_query, trees, leaf, sample, target, group_rows, query_slice, seed))
+    return out
+
+
+def _nearest(base: DataFrame, k: int, is_query: str, trees: int, leaf: int, sample: int, target: float, group_rows: int, query_slice: int, seed: int) -> DataFrame:
+    """``nearest`` over (vec_id, vec) of one length."""
+    spark = base.sparkSession
+    base = base.dropDuplicates(["vec_id", "vec"]).withColumn("h", F.xxhash64("vec"))
     few = base.withColumn("_r", F.row_number().over(Window.partitionBy("h", "vec").orderBy("vec_id"))).filter(F.col("_r") <= k + 1)
     entries = written(few.groupBy("h", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("rep"), "ids", "vec"), "ann-entries")
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     n, top = entries.agg(F.count(F.lit(1)), F.max(norm2)).first()
-    fitted = entries.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("rep", "vec").toPandas().sort_values("rep")
+    fitted = entries.orderBy(F.xxhash64("rep", "vec"), "rep").limit(sample).select("rep", "vec").toPandas()
 
-    points = np.stack(fitted["vec"].to_numpy()).astype(np.float32)
-    points = augment(points, top)
+    points = augment(np.stack(fitted["vec"].to_numpy()).astype(np.float32), top)
     rng = np.random.default_rng(seed)
-    leaf_sample = max(8, round(leaf * len(points) / n))
-    forest = [build_tree(points, leaf_sample, rng) for _ in range(trees)]
+    forest = [build_tree(points, max(8, round(leaf * len(points) / n)), rng) for _ in range(trees)]
     share = calibrate(forest, points, k, target, 150, rng)
     sizes = [np.bincount(assign(t, points), minlength=t.leaves) * (n / len(points)) for t in forest]
     budget = share * n
-    groups = max(1, math.ceil(n * trees / group_rows))
     first_leaf = np.cumsum([0] + [t.leaves for t in forest])
-    asked = base.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec")
-    slices = max(1, math.ceil(asked.count() / query_slice))
-    shared = spark.sparkContext.broadcast((forest, sizes, first_leaf))
+    group, parts = pack(np.concatenate(sizes), group_rows)
+    shared = spark.sparkContext.broadcast((forest, sizes, first_leaf, group))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, _, first = shared.value
+        forest, _, first, group = shared.value
         for f in frames:
             if not len(f):
                 continue
             x = augment(np.stack(f["vec"].to_numpy()), top).astype(np.float32)
             for t, tree in enumerate(forest):
                 leaves = assign(tree, x) + first[t]
-                yield f.assign(leaf=leaves.astype("int64"), g=(leaves % groups).astype("int32"))[["g", "leaf", "rep", "ids", "vec"]]
+                yield f.assign(leaf=leaves.astype("int64"), g=group[leaves])[["g", "leaf", "rep", "ids", "vec"]]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, sizes, first = shared.value
+        forest, sizes, first, group = shared.value
         for f in frames:
             out = []
-            for qid, vec in zip(f["query_id"], f["vec"], strict=True):
+            for qid, h, vec in zip(f["query_id"], f["h"], f["vec"], strict=True):
                 q = np.append(np.asarray(vec, dtype=np.float32), np.float32(0))
                 by: dict[int, list[int]] = {}
                 seen = 0.0
                 for t, leaf_no in visit(forest, margins_of(forest, q)):
                     x = int(first[t] + leaf_no)
-                    by.setdefault(x % groups, []).append(x)
+                    by.setdefault(int(group[x]), []).append(x)
                     seen += sizes[t][leaf_no]
                     if seen >= budget:
                         break
-                out += [(g, zlib.crc32(str(qid).encode()) % slices, qid, vec, xs) for g, xs in by.items()]
-            yield pd.DataFrame(out, columns=["g", "s", "query_id", "vec", "leaves"])
+                out += [(g, qid, h, vec, xs) for g, xs in by.items()]
+            yield pd.DataFrame(out, columns=["g", "query_id", "h", "vec", "leaves"])
 
     def rerank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "hits": []})
+            return pd.DataFrame([], columns=["query_id", "h", "hits"], dtype=object)
         left = left.sort_values("leaf", kind="stable")
         v, q = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
         reps, ids = left["rep"].to_numpy(), left["ids"].to_numpy()
+        single, entry = np.array([len(i) == 1 for i in ids]), np.array([hash(x.tobytes()) for x in v])  # an entry comes once a tree
         leaf_no, starts = np.unique(left["leaf"].to_numpy(), return_index=True)
         ends = np.append(starts[1:], len(left))
         asking: dict[int, list[int]] = {}
@@ -215,31 +232,39 @@ def nearest(vectors: DataFrame, *, k: int = 20, is_query: str = "vec_id % 20 = 0
                     scores[i].append(row)
                     places[i].append((lo, hi))
         out = []
-        most = (trees + 1) * (k + 1)  # an entry comes at most once a tree
-        for i, qid in enumerate(right["query_id"]):
+        most = (trees + 1) * (k + 1)
+        for i, (qid, h) in enumerate(zip(right["query_id"], right["h"], strict=True)):
             if not scores[i]:
                 continue
             score = np.concatenate(scores[i])
             rows = np.concatenate([np.arange(lo, hi) for lo, hi in places[i]])
+            score[(reps[rows] == qid) & single[rows]] = -np.inf
             if len(rows) > most:
                 part = np.argpartition(-score, most)[:most]
                 score, rows = score[part], rows[part]
-            _, once = np.unique(reps[rows], return_index=True)
+            score, rows = score[score > -np.inf], rows[score > -np.inf]
+            _, once = np.unique(entry[rows], return_index=True)
             score, rows = score[once], rows[once]
             if len(rows) > k + 1:  # a margin over rounding in the product above
                 rows = rows[score >= np.partition(score, -(k + 1))[-(k + 1)] - 1e-9]
             score = np.array([math.fsum(p) for p in (v[rows] * q[i]).tolist()])  # exactly rounded: equal products tie
             best = np.lexsort((reps[rows], -score))[: k + 1]
-            out.append((qid, [{"d": -float(score[b]), "rep": int(reps[rows[b]]), "ids": [int(j) for j in ids[rows[b]]]} for b in best]))
-        return pd.DataFrame(out, columns=["query_id", "hits"])
+            out.append((qid, h, [{"d": -float(score[b]), "rep": int(reps[rows[b]]), "ids": [int(j) for j in ids[rows[b]]]} for b in best]))
+        return pd.DataFrame(out, columns=["query_id", "h", "hits"], dtype=None if out else object)
 
     hit = "array<struct<d:double,rep:long,ids:array<long>>>"
-    left = entries.mapInPandas(index, "g int, leaf long, rep long, ids array<long>, vec array<double>").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = asked.mapInPandas(search, "g int, s int, query_id long, vec array<double>, leaves array<long>")
-    found = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInPandas(rerank, f"query_id long, hits {hit}")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
-    one = best.select("query_id", F.explode("hits").alias("x")).select("query_id", (-F.col("x.d")).alias("score"), F.explode("x.ids").alias("vec_id")).filter("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    asked = base.filter(is_query).select(F.col("vec_id").alias("query_id"), "h", "vec").repartition(spark.sparkContext.defaultParallelism)
+    right = written(asked.mapInPandas(search, "g long, query_id long, h long, vec array<double>, leaves array<long>"), "ann-asked")
+    # one row a group: as many as leaves at most, which the sample bounds
+    dealt = spark.createDataFrame([(g, int(p)) for g, p in enumerate(parts)], "g long, parts int")
+    dealt = F.broadcast(right.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / query_slice).cast("int").alias("slices")).join(dealt, "g"))
+    left = entries.mapInPandas(index, "g long, leaf long, rep long, ids array<long>, vec array<double>").join(dealt, "g")
+    left = left.withColumn("p", F.pmod(F.xxhash64("rep", "vec"), F.col("parts")).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("parts", "slices")
+    right = right.join(dealt, "g").withColumn("s", F.pmod(F.xxhash64("query_id", "h"), F.col("slices")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "slices")
+    found = left.groupBy("g", "p", "s").cogroup(right.groupBy("g", "p", "s")).applyInPandas(rerank, f"query_id long, h long, hits {hit}")
+    best = found.groupBy("query_id", "h").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
+    one = best.select("query_id", "h", F.explode("hits").alias("x")).select("query_id", "h", (-F.col("x.d")).alias("score"), F.explode("x.ids").alias("vec_id")).filter("vec_id != query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
     return one.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
