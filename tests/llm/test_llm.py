@@ -515,6 +515,32 @@ def test_quality_held_out_accuracy_and_rules(spark):
     assert model.rules and all(str(r) for r in model.rules)
 
 
+def test_quality_weights_solve_the_lasso():
+    """The optimality conditions of mean logistic loss plus penalty * |w|, on rules standardised as in the fit."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, len(quality.STATS)))
+    y = ((x[:, 0] > 0.3) & (x[:, 3] < 1) | (x[:, 5] > 1.5)).astype(float)
+    penalty = 5e-3
+    model = quality.fit(x, y, penalty=penalty, steps=4000)
+    p = model.predict(x)
+    assert 0 < len(model.rules) < 60 and abs((p - y).mean()) < 1e-3
+    for rule, weight in zip(model.rules, model.weights, strict=True):
+        a = rule.of(x).astype(float)
+        scale = max((a.mean() * (1 - a.mean())), 1e-4) ** 0.5
+        slope = ((a - a.mean()) / scale * (p - y)).mean()
+        assert abs(slope + penalty * np.sign(weight)) < 3e-4
+    brute = 1 / (1 + np.exp(-(model.bias + sum(w * np.all([(x[:, f] >= lo) & (x[:, f] < hi) for f, lo, hi in r.bounds], axis=0) for r, w in zip(model.rules, model.weights, strict=True)))))
+    assert np.allclose(brute, p)
+
+
+def test_quality_learns_from_one_text_of_an_id(spark):
+    rows, labels = labelled(random.Random(5), 200)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    twice = rows + [(r[0], "zzz " * 500, "en", "s", 1) for r in rows]
+    a, b = (quality.train(docs(spark, t), lab, sample=150) for t in (twice, twice[::-1]))
+    assert a == b
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark)

@@ -203,13 +203,14 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 20_000) -> RuleModel:
     """Fit on at most ``sample`` labelled documents, those of smallest id hash outside the held-out third.
 
-    The bound makes what comes to the driver, and what is broadcast, at most ``sample`` rows.
+    Of an id with several texts the one of smallest text hash is learnt from. The bound makes what
+    comes to the driver, and what is broadcast, at most ``sample`` rows.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(known), "doc_id")
-    got = rows.select("doc_id", "_y", stats_column(F.col("_text")).alias("s")).select("doc_id", "_y", "s.*").limit(4 * sample).toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    one = rows.select("doc_id", "_y", F.xxhash64("_text").alias("h"), stats_column(F.col("_text")).alias("s")).groupBy("doc_id", "_y").agg(F.min(F.struct("h", "s")).alias("x"))
+    got = one.select("doc_id", "_y", "x.s.*").toPandas().sort_values("doc_id")
     return fit(got[STATS].to_numpy(dtype=float).reshape(-1, len(STATS)), got["_y"].to_numpy(dtype=float))
 
 
