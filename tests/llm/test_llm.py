@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -413,6 +414,19 @@ def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
     assert got == [(0, 0, 1, True), (1, 1, 2, True), (5, 1, 2, False), (5, 5, 2, True), (6, 5, 2, False)]
 
 
+@pytest.mark.parametrize("rows_a_frame", [1, 3, 100])
+def test_meetings_over_frames(rows_a_frame):
+    rng = random.Random(rows_a_frame)
+    rows = sorted((g, node, 100, node % 3, [g % 2, 7]) for g in range(20) for node in rng.sample(range(50), rng.choice([1, 2, 4, 5, 9])))
+    frames = [pd.DataFrame(rows[i : i + rows_a_frame], columns=["gram", "node", "n", "cls", "open"]) for i in range(0, len(rows), rows_a_frame)]
+    got = {(bool(x.family), x.a, x.b) for f in near_dedup.meetings(4, 0.8)(iter(frames)) for x in f.itertuples()}
+    want = set()
+    for _, members in itertools.groupby(rows, key=lambda r: r[0]):
+        nodes = [r[1] for r in members]
+        want |= {(True, x, nodes[0]) for x in nodes} if len(nodes) > 4 else {(False, x, y) for x, y in itertools.combinations(nodes, 2) if x % 3 != y % 3}
+    assert got == want
+
+
 def test_compare_decides_every_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 30, 40, dtype=np.uint64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +121,7 @@ def edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
 
     Shortcuts that prove an answer come first: lengths, the straight alignment, common ends, and
     the multiset bound. Then the furthest cell on each diagonal of the band is carried from d to
-    d + 1 edits, all diagonals at once; equal stretches are crossed 16 words at a time.
+    d + 1 edits, all diagonals at once; equal stretches are crossed 16, then 4 words at a time.
     """
     if abs(len(a) - len(b)) > limit:
         return limit + 1
@@ -139,8 +140,7 @@ def edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
         return max(n, m)
     if max(n, m) - common_words(a, b) > limit:
         return limit + 1
-    big, pad_a, pad_b = 16, np.append(a, a[:1] * 0), np.append(b, b[:1] * 0)
-    blocks_a, blocks_b = _blocks(a, big), _blocks(b, big)
+    steps = [(size, _blocks(a, size), _blocks(b, size)) for size in (16, 4)] + [(1, np.append(a, a[:1] * 0), np.append(b, b[:1] * 0))]
     goal = n - m
     # furthest[k + limit + 1]: the most words of a used on diagonal k = i - j after d edits
     furthest = np.full(2 * limit + 3, -(1 << 40), dtype=np.int64)
@@ -154,7 +154,7 @@ def edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
             x = np.minimum(x, np.minimum(n, m + diagonals[lo:hi]))
         k = diagonals[lo:hi]
         live = np.flatnonzero((x >= 0) & (x - k >= 0))
-        for step, left, right in ((big, blocks_a, blocks_b), (1, pad_a, pad_b)):
+        for step, left, right in steps:
             todo = live
             while len(todo):
                 i, j = x[todo], x[todo] - k[todo]
@@ -262,6 +262,43 @@ def prefix_length(n: int, threshold: float) -> int:
     return 2 * int((1 - threshold) * n + 1e-9) + 2
 
 
+def meetings(small: int, threshold: float):
+    """(family, a, b) of rows (gram, node, n, cls, open) that come sorted by gram.
+
+    Up to ``small`` texts of one gram give the pairs that may be similar: of different classes, alike in
+    length, with an open bucket in common. More of them give each text with the first, as one family.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, large, first = None, None, None  # rows of a gram that may go on; or that gram, known to be large, and its first text
+        for f in itertools.chain(frames, [None]):
+            out: list[tuple[bool, int, int]] = []
+            last = f is None
+            f = kept if last else f if kept is None else pd.concat([kept, f])
+            kept = None
+            if f is None or not len(f):
+                continue
+            gram, node, n, cls, keys = (f[c].to_numpy() for c in ("gram", "node", "n", "cls", "open"))
+            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            ends = np.append(starts[1:], len(gram))
+            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+                if large is not None and gram[lo] == large:
+                    out += [(True, x, first) for x in node[lo:hi].tolist()]
+                elif hi - lo > small:
+                    large, first = int(gram[lo]), int(node[lo])
+                    out += [(True, x, first) for x in node[lo:hi].tolist()]
+                elif hi == len(gram) and not last:
+                    kept = f.iloc[lo:hi]
+                elif hi - lo > 1:
+                    for i, j in itertools.combinations(range(lo, hi), 2):
+                        alike = cls[i] != cls[j] and min(n[i], n[j]) >= threshold * max(n[i], n[j]) - 1e-6
+                        if alike and not set(keys[i]).isdisjoint(keys[j]):
+                            out.append((False, int(min(node[i], node[j])), int(max(node[i], node[j]))))
+            yield pd.DataFrame(out, columns=["family", "a", "b"]).drop_duplicates()
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, by large-star and small-star.
 
@@ -409,7 +446,8 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     # 3: what is still apart in one bucket
     apart = renamed(rest.select("key", "node", "n", "cls"), "cls", roots2)
     open_ = written(apart.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("key"), "near-open")
-    left = written(apart.join(open_, "key", "left_semi").select("node", "n", "cls").distinct(), "near-left")
+    left = apart.join(open_, "key", "left_semi").groupBy("node", "n", "cls").agg(F.collect_set(F.hash("key")).alias("open"))
+    left = written(left, "near-left")
     grams = written(left.join(words_for(left.select("node")), "node"), "near-grams")
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -431,19 +469,13 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
         with np.errstate(over="ignore"):
             for f in frames:
                 first = [rare_first(omh.labelled(np.asarray(w).view(np.uint64)), shared.value)[: prefix_length(len(w), threshold)].view(np.int64) for w in f["w"]]
-                yield pd.DataFrame({"node": f["node"].array, "n": f["n"].array, "cls": f["cls"].array, "grams": first})
-
-    posted = grams.mapInPandas(rarest, "node long, n int, cls long, grams array<long>").select("node", "n", "cls", F.explode("grams").alias("gram"))
-    posted = written(posted, "near-posted")
-    common = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("node").alias("first")).filter("lo != hi")
-    common = written(common.select("gram", "size", "first"), "near-common")
-    met = written(posted.join(common, "gram"), "near-met")
-    few = met.filter(F.col("size") <= small).select("gram", "node", "n", "cls")
-    other = few.select("gram", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("cls").alias("bc"))
-    pairs3 = few.join(other, (few["gram"] == other["gram"]) & (F.col("node") < F.col("b")) & (F.col("cls") != F.col("bc")) & near("n", "bn")).select(F.col("node").alias("a"), "b").distinct()
-    links3 = verified(pairs3, grams.select("node", "w"))
-
-    many = met.filter(F.col("size") > small).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+                yield pd.DataFrame({**{c: f[c].array for c in ("node", "n", "cls", "open")}, "grams": first})
+
+    posted = grams.mapInPandas(rarest, "node long, n int, cls long, open array<int>, grams array<long>").select("node", "n", "cls", "open", F.explode("grams").alias("gram"))
+    posted = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram")
+    met = written(posted.mapInPandas(meetings(small, threshold), "family boolean, a long, b long").distinct(), "near-met")
+    links3 = verified(met.filter("NOT family").select("a", "b"), grams.select("node", "w"))
+    many = met.filter("family").select("a", "b")
     family = components(many)
     family = written(family.unionAll(family.select(F.col("root").alias("node"), "root")).distinct(), "near-family")
     parts = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
@@ -470,7 +502,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     out = real.select("doc_id", "h", "node", "d2").join(labelled.drop("doc_id", "copies"), ["node", "d2"]).join(size, "cls")
     out = out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash"))
     alone = told.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("h").alias("text_hash"))
-    release(sizes, full, leader, pairs, words, links, rest, second, links2, open_, left, grams, common, posted, met, family, met3)
+    release(sizes, full, leader, pairs, words, links, rest, second, links2, open_, left, grams, met, family, met3)
     return out.unionAll(alone)
 
 
