@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +16,9 @@ from textloom.llm.common import table, written
 _TOKEN = re.compile(r"\w+")
 
 
-def features(text: str | None) -> Counter:
-    """Counts of a whole text's lower-case words."""
-    return Counter(_TOKEN.findall((text or "").lower()))
+def words_of(text: str | None) -> list[str]:
+    """A whole text's lower-case words."""
+    return _TOKEN.findall((text or "").lower())
 
 
 def _slices(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -37,7 +36,7 @@ class ExampleIndex:
     those are shorter. Ties go to the example that was given first.
     """
 
-    def __init__(self, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 32):
+    def __init__(self, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 16):
         # alike vectors side by side make tight bounds: by their heaviest terms
         order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist())
         self.given, self.labels, self.block = np.array(order, dtype=np.int64), labels[order].astype(float), block
@@ -60,7 +59,7 @@ class ExampleIndex:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "dense"}
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None, lead: int = 8) -> list[tuple[float, int, float]]:
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None, lead: int = 1) -> list[tuple[float, int, float]]:
         """The k best (cosine, number of the example, label), but for example ``skip``; examples without a common term do not count."""
         start, stop = self.most_at[terms], self.most_at[terms + 1]
         at = _slices(start, stop)
@@ -139,8 +138,8 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 and math.isfinite(a) and math.isfinite(b) else (1.0, 0.0)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 4_000, gain: float = 5.0, k: int = 15, holdout: tuple[int, int] = (5, 0)) -> DataFrame:
-    """Per row: doc_id, score (0 to 1), neighbours (cosine, doc_id, label of the nearest examples).
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 3_000, gain: float = 5.0, k: int = 15, evidence: int = 15, holdout: tuple[int, int] = (5, 0)) -> DataFrame:
+    """Per row: doc_id, score (0 to 1), neighbours (cosine, doc_id, label of the ``evidence`` nearest examples).
 
     Examples are at most ``sample`` labelled documents outside the held-out part, those of
     smallest id hash; of an id with several texts, the one of smallest text hash. Terms are all
@@ -166,7 +165,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
         for f in frames:
             seen: dict[str, list[int]] = {}
             for text, y in zip(f["text"], f["y"], strict=True):
-                for w in features(text):
+                for w in set(words_of(text)):
                     seen.setdefault(w, [0, 0])[y] += 1
             terms, both = list(seen), list(seen.values())
             yield pd.DataFrame({"term": terms, "n0": [v[0] for v in both], "n1": [v[1] for v in both]})
@@ -184,8 +183,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
         for f in frames:
             for at in range(0, len(f), 500):
                 part = f.iloc[at : at + 500]
-                out = [sorted((i, c) for w, c in features(text).items() if (i := find(w)) is not None) for text in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "t": [[t for t, _ in x] for x in out], "tf": [[v for _, v in x] for x in out]})
+                out = [np.unique(np.array([i for w in words_of(text) if (i := find(w)) is not None], dtype=np.int32), return_counts=True) for text in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "t": [t for t, _ in out], "tf": [c.astype(np.int32) for _, c in out]})
 
     narrow = written(rows.withColumn("h", F.xxhash64("text")).mapInPandas(sparse, f"doc_id {id_type}, h long, t array<int>, tf array<int>"), "toxic-terms")
     df = np.zeros(len(number))
@@ -212,7 +211,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
             for t, tf in zip(f["t"], f["tf"], strict=True):
                 near = index.top(*vector(np.asarray(t, dtype=np.int64), np.asarray(tf, dtype=np.int64), weight), k) if len(t) else []
                 scores.append(calibrated(vote(near, prior), slope, shift) if near else bare)
-                evidence.append([{"cosine": c, "doc_id": ids[i], "label": int(label)} for c, i, label in near])
+                evidence.append([{"cosine": c, "doc_id": ids[i], "label": int(label)} for c, i, label in near[:evidence]])
             yield pd.DataFrame({"doc_id": f["doc_id"].array, "score": scores, "neighbours": evidence})
 
     return narrow.mapInPandas(search, f"doc_id {id_type}, score double, neighbours array<struct<cosine:double,doc_id:{id_type},label:int>>")
@@ -225,6 +224,6 @@ def calibrated(raw: float, slope: float, shift: float) -> float:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with held_out, score, predicted and its three nearest examples."""
-    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), evidence=3)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.slice("neighbours", 1, 3).alias("evidence"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("neighbours").alias("evidence"))
