@@ -207,12 +207,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, ids, weight = shared.value
         for f in frames:
-            scores, evidence = [], []
+            scores, found = [], []
             for t, tf in zip(f["t"], f["tf"], strict=True):
                 near = index.top(*vector(np.asarray(t, dtype=np.int64), np.asarray(tf, dtype=np.int64), weight), k) if len(t) else []
                 scores.append(calibrated(vote(near, prior), slope, shift) if near else bare)
-                evidence.append([{"cosine": c, "doc_id": ids[i], "label": int(label)} for c, i, label in near[:evidence]])
-            yield pd.DataFrame({"doc_id": f["doc_id"].array, "score": scores, "neighbours": evidence})
+                found.append([{"cosine": c, "doc_id": ids[i], "label": int(label)} for c, i, label in near[:evidence]])
+            yield pd.DataFrame({"doc_id": f["doc_id"].array, "score": scores, "neighbours": found})
 
     return narrow.mapInPandas(search, f"doc_id {id_type}, score double, neighbours array<struct<cosine:double,doc_id:{id_type},label:int>>")
 
