@@ -211,11 +211,15 @@ def test_english_filter(spark):
 
 
 def test_word_repair(spark):
-    counts = {"service": 30, "ervice": 1, "prepaid": 5, "as": 40, "dot": 9, "are": 50, "valid": 9, "do": 30, "a": 90, "s": 1}
-    r = cleaning.WordRepair(counts)
-    assert r.repair("S ervice")[0] == "Service" and r.repair("pre -paid")[0] == "pre-paid" and r.repair("a s it")[0] == "as it"
-    assert r.repair("Do T")[0] == "Dot" or r.repair("Do T")[0] == "DoT"
-    assert r.repair("Are a valid")[0] == "Are a valid"
+    counts = {"service": 30, "ervice": 1, "prepaid": 5, "as": 40, "dot": 9, "are": 50, "valid": 9, "do": 30, "a": 90, "s": 1, "network": 8, "sim": 4, "rules": 12}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    want = {
+        "S ervice": "Service", "pre -paid": "pre-paid", "pre - paid": "pre-paid", "pre-paid": "pre-paid", "a s it": "as it", "Do T": "DoT", "DO T": "DOT", "do t": "dot", "Are a valid": "Are a valid", "servic e": "service", "Servic e.": "Service.",
+        "NET WORK": "NETWORK", "Net WORK": "NetWORK", "net work net work": "network network", "n e t work": "n e t work", "si m, ru les\tru\tles": "sim, rules\trules", "": "", None: None,
+    }
+    got = {r.before: r for r in cleaning.repair_words(spark.createDataFrame([(t, t) for t in want], "before string, text string"), words).collect()}
+    assert {k: v.text for k, v in got.items()} == want
+    assert got["net work net work"].fixes == ["net work -> network"] * 2 and got["pre-paid"].fixes == [] and got["S ervice"].fixes == ["S ervice -> Service"]
     units = spark.createDataFrame([("the service works",), ("the service is good",), ("serv ice",)], "text string")
     got = cleaning.repair_words(units).collect()
     assert [x for x in got if x.fixes][0].text == "service"

@@ -39,6 +39,17 @@ FAMILIES = [
     ("COMPLAINT", ["complaint redressal"]), ("ACT", ["telecommunications act 2023"]), ("HANDBOOK", ["consumer handbook"]), ("AIRTEL", ["airtel"]), ("JIO", ["jio"]),
 ]
 
+# Names that tell a document's type, and the operators whose charters are guides.
+NAMED_TYPES = [("trai ekyc recommendations 2017", "recommendation"), ("trai consumer handbook 2018 english", "faq_or_guide")]
+OPERATORS = ("airtel", "jio", "vi")
+CHARTER_WORDS = ("charter", "chart")
+
+# Patterns of words that extraction split.
+SPACED_WORDS = r"(?<![A-Za-z])([A-Za-z]+)[ \t]+([A-Za-z]+)(?![A-Za-z])"
+SPACED_HYPHEN = r"(?U)(?<![A-Za-z])([A-Za-z]+)\s*-\s*([A-Za-z]+)(?![A-Za-z])"
+SPLIT_INITIAL = r"(?<![A-Za-z])([A-Z])[ \t]+([a-z]{3,})(?![A-Za-z])"
+SPLIT_FINAL = r"(?<![A-Za-z])([A-Za-z]{3,})[ \t]+([a-z])(?![A-Za-z])"
+
 # Pairs that word repair joins although a half is a common word.
 COMMON_SPLITS = {("a", "s"), ("t", "he"), ("e", "mail")}
 ONE_LETTER_SPLITS = {("an", "d"), ("dl", "t"), ("do", "t")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import scoring as S
@@ -13,15 +13,33 @@ from textloom.operators import lexical, qa, ranking, splitting
 from textloom.sources.tables import stored
 
 
-def candidate_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]], cap: int, seed: int) -> DataFrame:
-    """Valid generated items of usable chunks, at most ``cap`` a source: (id, source, family, text, question, answer, evidence, place)."""
-    usable = splitting.round_robin(splitting.cap_per_document(chunks.filter("usable_for_qa"), cap, seed).drop("turn"), seed)
-    made = qa.generate(usable.select("id", "text"), generator, 1).select("id", "items")
-    each = usable.join(made, "id").select("id", "source", "family", "text", "place", F.explode(qa.valid_items(F.col("items"), F.col("text"))).alias("i"))
+def candidate_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]]) -> DataFrame:
+    """Valid generated items of chunks with a place: (id, source, family, text, question, answer, evidence, place)."""
+    made = qa.generate(chunks.select("id", "text"), generator, 1).select("id", "items")
+    each = chunks.join(made, "id").select("id", "source", "family", "text", "place", F.explode(qa.valid_items(F.col("items"), F.col("text"))).alias("i"))
     flat = each.select("id", "source", "family", "text", "place", F.col("i.question").alias("question"), F.col("i.answer").alias("answer"), F.col("i.evidence").alias("evidence"))
     return flat.filter(qa.valid_record(F.col("question"), F.col("answer"), F.col("evidence"), F.col("text")))
 
 
+def accepted_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]], wanted: int, cap: int, seed: int, threshold: float | None = None) -> DataFrame:
+    """The first ``wanted`` accepted items in round-robin order of sources, with pos; fewer only if there are no more.
+
+    Accepted are valid items, unlike all before them if a ``threshold`` is given, and at most ``cap`` a
+    source. Acceptance looks back only, so a window of chunks is enough that yields ``wanted``: it grows
+    until it does or holds all usable chunks.
+    """
+    placed = stored(splitting.round_robin(chunks.filter("usable_for_qa"), seed))
+    total, most = placed.count(), 4 * wanted
+    while True:
+        items = stored(candidate_items(placed.filter(F.col("place") <= most), generator).withColumn("pos", F.col("place").cast("long")))
+        kept = items if threshold is None else items.join(qa.greedy_distinct(items.select("id", "pos", F.col("question").alias("text")), threshold).filter("accepted").select("pos"), "pos")
+        turn = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
+        kept = stored(kept.withColumn("turn", turn).filter(F.col("turn") <= cap).orderBy("pos").limit(wanted))
+        if most >= total or kept.count() >= wanted:
+            return kept
+        most *= 4
+
+
 def build_training(chunks: DataFrame, train_sources: DataFrame, generator: Callable[[str, int], list[dict]], *, unanswerable: DataFrame | None = None, target: int = 2000, seed: int = 42, share: float = 0.15, negatives: int = 3, threshold: float = 0.88) -> DataFrame:
     """Training records: question, context (ids), answer, evidence, gold_chunk_ids, answerable, family, split.
 
@@ -32,10 +50,7 @@ def build_training(chunks: DataFrame, train_sources: DataFrame, generator: Calla
     annotated = stored(qa.annotate(chunks))
     train = annotated.join(train_sources.select("source"), "source", "left_semi")
     quota = splitting.quotas(target, unanswerable=0.15, multi=0.0)
-    items = candidate_items(train, generator, splitting.document_cap(target, share), seed)
-    items = stored(items.withColumn("pos", F.col("place").cast("long")).filter(F.col("place") <= 4 * target))
-    distinct = qa.greedy_distinct(items.select("id", "pos", F.col("question").alias("text")), threshold).filter("accepted").select("pos")
-    items = items.join(distinct, "pos").orderBy("pos").limit(quota["single"])
+    items = accepted_items(train, generator, quota["single"], splitting.document_cap(target, share), seed, threshold)
     queries = items.select(F.col("pos").alias("query_id"), "question")
     hits = lexical.top_k(lexical.bm25_scores(annotated.select("id", "text"), queries), 100)
     gold = items.select(F.col("pos").alias("query_id"), "id")
@@ -49,14 +64,13 @@ def build_training(chunks: DataFrame, train_sources: DataFrame, generator: Calla
     answered = rows.withColumn("r", record).select("question", F.col("r.context").alias("context"), F.col("r.answer").alias("answer"), "evidence", F.array("id").alias("gold_chunk_ids"), F.lit(True).alias("answerable"), "family")
     out = splitting.family_validation(answered, seed=seed)
     if unanswerable is not None:
-        asked = unanswerable.orderBy(splitting.seeded(seed, F.col("question")), "question").limit(4 * quota["unanswerable"])
-        asked = stored(asked.withColumn("query_id", F.xxhash64("question")))
+        asked = stored(unanswerable.withColumn("query_id", F.xxhash64("question")))
         found = lexical.top_k(lexical.bm25_scores(annotated.select("id", "text"), asked), 10)
         clean = ranking.phrase_absent(found, annotated, asked).filter("absent").select("query_id")
         from textloom.functions.fixed import ABSTENTION
 
         context = found.join(train.select("id"), "id", "left_semi").groupBy("query_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), 1, negatives + 1).alias("context"))
-        empty = asked.join(clean, "query_id").join(context, "query_id", "left").limit(quota["unanswerable"])
+        empty = asked.join(clean, "query_id").join(context, "query_id", "left").orderBy(splitting.seeded(seed, F.col("question")), "question").limit(quota["unanswerable"])
         no = F.array().cast("array<string>")
         out = out.unionByName(empty.select("question", F.coalesce("context", no).alias("context"), F.lit(ABSTENTION).alias("answer"), no.alias("evidence"), no.alias("gold_chunk_ids"), F.lit(False).alias("answerable"), F.lit("UNANSWERABLE").alias("family"), F.lit("train").alias("split")))
     return out
@@ -70,7 +84,7 @@ def build_evaluation(chunks: DataFrame, eval_sources: DataFrame, generator: Call
     annotated = stored(qa.annotate(chunks))
     part = annotated.join(eval_sources.select("source"), "source", "left_semi")
     quota = splitting.quotas(target)
-    single = candidate_items(part, generator, splitting.document_cap(target, share), seed).orderBy("place").limit(quota["single"])
+    single = accepted_items(part, generator, quota["single"], splitting.document_cap(target, share), seed)
     one = single.select("question", F.col("answer").alias("reference_answer"), "evidence", F.array("id").alias("gold_chunk_ids"), F.lit(True).alias("answerable"), F.lit("single").alias("category"))
     texts = part.select("id", "text")
     pairs = splitting.adjacent_pairs(part.filter("usable_for_qa")).join(texts.select(F.col("id").alias("first"), F.col("text").alias("t1")), "first").join(texts.select(F.col("id").alias("second"), F.col("text").alias("t2")), "second")
@@ -78,13 +92,13 @@ def build_evaluation(chunks: DataFrame, eval_sources: DataFrame, generator: Call
     made = pairs.join(qa.generate(pairs.select("id", "text"), generator, 1).select("id", "items"), "id").withColumn("i", F.get("items", F.lit(0))).filter("i IS NOT NULL")
     two = made.orderBy(splitting.seeded(seed, F.col("id")), "id").limit(quota["multi"])
     two = two.select(F.col("i.question").alias("question"), F.concat(T.strip(F.regexp_replace("i.answer", r"\s*\[\d+\]", "")), F.lit(" [1] [2]")).alias("reference_answer"), F.col("i.evidence").alias("evidence"), F.array("first", "second").alias("gold_chunk_ids"), F.lit(True).alias("answerable"), F.lit("multi").alias("category"))
-    asked = stored(unanswerable.orderBy(splitting.seeded(seed, F.col("question")), "question").limit(4 * quota["unanswerable"]).withColumn("query_id", F.xxhash64("question")))
+    asked = stored(unanswerable.withColumn("query_id", F.xxhash64("question")))
     found = lexical.top_k(lexical.bm25_scores(annotated.select("id", "text"), asked), 10)
     free = ranking.phrase_absent(found, annotated, asked).filter("absent").select("query_id")
     from textloom.functions.fixed import ABSTENTION
 
     no = F.array().cast("array<string>")
-    none = asked.join(free, "query_id").orderBy("query_id").limit(quota["unanswerable"]).select("question", F.lit(ABSTENTION).alias("reference_answer"), no.alias("evidence"), no.alias("gold_chunk_ids"), F.lit(False).alias("answerable"), F.lit("unanswerable").alias("category"))
+    none = asked.join(free, "query_id").orderBy(splitting.seeded(seed, F.col("question")), "question").limit(quota["unanswerable"]).select("question", F.lit(ABSTENTION).alias("reference_answer"), no.alias("evidence"), no.alias("gold_chunk_ids"), F.lit(False).alias("answerable"), F.lit("unanswerable").alias("category"))
     out = stored(one.unionByName(two).unionByName(none).withColumn("verified", F.lit(False)).withColumn("id", F.sha2("question", 256)))
     n = out.count()
     if n != target:

@@ -45,17 +45,16 @@ def split_families(chunks: DataFrame, *, eval_fraction: float = 0.2, preserved:
     """
     spark = chunks.sparkSession
     families = family_stats(document_stats(chunks)).orderBy("family")
-    rows = families.limit(10_000).collect()
-    names = [r["family"] for r in rows]
     if preserved is not None:
         if not preserved:
             raise ValueError("the preserved families are empty")
-        missing = sorted(set(preserved) - set(names))
+        named = spark.createDataFrame([(f,) for f in sorted(set(preserved))], "family string")
+        missing = [r["family"] for r in named.join(families, "family", "left_anti").orderBy("family").collect()]
         if missing:
             raise ValueError(f"preserved families without chunks: {missing}")
-        chosen = set(preserved)
-    else:
-        chosen = _best_subset(spark, rows, eval_fraction, set(regulations), set(mandatory), set(operators), most)
+        split = F.when(F.col("_in").isNotNull(), "eval").otherwise("train").alias("split")
+        return families.join(named.withColumn("_in", F.lit(True)), "family", "left").select("family", "chunks", split)
+    chosen = _best_subset(spark, families.collect(), eval_fraction, set(regulations), set(mandatory), set(operators), most)
     return families.select("family", "chunks", F.when(F.col("family").isin(sorted(chosen)), "eval").otherwise("train").alias("split"))
 
 

@@ -51,9 +51,9 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown_table(metrics: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of a small metric frame."""
-    rows = metrics.limit(most).collect()
+def markdown_table(metrics: DataFrame) -> str:
+    """A Markdown table of a metric frame: all rows, passed to the driver partition by partition."""
+    rows = metrics.toLocalIterator()
     head = "| " + " | ".join(metrics.columns) + " |\n|" + "---|" * len(metrics.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
