@@ -177,7 +177,7 @@ def loaded(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), batch_chars: int = 8_000_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), batch_chars: int = 1_000_000) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (decimal, joined by spaces), decoded, and the columns named in ``keep``.
 
     Special tokens in a text are encoded as such, as the vocabulary's library does by default.

@@ -23,7 +23,7 @@ from textloom.llm.common import drop_path, release, scratch_path, table, words_o
 class WordHashes(dict):
     """64-bit hashes of words, kept for the frequent ones; forgotten when there are too many."""
 
-    def __init__(self, most: int = 500_000, seed: int = 0):
+    def __init__(self, most: int = 200_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 
