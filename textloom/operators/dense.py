@@ -40,7 +40,12 @@ def encode_queries(queries: DataFrame, encode: Callable[[list[str]], np.ndarray]
     return build(asked, encode).select(F.col("id").alias("query_id"), "embedding")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """A stored index; with ``model``, an error if another model made its vectors."""
+    if model is not None:
+        made_by = spark.read.parquet(path.rstrip("/") + ".meta").first()["model"]
+        if made_by != model:
+            raise ValueError(f"the index was made by {made_by!r}, not {model!r}")
     return spark.read.parquet(path)
 
 

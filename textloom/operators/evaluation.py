@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import scoring as S
+from textloom.functions import text as T
 
 
 def ranked_lists(hits: DataFrame) -> DataFrame:
@@ -21,11 +22,11 @@ def per_query(items: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(lists, [*keys, "query_id"], "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
 
 
-def retrieval_metrics(ranked: DataFrame, keys: list[str], chunk_meta: DataFrame | None = None) -> DataFrame:
+def retrieval_metrics(ranked: DataFrame, keys: list[str], chunk_meta: DataFrame | None = None, latency: DataFrame | None = None) -> DataFrame:
     """By group: n, hits at 1, 3, 5 and 10, the Wilson interval of hit@5, recall at 5 and 10, mrr at 10.
 
     With ``chunk_meta`` (id, source, family) also same_source_5 and same_family_5: an unknown
-    chunk counts as "?", which can match itself.
+    chunk counts as "?", which can match itself. With ``latency`` (keys, query_id, latency_ms) also latency_mean.
     """
     first = S.first_gold_rank(F.col("ranked"), F.col("gold"), 10)
     rows = ranked.withColumn("first", first)
@@ -39,6 +40,9 @@ def retrieval_metrics(ranked: DataFrame, keys: list[str], chunk_meta: DataFrame
     if chunk_meta is not None:
         rows = _with_groups(rows, keys, chunk_meta)
         aggregates += [F.count_if(F.arrays_overlap("gold_source", "top_source")).alias("same_source_5"), F.count_if(F.arrays_overlap("gold_family", "top_family")).alias("same_family_5")]
+    if latency is not None:
+        rows = rows.join(latency.select(*keys, "query_id", "latency_ms"), [*keys, "query_id"], "left")
+        aggregates.append(F.avg("latency_ms").alias("latency_mean"))
     return rows.groupBy(*keys).agg(*aggregates)
 
 
@@ -138,7 +142,7 @@ def best_threshold(scores: DataFrame) -> DataFrame:
     return rated.orderBy(F.desc(F.round("balance", 12)), "threshold").limit(1).select("balance", "threshold", "tpr", "tnr")
 
 
-def gate_groups(rows: DataFrame, threshold: float) -> DataFrame:
+def gate_groups(rows: DataFrame, threshold: float | Column) -> DataFrame:
     """By group: n, refusals by the gate (score below the threshold), refusals overall, answers that cite the evidence.
 
     rows (answerable, present, score, abstained, cited_ok).
@@ -152,6 +156,36 @@ def gate_groups(rows: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def verified(items: DataFrame) -> DataFrame:
+    """The items that a review has confirmed."""
+    return items.filter(F.coalesce("verified", F.lit(False)))
+
+
+def gate_inputs(ranked: DataFrame, corpus: DataFrame, items: DataFrame, top: int = 5) -> DataFrame:
+    """items (query_id, answerable, evidence, ...) with score, that of rank 1 (null without hits), and present:
+    is some quote of the evidence in a text of the first ``top`` ranks?"""
+    shown = ranked.filter(F.col("rank") <= top).join(corpus.select("id", "text"), "id").join(items.select("query_id", "evidence"), "query_id")
+    found = shown.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"), F.max(S.any_quote_in(F.col("evidence"), F.array("text"))).alias("_in"))
+    return items.join(found, "query_id", "left").withColumn("present", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def score_gate(tuning: DataFrame, judged: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cut, groups): the threshold found on one set of items, and what it does to another.
+
+    Both sets come from ``gate_inputs``. A question is to be answered if it is answerable and its
+    evidence was found. One without hits has no score: it takes no part in the tuning, and the gate
+    refuses it. predictions (query_id, abstained, cited_ids, retrieved_ids, context: the texts of
+    retrieved_ids); an answer cites the evidence if a cited id's text holds a quote.
+    """
+    rated = tuning.filter("score IS NOT NULL").select("score", (F.col("answerable") & F.col("present")).alias("positive"))
+    cut = best_threshold(rated)
+    told = lambda c: F.get("context", (F.array_position("retrieved_ids", c) - 1).cast("int"))
+    cited = F.exists("cited_ids", lambda c: (F.array_position("retrieved_ids", c) > 0) & S.any_quote_in(F.col("evidence"), F.array(told(c))))
+    rows = judged.join(predictions, "query_id", "left").withColumn("cited_ok", F.coalesce(cited, F.lit(False)))
+    rows = rows.join(F.broadcast(cut.select("threshold")))  # one row
+    return cut, gate_groups(rows.withColumn("score", F.coalesce("score", F.lit(float("-inf")))), F.col("threshold"))
+
+
 def apply_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """items after review: deleted ones go, edited ones take the new question and answer, all others that were judged are verified."""
     d = decisions.select("id", "action", F.col("question").alias("_q"), F.col("answer").alias("_a"))
@@ -169,3 +203,11 @@ def review_batch(items: DataFrame, first: int, last: int, order: list[str]) -> D
     """The unverified items numbered first to last."""
     n = F.row_number().over(Window.orderBy(*order))
     return items.filter("NOT verified").withColumn("number", n).filter(F.col("number").between(first, last))
+
+
+def with_passages(items: DataFrame, corpus: DataFrame, chars: int = 700) -> DataFrame:
+    """items for a reviewer, one row a gold id: place, source ("?" if the chunk is unknown) and the passage's first ``chars`` characters."""
+    each = items.select("*", F.posexplode_outer("gold_chunk_ids").alias("place", "chunk_id"))
+    texts = corpus.select(F.col("id").cast("string").alias("chunk_id"), F.col("source").alias("_source"), F.col("text").alias("_text"))
+    joined = each.join(texts, "chunk_id", "left")
+    return joined.withColumn("source", F.coalesce("_source", F.lit("?"))).withColumn("passage", T.snippet(F.coalesce("_text", F.lit("")), chars)).drop("_source", "_text")

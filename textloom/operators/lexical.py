@@ -41,8 +41,8 @@ class LexicalIndex:
         return cls(postings, terms, stats)
 
     def write(self, path: str) -> None:
-        """Postings clustered by term, so a search prunes files by their term ranges."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings ranged by term and id: files hold term ranges, and a term of very many documents has several files."""
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         spark = self.postings.sparkSession
         stored = spark.read.parquet(f"{path}/postings")
         stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/term_stats")
@@ -77,13 +77,23 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: fl
     return _score(postings, df, stats, asked, k1, b, small)
 
 
-def search_index(index: LexicalIndex, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def search_index(index: LexicalIndex, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75, small_batch: int = 200_000) -> DataFrame:
+    """(query_id, id, score) as by ``bm25_scores``, off a stored index: no text is tokenised again.
+
+    A batch of up to ``small_batch`` query terms is counted and then broadcast to the postings; a larger
+    one is joined by shuffles. Up to 10 different terms also filter the scan by their names.
+    """
     check_parameters(k1, b)
-    return _score(index.postings, index.term_stats, index.corpus_stats, query_terms(queries), k1, b)
+    asked = query_terms(queries)
+    small = asked.limit(small_batch + 1).count() <= small_batch
+    few = [r["term"] for r in asked.select("term").distinct().limit(11).collect()]
+    postings = index.postings.filter(F.col("term").isin(few)) if len(few) <= 10 else index.postings
+    return _score(postings, index.term_stats, index.corpus_stats, asked, k1, b, small)
 
 
 def _score(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k1: float, b: float, small: bool = False) -> DataFrame:
-    weights = asked.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", "avg_len", (F.col("qn") * S.idf(F.col("n"), F.col("df"))).alias("w"))  # stats has one row
+    known = df.join(F.broadcast(asked) if small else asked, "term")
+    weights = known.join(F.broadcast(stats)).select("query_id", "term", "avg_len", (F.col("qn") * S.idf(F.col("n"), F.col("df"))).alias("w"))  # stats has one row
     hits = postings.join(F.broadcast(weights) if small else weights, "term")
     part = F.col("w") * S.saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))

@@ -58,6 +58,7 @@ class Retriever:
     """A plan builder: ``search`` returns the ranked chunks of a batch of queries as one DataFrame.
 
     corpus: (id, text, ...); index: (id, pos, embedding) for the dense modes; scorer for reranking.
+    With lexical_index, built once and stored, the lexical part reads its postings instead of all texts.
     """
 
     corpus: DataFrame
@@ -68,6 +69,7 @@ class Retriever:
     rrf_k: int = 60
     weights: list[float] | None = None
     bm25: dict[str, float] = field(default_factory=dict)
+    lexical_index: lexical.LexicalIndex | None = None
 
     def search(self, queries: DataFrame, mode: str, k: int = 5) -> DataFrame:
         """queries: (query_id, question) and, for the dense modes, embedding. Fused modes never return more than fused_k rows."""
@@ -88,7 +90,10 @@ class Retriever:
         return rerank(texts, self.scorer, k).select("query_id", "id", "score", "rank")
 
     def _lexical(self, queries: DataFrame, k: int) -> DataFrame:
-        return lexical.top_k(lexical.bm25_scores(self.corpus, queries.select("query_id", "question"), **self.bm25), k)
+        asked = queries.select("query_id", "question")
+        if self.lexical_index is None:
+            return lexical.top_k(lexical.bm25_scores(self.corpus, asked, **self.bm25), k)
+        return lexical.top_k(lexical.search_index(self.lexical_index, asked, **self.bm25), k)
 
 
 def hard_negatives(ranked: DataFrame, gold: DataFrame, allowed: DataFrame, excluded: DataFrame, n: int) -> DataFrame:

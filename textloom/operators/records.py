@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import scoring as S
@@ -13,15 +14,15 @@ from textloom.operators import lexical, qa, ranking, splitting
 from textloom.sources.tables import stored
 
 
-def candidate_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]]) -> DataFrame:
-    """Valid generated items of chunks with a place: (id, source, family, text, question, answer, evidence, place)."""
+def candidate_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]], valid: Callable[..., Column] = qa.valid_record) -> DataFrame:
+    """Generated items of chunks with a place that are ``valid``: (id, source, family, text, question, answer, evidence, place)."""
     made = qa.generate(chunks.select("id", "text"), generator, 1).select("id", "items")
     each = chunks.join(made, "id").select("id", "source", "family", "text", "place", F.explode(qa.valid_items(F.col("items"), F.col("text"))).alias("i"))
     flat = each.select("id", "source", "family", "text", "place", F.col("i.question").alias("question"), F.col("i.answer").alias("answer"), F.col("i.evidence").alias("evidence"))
-    return flat.filter(qa.valid_record(F.col("question"), F.col("answer"), F.col("evidence"), F.col("text")))
+    return flat.filter(valid(F.col("question"), F.col("answer"), F.col("evidence"), F.col("text")))
 
 
-def accepted_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]], wanted: int, cap: int, seed: int, threshold: float | None = None) -> DataFrame:
+def accepted_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]], wanted: int, cap: int, seed: int, threshold: float | None = None, valid: Callable[..., Column] = qa.valid_record) -> DataFrame:
     """The first ``wanted`` accepted items in round-robin order of sources, with pos; fewer only if there are no more.
 
     Accepted are valid items, unlike all before them if a ``threshold`` is given, and at most ``cap`` a
@@ -31,7 +32,7 @@ def accepted_items(chunks: DataFrame, generator: Callable[[str, int], list[dict]
     placed = stored(splitting.round_robin(chunks.filter("usable_for_qa"), seed))
     total, most = placed.count(), 4 * wanted
     while True:
-        items = stored(candidate_items(placed.filter(F.col("place") <= most), generator).withColumn("pos", F.col("place").cast("long")))
+        items = stored(candidate_items(placed.filter(F.col("place") <= most), generator, valid).withColumn("pos", F.col("place").cast("long")))
         kept = items if threshold is None else items.join(qa.greedy_distinct(items.select("id", "pos", F.col("question").alias("text")), threshold).filter("accepted").select("pos"), "pos")
         turn = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
         kept = stored(kept.withColumn("turn", turn).filter(F.col("turn") <= cap).orderBy("pos").limit(wanted))
@@ -84,14 +85,16 @@ def build_evaluation(chunks: DataFrame, eval_sources: DataFrame, generator: Call
     annotated = stored(qa.annotate(chunks))
     part = annotated.join(eval_sources.select("source"), "source", "left_semi")
     quota = splitting.quotas(target)
-    single = accepted_items(part, generator, quota["single"], splitting.document_cap(target, share), seed)
+    single = accepted_items(part, generator, quota["single"], splitting.document_cap(target, share), seed, valid=functools.partial(qa.valid_eval_item, multi=False))
     one = single.select("question", F.col("answer").alias("reference_answer"), "evidence", F.array("id").alias("gold_chunk_ids"), F.lit(True).alias("answerable"), F.lit("single").alias("category"))
     texts = part.select("id", "text")
     pairs = splitting.adjacent_pairs(part.filter("usable_for_qa")).join(texts.select(F.col("id").alias("first"), F.col("text").alias("t1")), "first").join(texts.select(F.col("id").alias("second"), F.col("text").alias("t2")), "second")
     pairs = pairs.select(F.concat_ws("|", "first", "second").alias("id"), "first", "second", F.concat_ws("\n\n", "t1", "t2").alias("text"))
     made = pairs.join(qa.generate(pairs.select("id", "text"), generator, 1).select("id", "items"), "id").withColumn("i", F.get("items", F.lit(0))).filter("i IS NOT NULL")
+    both = F.concat(T.strip(F.regexp_replace("i.answer", r"\s*\[\d+\]", "")), F.lit(" [1] [2]"))
+    made = made.filter(qa.valid_eval_item(F.col("i.question"), both, F.col("i.evidence"), F.col("text"), multi=True))
     two = made.orderBy(splitting.seeded(seed, F.col("id")), "id").limit(quota["multi"])
-    two = two.select(F.col("i.question").alias("question"), F.concat(T.strip(F.regexp_replace("i.answer", r"\s*\[\d+\]", "")), F.lit(" [1] [2]")).alias("reference_answer"), F.col("i.evidence").alias("evidence"), F.array("first", "second").alias("gold_chunk_ids"), F.lit(True).alias("answerable"), F.lit("multi").alias("category"))
+    two = two.select(F.col("i.question").alias("question"), both.alias("reference_answer"), F.col("i.evidence").alias("evidence"), F.array("first", "second").alias("gold_chunk_ids"), F.lit(True).alias("answerable"), F.lit("multi").alias("category"))
     asked = stored(unanswerable.withColumn("query_id", F.xxhash64("question")))
     found = lexical.top_k(lexical.bm25_scores(annotated.select("id", "text"), asked), 10)
     free = ranking.phrase_absent(found, annotated, asked).filter("absent").select("query_id")

@@ -19,7 +19,7 @@ from textloom.functions import text as T
 from textloom.operators import chunking, cleaning, dense, evaluation, lexical, qa, ranking, records, splitting
 from textloom.sources import documents as sources
 from textloom.sources import sinks
-from textloom.sources.tables import stored, table
+from textloom.sources.tables import new_path, stored, table
 from textloom.streaming import resumable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,15 @@ def bm25_batch_topk(spark, d):
     return ranked_out(lexical.top_k(lexical.bm25_scores(corpus(spark, d), questions(spark, d)), 10))
 
 
+@query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10")
+def search_index(spark, d):
+    """The index built once, stored, read again and searched by the retriever."""
+    path = new_path(spark, "index")
+    lexical.LexicalIndex.of(corpus(spark, d)).write(path)
+    r = ranking.Retriever(corpus(spark, d), lexical_index=lexical.LexicalIndex.read(spark, path))
+    return ranked_out(r.search(questions(spark, d), "bm25", 10))
+
+
 ONE = "the of and"
 
 
@@ -289,6 +298,14 @@ def same_source_hits(spark, d):
     return got.select("mode", "same_source_5")
 
 
+@query(f"{MODES3} SELECT mode, round(avg((query_id * 37 + length(mode)) % 101 + 0.5), 6) AS latency_mean FROM fr GROUP BY mode")
+def retrieval_latency(spark, d):
+    """The mean latency of the retrieval summary, over latencies made from the items' numbers."""
+    lists = evaluation.per_query(gold_items(spark, d), all_modes(spark, d), ["mode"])
+    times = lists.select("mode", "query_id", ((F.col("query_id") * 37 + F.length("mode")) % 101 + 0.5).cast("double").alias("latency_ms"))
+    return evaluation.retrieval_metrics(lists, ["mode"], latency=times).select("mode", rounded("latency_mean"))
+
+
 @query(f"""{MODES3}, e AS (SELECT a.mode, a.query_id, min(CASE WHEN trim(b.text) <> '' AND contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(regexp_replace(trim(b.text), '\\s+', ' ', 'g'))) THEN a.rank END) AS first
 FROM allr a JOIN documents d ON d.doc_id = a.id JOIN benchmark b ON b.item_id = a.query_id GROUP BY ALL)
 SELECT mode, count_if(coalesce(first <= 1, false)) AS evidence_1, count_if(coalesce(first <= 3, false)) AS evidence_3, count_if(coalesce(first <= 5, false)) AS evidence_5, count_if(coalesce(first <= 10, false)) AS evidence_10 FROM e GROUP BY mode""")
@@ -411,6 +428,40 @@ def gate_groups(spark, d):
     return evaluation.gate_groups(rows, 40.0)
 
 
+#: Items with an id of remainder 0 by 3 count as unanswerable; those with an odd id tune the gate, the others are judged.
+GATE = rf"""WITH {BM25}, {dense_sql(BY_ITEM)}, {FUSED}, {RERANKED},
+txt AS (SELECT r.query_id, r.rank, r.score, trim(b.text) <> '' AND contains(lower(regexp_replace(d.text, '\s+', ' ', 'g')), lower(regexp_replace(trim(b.text), '\s+', ' ', 'g'))) AS found
+ FROM rer r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 5),
+top AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS score, bool_or(found) AS found FROM txt GROUP BY query_id),
+gi AS (SELECT b.item_id AS query_id, b.item_id % 3 <> 0 AS answerable, t.score, coalesce(t.found, false) AS present FROM benchmark b LEFT JOIN top t ON t.query_id = b.item_id),
+tu AS (SELECT score, answerable AND present AS positive FROM gi WHERE query_id % 2 = 1 AND score IS NOT NULL), u AS (SELECT DISTINCT score FROM tu),
+ca AS (SELECT min(score) - 1 AS t FROM tu UNION ALL SELECT max(score) + 1 FROM tu UNION ALL SELECT (score + nx) / 2 FROM (SELECT score, lead(score) OVER (ORDER BY score) AS nx FROM u) WHERE nx IS NOT NULL),
+ra AS (SELECT t, coalesce(count_if(positive AND score >= t)::DOUBLE / nullif((SELECT count_if(positive) FROM tu), 0), 0) AS tpr, coalesce(count_if(NOT positive AND score < t)::DOUBLE / nullif((SELECT count_if(NOT positive) FROM tu), 0), 0) AS tnr FROM ca, tu GROUP BY t),
+cut AS (SELECT (tpr + tnr) / 2 AS balance, t AS threshold, tpr, tnr FROM ra ORDER BY round((tpr + tnr) / 2, 12) DESC, t LIMIT 1)"""
+
+
+def _score_gate(spark, d):
+    """The whole gate: reranked search of every item, the cut from the odd items, its effect on the others."""
+    q = hybrid_queries(spark, d)
+    items = q.select("query_id", (F.col("query_id") % 3 != 0).alias("answerable"), F.array("question").alias("evidence"))
+    ready = stored(evaluation.gate_inputs(retriever(spark, d).search(q, "hybrid_rerank", 5), corpus(spark, d), items))
+    i = F.col("query_id")
+    given = q.select("query_id", (i % 5 == 0).alias("abstained"), F.when(i % 4 == 0, F.array(F.lit("no"), F.lit("yes"))).otherwise(F.array(F.lit("no"))).alias("cited_ids"), F.array(F.lit("no"), F.lit("yes")).alias("retrieved_ids"), F.array(F.lit("nothing"), F.concat(F.lit("so: "), F.col("question"))).alias("context"))
+    return evaluation.score_gate(ready.filter("query_id % 2 = 1"), ready.filter("query_id % 2 = 0"), given)
+
+
+@query(f"{GATE} SELECT round(balance, 6) AS balance, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(tnr, 6) AS tnr FROM cut")
+def score_gate_cut(spark, d):
+    return _score_gate(spark, d)[0].select(*[rounded(c) for c in ("balance", "threshold", "tpr", "tnr")])
+
+
+@query(f"""{GATE}, gr AS (SELECT CASE WHEN NOT answerable THEN 'unanswerable' WHEN present THEN 'answerable_evidence_in' ELSE 'answerable_evidence_absent' END AS "group",
+ coalesce(score < threshold, true) AS gate, query_id FROM gi, cut WHERE query_id % 2 = 0)
+SELECT "group", count(*) AS n, count_if(gate) AS gate_refused, count_if(gate OR query_id % 5 = 0) AS refused, count_if("group" = 'answerable_evidence_in' AND NOT gate AND query_id % 5 <> 0 AND query_id % 4 = 0) AS cited FROM gr GROUP BY "group\"""")
+def score_gate_groups(spark, d):
+    return _score_gate(spark, d)[1]
+
+
 # ------------------------------------------------------------------- evidence and support
 
 
@@ -868,6 +919,119 @@ def review_batch(spark, d):
     return evaluation.review_batch(items, 5, 12, ["id"]).select("id", "question", "number")
 
 
+@query(rf"""WITH g AS (SELECT b.item_id AS query_id, b.text AS question, list(d.doc_id ORDER BY d.doc_id) AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id % 3 <> 0 GROUP BY b.item_id, b.text),
+e AS (SELECT query_id, question, generate_subscripts(gold, 1) - 1 AS place, unnest(gold) AS id FROM g UNION ALL SELECT query_id, question, len(gold) AS place, -1 AS id FROM g)
+SELECT query_id, question, place::INT AS place, coalesce(d.source, '?') AS source, coalesce(substr(trim(regexp_replace(d.text, '\s+', ' ', 'g')), 1, 700), '') AS passage FROM e LEFT JOIN documents d ON d.doc_id = e.id""")
+def review_passages(spark, d):
+    """Unverified items with each gold passage; every item also names a chunk that is not there."""
+    items = gold_items(spark, d).filter("query_id % 3 <> 0").withColumn("gold_chunk_ids", F.concat("gold", F.array(F.lit("-1"))))
+    return evaluation.with_passages(items, corpus(spark, d)).select("query_id", "question", "place", "source", "passage")
+
+
+@query("SELECT doc_id AS id, quality FROM labels WHERE toxic = 1")
+def verified_items(spark, d):
+    items = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", F.when(F.col("toxic") == 1, True).when(F.col("quality") == 1, False).alias("verified"))
+    return evaluation.verified(items).select("id", "quality")
+
+
+# ------------------------------------------------------------------- sinks, written and read again
+
+
+def round_trip(spark, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    path = new_path(spark, "sink")
+    write(path)
+    return read(path)
+
+
+CHUNK_ROWS = "SELECT doc_id::VARCHAR AS id, text, source FROM documents"
+
+
+def chunk_rows(spark, d) -> DataFrame:
+    """Documents in the stored form of chunks."""
+    meta = F.struct(*[F.col("source").alias("source") if name == "source" else F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ") for x in sources.META.split(", "))])
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", meta.alias("metadata"), F.lit(True).alias("usable_for_qa"), F.lit(None).cast("string").alias("qa_rejection_reason"))
+
+
+@query(CHUNK_ROWS)
+def chunks_parquet(spark, d):
+    return round_trip(spark, lambda p: sinks.write_chunks(chunk_rows(spark, d), p), lambda p: sources.read_chunks(spark, p)).select("id", "text", F.col("metadata.source").alias("source"))
+
+
+@query(CHUNK_ROWS)
+def chunks_jsonl(spark, d):
+    return round_trip(spark, lambda p: sinks.write_chunks(chunk_rows(spark, d), p + ".jsonl", jsonl=True), lambda p: sources.read_chunks(spark, p + ".jsonl")).select("id", "text", F.col("metadata.source").alias("source"))
+
+
+@query("SELECT text AS question, CASE WHEN item_id % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM benchmark")
+def records_written(spark, d):
+    rows = questions(spark, d).select("question", F.when(F.col("query_id") % 4 == 0, "val").otherwise("train").alias("split"))
+    return round_trip(spark, lambda p: sinks.write_records(rows, p), lambda p: spark.read.schema("question string, split string").json(p))
+
+
+@query("SELECT DISTINCT source AS family FROM documents")
+def split_document(spark, d):
+    """A nested record as one JSON document, and the families read off it."""
+    one = table(spark, d, "documents").select(F.col("source").alias("family")).distinct().agg(F.collect_list(F.struct("family")).alias("eval_families"))
+    return round_trip(spark, lambda p: sinks.write_json_document(one, p), lambda p: spark.createDataFrame([(f,) for f in sources.read_split(spark, p)], "family string"))
+
+
+@query("SELECT source, count(*) AS n, true AS stamped FROM documents GROUP BY source")
+def manifest_written(spark, d):
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    got = round_trip(spark, lambda p: sinks.write_manifest(rows, p), lambda p: spark.read.schema("source string, n long, retrieved_at string").json(p))
+    return got.select("source", "n", F.col("retrieved_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("stamped"))
+
+
+@query(f"WITH p AS ({PREDICTIONS}) SELECT system, id, answer FROM p")
+def predictions_appended(spark, d):
+    """Two appends, the second of which repeats half of the first: one row for each system and item."""
+    rows = predictions(spark, d).select("system", "id", "answer")
+
+    def write(path):
+        sinks.append_predictions(rows, path)
+        sinks.append_predictions(rows.filter("id % 2 = 0"), path)
+
+    return round_trip(spark, write, lambda p: sinks.read_predictions(spark, p))
+
+
+@query("SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY source")
+def metrics_csv(spark, d):
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean"))
+    return round_trip(spark, lambda p: sinks.write_metrics(rows, p), lambda p: spark.read.option("header", True).schema("source string, n long, mean double").csv(p)).select("source", "n", rounded("mean"))
+
+
+@query(f"WITH {dense_sql(FIRST)} SELECT id, round(score, 6) AS score FROM den WHERE rank <= 10")
+def dense_index_stored(spark, d):
+    """The dense index written with its model's name, read back under that name and searched."""
+    got = round_trip(spark, lambda p: sinks.write_dense_index(vectors(spark, d), p, "test vectors"), lambda p: dense.read_index(spark, p, "test vectors"))
+    return dense.search_one(got, got.filter("id = 0").first()["embedding"], 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, n_chars < 200 AS usable_for_qa FROM documents")
+def table_replaced(spark, d):
+    """A table rewritten from itself."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "n_chars")
+
+    def write(path):
+        rows.write.parquet(path)
+        sinks.replace_table(spark, path, lambda df: df.select("id", (F.col("n_chars") < 200).alias("usable_for_qa")))
+
+    return round_trip(spark, write, lambda p: spark.read.parquet(p))
+
+
+@query(r"SELECT source, '| ' || source || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY source")
+def markdown_metrics(spark, d):
+    """The lines of the Markdown table of a metric frame, beside the source of each."""
+    text = sinks.markdown_table(table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    return spark.createDataFrame([(line.split(" | ")[0][2:], line) for line in text.splitlines()[2:]], "source string, line string")
+
+
+@query("SELECT DISTINCT lang AS title FROM documents WHERE lang <> 'en'")
+def purged_titles(spark, d):
+    files = table(spark, d, "documents").select(F.col("lang").alias("title")).distinct()
+    return sources.purge(files, spark.createDataFrame([("en",)], "title string"))
+
+
 @query("SELECT 'eval-' || lpad((row_number() OVER (ORDER BY item_id))::VARCHAR, 4, '0') AS id, text AS question FROM benchmark")
 def renumbered_items(spark, d):
     return evaluation.renumber(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question")), ["id"])
