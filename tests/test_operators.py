@@ -578,3 +578,35 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan and "label" not in plan.split("ReadSchema")[1].split("\n")[0]
     plan = catalog.QUERIES["semi_anti_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan
+
+
+def test_stored_index_answers_like_the_corpus(spark, tmp_path):
+    corpus = spark.createDataFrame([("a", "alpha yes alpha"), ("b", "beta no"), ("c", None), ("d", "alpha beta")], "id string, text string")
+    lexical.LexicalIndex.of(corpus).write(str(tmp_path))
+    r = ranking.Retriever(corpus, lexical_index=lexical.LexicalIndex.read(spark, str(tmp_path)))
+    few = spark.createDataFrame([(0, "alpha alpha"), (1, "beta gamma"), (2, "nothing")], "query_id long, question string")
+    many = spark.createDataFrame([(0, "alpha beta no yes " + " ".join(f"w{i}" for i in range(20)))], "query_id long, question string")
+    for q in (few, many):
+        rows = lambda df: sorted((x.query_id, x.id, round(x.score, 9), x["rank"]) for x in df.collect())
+        assert rows(r.search(q, "bm25", 3)) == rows(ranking.Retriever(corpus).search(q, "bm25", 3)) != []
+
+
+def test_score_gate(spark):
+    corpus = spark.createDataFrame([("a", "the fee is two"), ("b", "other")], "id string, text string")
+    items = spark.createDataFrame([(i, i != 3, ["fee is"]) for i in range(5)], "query_id long, answerable boolean, evidence array<string>")
+    hits = spark.createDataFrame([(0, "a", 0.9, 1), (1, "b", 0.2, 1), (2, "a", 0.8, 1), (3, "a", 0.3, 1)], "query_id long, id string, score double, rank int")
+    ready = evaluation.gate_inputs(hits, corpus, items)
+    assert {(r.query_id, r.score, r.present) for r in ready.collect()} == {(0, 0.9, True), (1, 0.2, False), (2, 0.8, True), (3, 0.3, True), (4, None, False)}
+    given = spark.createDataFrame([(0, False, ["x"], ["y", "x"], ["none", "The  fee is"]), (2, False, ["z"], ["y", "x"], ["none", "fee is"])], "query_id long, abstained boolean, cited_ids array<string>, retrieved_ids array<string>, context array<string>")
+    cut, groups = evaluation.score_gate(ready, ready, given)
+    c = cut.first()
+    assert round(c.threshold, 9) == 0.55 and (c.tpr, c.tnr) == (1.0, 1.0)  # between 0.3, unanswerable, and 0.8
+    got = {r.group: (r.n, r.gate_refused, r.refused, r.cited) for r in groups.collect()}
+    assert got == {"answerable_evidence_in": (2, 0, 0, 1), "answerable_evidence_absent": (2, 2, 2, 0), "unanswerable": (1, 1, 1, 0)}
+
+
+def test_model_of_a_dense_index_is_checked(spark, tmp_path):
+    sinks.write_dense_index(spark.createDataFrame([("1", [1.0])], "id string, embedding array<double>"), f"{tmp_path}/idx", "one")
+    assert dense.read_index(spark, f"{tmp_path}/idx", "one").count() == 1
+    with pytest.raises(ValueError):
+        dense.read_index(spark, f"{tmp_path}/idx", "two")
