@@ -19,7 +19,7 @@ pytest.importorskip("textloom.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 from textloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring, toxicity  # noqa: E402
-from textloom.llm.common import gapless, hash60, words_of  # noqa: E402
+from textloom.llm.common import gapless, hash60, words_of, written  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = [
@@ -427,6 +427,15 @@ def test_meetings_over_frames(rows_a_frame):
     assert got == want
 
 
+def test_written_leaves_no_shuffle_files(spark):
+    def files():
+        return set(re.findall(r"shuffle_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    before, df = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = written(df, "test")
+    assert not files() - before and out.count() == 7
+
+
 def test_compare_decides_every_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 30, 40, dtype=np.uint64)
