@@ -427,6 +427,62 @@ def test_meetings_over_frames(rows_a_frame):
     assert got == want
 
 
+@pytest.mark.parametrize("rows_a_frame", [1, 7, 1000])
+def test_bucket_pairs_lose_no_similar_pair(rows_a_frame):
+    rng = np.random.default_rng(rows_a_frame)
+    rows, texts = [], {}
+    for key in range(12):
+        base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        for _ in range(int(rng.choice([1, 2, 9, 30]))):
+            node, w = len(rows), np.where(rng.random(40) < 0.1, rng.integers(0, 2**63, 40, dtype=np.uint64), base)[: int(rng.integers(34, 41))]
+            texts[node] = w
+            rows.append((key, node, len(w), int(rng.integers(0, 3)), np.sort(w.astype(np.uint16)).tobytes()))
+    frames = [pd.DataFrame(rows[i : i + rows_a_frame], columns=["key", "node", "n", "cls", "bag"]) for i in range(0, len(rows), rows_a_frame)]
+    with np.errstate(over="ignore"):
+        got = [(x.a, x.b) for f in near_dedup.bucket_pairs(0.8)(iter(frames)) for x in f.itertuples()]
+        pairs = [(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[3] != y[3]]
+        similar = {(a, b) for a, b in pairs if near_dedup.similar(texts[a], texts[b], 0.8)}
+    assert len(got) == len(set(got)) and similar <= set(got) <= set(pairs) and 20 < len(similar) < len(pairs)
+
+
+def test_near_dedup_families_need_a_common_bucket(spark, monkeypatch):
+    """Texts of ten passages that meet in common phrases are no one family, whose work and copies grow with its square."""
+    rng = random.Random(31)
+    rows = []
+    for g in range(10):
+        passage = [f"p{g}x{i}" for i in range(100)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(passage + [w for i in rng.sample(range(450), 30) for w in (f"c{i}", f"d{i}")]), "en", "s", 1))
+    real, families = near_dedup.written, []
+
+    def seen(df, name):
+        out = real(df, name)
+        if name == "near-family":
+            families.extend(r["count"] for r in out.groupBy("root").count().collect())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", seen)
+    got = near_dedup.near_dedup(docs(spark, rows), small=2, block=2).collect()
+    assert all(g.class_id == g.doc_id for g in got) and families and max(families) <= 12
+
+
+def test_near_dedup_blocks_meet_in_rounds(spark, monkeypatch):
+    """Blocks of one text, more than one round: no text of a family is copied more than 16 times in a table, every pair is decided."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(changed(rng, base, 9)), "en", "s", 1) for i in range(60)]
+    real, calls, written, rounds = near_dedup.components, [], near_dedup.written, []
+
+    def lossy(edges):
+        calls.append(edges)
+        return real(edges.limit(0) if len(calls) < 3 else edges)
+
+    monkeypatch.setattr(near_dedup, "components", lossy)
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    got = near_dedup.near_dedup(docs(spark, rows), small=2, block=1).collect()
+    assert collections.Counter(g.class_id for g in got).most_common(1)[0][1] >= 59 and rounds.count("near-met3") > 1
+
+
 def test_written_leaves_no_shuffle_files(spark):
     def files():
         return set(re.findall(r"shuffle_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))

@@ -299,6 +299,48 @@ def meetings(small: int, threshold: float):
     return run
 
 
+def bucket_pairs(threshold: float):
+    """(a, b) of rows (key, node, n, cls, bag) that come sorted by key: the pairs of a bucket that may be similar.
+
+    They are of different classes and have so many words in common, as multisets, that edits may make up
+    for the rest. A bag holds 16 bits of each word's hash: words that fall together only add pairs.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for f in itertools.chain(frames, [None]):
+            out: list[tuple[int, int]] = []
+            last = f is None
+            f = kept if last else f if kept is None else pd.concat([kept, f])
+            kept = None
+            if f is None or not len(f):
+                continue
+            key, node, n, cls = (f[c].to_numpy() for c in ("key", "node", "n", "cls"))
+            bounds = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(f)]
+            if not last:
+                bounds.pop()
+                kept = f.iloc[bounds[-1] :]
+            for lo, hi in itertools.pairwise(bounds):
+                i, j = np.triu_indices(hi - lo, 1)
+                i, j = i + lo, j + lo
+                longest = np.maximum(n[i], n[j])
+                limit = ((1 - threshold) * longest + 1e-9).astype(np.int64)
+                may = (cls[i] != cls[j]) & (longest - np.minimum(n[i], n[j]) <= limit)
+                i, j, least = i[may], j[may], (longest - limit)[may]
+                if not len(i):
+                    continue
+                bags = [np.frombuffer(b, dtype=np.uint16) for b in f["bag"].iloc[lo:hi]]
+                if len(i) > 64:
+                    common = shared_words([b.astype(np.uint64) for b in bags])[i - lo, j - lo]
+                else:
+                    common = np.array([common_words(bags[x], bags[y]) for x, y in zip((i - lo).tolist(), (j - lo).tolist(), strict=True)])
+                may = common >= least
+                out += zip(np.minimum(node[i], node[j])[may].tolist(), np.maximum(node[i], node[j])[may].tolist(), strict=True)
+            yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, by large-star and small-star.
 
@@ -375,14 +417,17 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
 
     1. every text of a bucket meets its leader, the text that meets most others in all buckets;
     2. of the texts outside the leader's class one, by hash, meets all of other classes;
-    3. buckets that still hold several classes give their texts, but for the leaders, to an exact join: two similar
+    3. buckets that still hold several classes are decided without their leaders. In one of up to ``block`` texts
+       all pairs meet by bags of words, see ``bucket_pairs``. The texts of larger ones go to an exact join: two similar
        texts share one of their rarest two-word grams, see ``prefix_length``. So a passage that a
-       third of all documents hold makes no pairs unless it is most of them. Texts that meet in grams
-       of more than ``small`` texts are one family, cut into blocks of about ``block`` texts; each two
-       blocks meet in one group, whose rows are its texts, not its pairs, and ``compare`` decides all of them.
+       third of all documents hold makes no pairs unless it is most of them. Grams of more than ``small``
+       texts are split by bucket, for most of their texts share none. Texts that meet in more than ``small`` even so
+       are one family, cut into blocks of about ``block`` texts; each two blocks meet in one group, whose
+       rows are its texts, not its pairs, and ``compare`` decides all of them. Blocks meet in rounds
+       by their distance, in each of which a text is copied 16 times at most, so disk grows with the family only.
 
     How a pair meets is so a matter of counts, but every pair that shares a bucket is decided, by the
-    same measure. Rows grow with the input, and in a family of texts that are nearly alike with its
+    same measure. Rows grow with the input, and the work in a family of texts that are nearly alike with its
     square over ``block``. Steps move narrow rows; texts move to the pairs that are decided. The
     counts by which grams are rare are 2**18 sums, whatever the input.
 
@@ -396,10 +441,14 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     real = told.filter("doc_id IS NOT NULL")
     heads = written(real.groupBy("node", "d2").agg(F.min(F.struct("doc_id", "n", "sketches")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "d2", "copies", "x.*"), "near-heads")
 
+    wide = told, heads
     spread = heads.select("node", "n", F.explode("sketches").alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sizes = written(sizes, "near-sizes")  # written, so that both sides of the join are exchanged and a hot bucket can be split
     full = written(spread.join(sizes, "key"), "near-buckets")
+    told, heads = written(told.drop("sketches"), "near-told"), written(heads.drop("sketches"), "near-heads")
+    real = told.filter("doc_id IS NOT NULL")
+    release(*wide, sizes)
     near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-6
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -445,10 +494,19 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
 
     # 3: what is still apart in one bucket
     apart = renamed(rest.select("key", "node", "n", "cls"), "cls", roots2)
-    open_ = written(apart.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("key"), "near-open")
-    left = apart.join(open_, "key", "left_semi").groupBy("node", "n", "cls").agg(F.collect_set(F.hash("key")).alias("open"))
-    left = written(left, "near-left")
-    grams = written(left.join(words_for(left.select("node")), "node"), "near-grams")
+    open_ = written(apart.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo != hi").select("key", "held"), "near-open")
+    left = written(apart.join(open_, "key"), "near-left")
+    texts = words_for(left.select("node"))
+
+    def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"node": f["node"].array, "bag": [np.sort(np.asarray(w).astype(np.uint16)).tobytes() for w in f["w"]]})
+
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = left.filter(F.col("held") <= block).join(texts.mapInPandas(bags, "node long, bag binary"), "node").select("key", "node", "n", "cls", "bag")
+    few = written(few.repartition(shuffled, "key").sortWithinPartitions("key").mapInPandas(bucket_pairs(threshold), "a long, b long").distinct(), "near-few")
+    crowd = left.filter(F.col("held") > block).groupBy("node", "n", "cls").agg(F.collect_set(F.hash("key")).alias("open"))
+    grams = written(crowd.join(texts, "node"), "near-grams")
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         omh, total = OrderMinHash(2, 1, 1), np.zeros(_SLOTS, dtype=np.int64)
@@ -472,15 +530,23 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
                 yield pd.DataFrame({**{c: f[c].array for c in ("node", "n", "cls", "open")}, "grams": first})
 
     posted = grams.mapInPandas(rarest, "node long, n int, cls long, open array<int>, grams array<long>").select("node", "n", "cls", "open", F.explode("grams").alias("gram"))
-    posted = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram")
-    met = written(posted.mapInPandas(meetings(small, threshold), "family boolean, a long, b long").distinct(), "near-met")
-    links3 = verified(met.filter("NOT family").select("a", "b"), grams.select("node", "w"))
-    many = met.filter("family").select("a", "b")
-    family = components(many)
+    meeting = lambda rows: rows.repartition(shuffled, "gram").sortWithinPartitions("gram").mapInPandas(meetings(small, threshold), "family boolean, a long, b long").distinct()
+    met = written(meeting(posted), "near-met")
+    # a large gram goes by the first of its texts; what shares no bucket need not meet
+    finer = met.filter("family").select(F.col("a").alias("node"), "b").join(grams.drop("w"), "node").withColumn("key", F.explode("open"))
+    met2 = written(meeting(finer.select(F.xxhash64("b", "key").alias("gram"), "node", "n", "cls", F.array("key").alias("open"))), "near-met")
+    pairs3 = few.unionAll(met.unionAll(met2).filter("NOT family").select("a", "b")).distinct()
+    links3 = verified(pairs3, texts)
+    family = components(met2.filter("family").select("a", "b"))
     family = written(family.unionAll(family.select(F.col("root").alias("node"), "root")).distinct(), "near-family")
-    parts = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    cut = family.join(parts, "root").withColumn("x", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("node", "root", "x", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+    parts = written(family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "near-parts")
+    placed = family.join(parts, "root").withColumn("x", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
+
+    def cut(first: int, last: int) -> DataFrame:
+        """Texts by the pairs of blocks, on the circle of their family's, that are ``first`` to ``last`` apart."""
+        met = placed.filter(F.col("parts") >= 2 * first).withColumn("far", F.explode(F.sequence(F.lit(first), F.least(F.lit(last), F.floor(F.col("parts") / 2).cast("int")))))
+        met = met.withColumn("y", F.explode(F.array_distinct(F.array(F.pmod(F.col("x") + F.col("far"), "parts"), F.pmod(F.col("x") - F.col("far"), "parts")))))
+        return met.select("node", "root", "x", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
 
     def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         with np.errstate(over="ignore"):
@@ -490,9 +556,15 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
             ids = f["node"].to_numpy()
             return pd.DataFrame({"a": ids, "b": ids[forest(linked)]})[linked.any(axis=1)]
 
-    met3 = written(cut.join(grams.select("node", "cls", "w"), "node").groupBy("root", "p", "q").applyInPandas(meet, "a long, b long"), "near-met3")
-    links3 = links3.unionAll(met3)
-    roots3 = components(renamed(renamed(renamed(renamed(links3, "a", roots), "a", roots2), "b", roots), "b", roots2))
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    rounds = [
+        written(cut(o, o + 7).join(grams.select("node", "cls", "w"), "node").groupBy("root", "p", "q").applyInPandas(meet, "a long, b long"), "near-met3")
+        for o in range(0, most // 2 + 1, 8)
+    ]
+    found = links3
+    for r in rounds:
+        found = found.unionAll(r)
+    roots3 = components(renamed(renamed(renamed(renamed(found, "a", roots), "a", roots2), "b", roots), "b", roots2))
 
     labelled = heads.select("node", "d2", "copies", "doc_id", F.col("node").alias("cls"))
     for r in (roots, roots2, roots3):
@@ -502,7 +574,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     out = real.select("doc_id", "h", "node", "d2").join(labelled.drop("doc_id", "copies"), ["node", "d2"]).join(size, "cls")
     out = out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash"))
     alone = told.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("h").alias("text_hash"))
-    release(sizes, full, leader, pairs, words, links, rest, second, links2, open_, left, grams, met, family, met3)
+    release(full, leader, pairs, words, links, rest, second, links2, open_, left, texts, few, grams, met, met2, links3, family, parts, *rounds)
     return out.unionAll(alone)
 
 
