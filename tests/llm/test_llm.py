@@ -466,6 +466,29 @@ def test_near_dedup_families_need_a_common_bucket(spark, monkeypatch):
     assert all(g.class_id == g.doc_id for g in got) and families and max(families) <= 12
 
 
+def test_near_dedup_frequent_grams_make_no_rows(spark, monkeypatch):
+    """60 texts that meet in dozens of frequent grams and buckets go to their family by a row for each bucket, not for each gram of it."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(changed(rng, base, 9)), "en", "s", 1) for i in range(60)]
+    real, calls, written, made = near_dedup.components, [], near_dedup.written, collections.Counter()
+
+    def lossy(edges):
+        calls.append(edges)
+        return real(edges.limit(0) if len(calls) < 3 else edges)
+
+    def seen(df, name):
+        out = written(df, name)
+        made[name] += out.filter("family").count() if name == "near-met" else out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "components", lossy)
+    monkeypatch.setattr(near_dedup, "written", seen)
+    got = near_dedup.near_dedup(docs(spark, rows), small=2, block=7).collect()
+    assert collections.Counter(g.class_id for g in got).most_common(1)[0][1] >= 59
+    assert made["near-family"] >= 59 and made["near-met"] < 60
+
+
 def test_near_dedup_blocks_meet_in_rounds(spark, monkeypatch):
     """Blocks of one text, more than one round: no text of a family is copied more than 16 times in a table, every pair is decided."""
     rng = random.Random(13)

@@ -248,7 +248,12 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Hashes in the order of their slot's count, ties by hash: one order for all texts, rare ones first."""
-    return grams[np.lexsort((grams, counts[(grams >> np.uint64(40)).astype(np.int64) % len(counts)]))]
+    return grams[np.lexsort((grams, counts[slots(grams, len(counts))]))]
+
+
+def slots(grams: np.ndarray, n: int) -> np.ndarray:
+    """The slots, of ``n``, by which grams are counted."""
+    return (grams >> np.uint64(40)).astype(np.int64) % n
 
 
 def prefix_length(n: int, threshold: float) -> int:
@@ -365,7 +370,8 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-_SLOTS = 1 << 18
+#: Slots of the counts of grams, and how many of them make a row.
+_SLOTS, _PART = 1 << 22, 1 << 14
 
 
 def _digest(words: list[str]) -> bytes:
@@ -420,16 +426,16 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     3. buckets that still hold several classes are decided without their leaders. In one of up to ``block`` texts
        all pairs meet by bags of words, see ``bucket_pairs``. The texts of larger ones go to an exact join: two similar
        texts share one of their rarest two-word grams, see ``prefix_length``. So a passage that a
-       third of all documents hold makes no pairs unless it is most of them. Grams of more than ``small``
-       texts are split by bucket, for most of their texts share none. Texts that meet in more than ``small`` even so
-       are one family, cut into blocks of about ``block`` texts; each two blocks meet in one group, whose
+       third of all documents hold makes no pairs unless it is most of them. A gram of more than ``small``
+       texts makes no rows of its own: its texts go by bucket, a row for each. Those that meet in a bucket of more
+       than ``small`` of them are one family, cut into blocks of about ``block`` texts; each two blocks meet in one group, whose
        rows are its texts, not its pairs, and ``compare`` decides all of them. Blocks meet in rounds
        by their distance, in each of which a text is copied 16 times at most, so disk grows with the family only.
 
     How a pair meets is so a matter of counts, but every pair that shares a bucket is decided, by the
     same measure. Rows grow with the input, and the work in a family of texts that are nearly alike with its
     square over ``block``. Steps move narrow rows; texts move to the pairs that are decided. The
-    counts by which grams are rare are 2**18 sums, whatever the input.
+    counts by which grams are rare are 2**22 sums, 16 MB, whatever the input.
 
     Null and empty texts form one class. A row with a null id takes no part and comes back as a
     class of its own. One id may have several texts: each is judged by itself, and all rows of a
@@ -509,35 +515,52 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     grams = written(crowd.join(texts, "node"), "near-grams")
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        omh, total = OrderMinHash(2, 1, 1), np.zeros(_SLOTS, dtype=np.int64)
+        omh, total = OrderMinHash(2, 1, 1), np.zeros(_SLOTS, dtype=np.uint32)
         with np.errstate(over="ignore"):
             for f in frames:
                 for w in f["w"]:
-                    total += np.bincount((omh.labelled(np.asarray(w).view(np.uint64)) >> np.uint64(40)).astype(np.int64) % _SLOTS, minlength=_SLOTS)
-        slot = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": slot, "c": total[slot]})
+                    slot, c = np.unique(slots(omh.labelled(np.asarray(w).view(np.uint64)), _SLOTS), return_counts=True)
+                    total[slot] += c.astype(np.uint32)
+        held = [(part, x, np.flatnonzero(x)) for part, x in enumerate(total.reshape(-1, _PART)) if x.any()]
+        yield pd.DataFrame([(part, at.astype(np.uint16).tobytes(), x[at].tobytes()) for part, x, at in held], columns=["part", "slot", "c"])
 
-    counts = np.zeros(_SLOTS, dtype=np.int64)
-    for r in grams.select("w").mapInPandas(tally, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).collect():
-        counts[r["slot"]] = r["c"]
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for f in frames:
+            for part, slot, c in zip(f["part"].tolist(), f["slot"], f["c"], strict=True):
+                total.setdefault(part, np.zeros(_PART, dtype=np.int64))[np.frombuffer(slot, dtype=np.uint16)] += np.frombuffer(c, dtype=np.uint32)
+        yield pd.DataFrame([(part, np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()) for part, x in total.items()], columns=["part", "c"])
+
+    counts = np.zeros(_SLOTS, dtype=np.uint32)
+    tallied = grams.select("w").mapInPandas(tally, "part int, slot binary, c binary").repartition(shuffled, "part")
+    for r in tallied.mapInPandas(added, "part int, c binary").collect():
+        counts[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["c"], dtype=np.uint32)
     shared = spark.sparkContext.broadcast(counts)
+    most = small + 2 * int(counts.sum(dtype=np.int64) // _SLOTS)  # of a slot with one rare gram among what falls there by chance
 
     def rarest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         omh = OrderMinHash(2, 1, 1)
         with np.errstate(over="ignore"):
             for f in frames:
-                first = [rare_first(omh.labelled(np.asarray(w).view(np.uint64)), shared.value)[: prefix_length(len(w), threshold)].view(np.int64) for w in f["w"]]
-                yield pd.DataFrame({**{c: f[c].array for c in ("node", "n", "cls", "open")}, "grams": first})
+                first = [rare_first(omh.labelled(np.asarray(w).view(np.uint64)), shared.value)[: prefix_length(len(w), threshold)] for w in f["w"]]
+                c = [shared.value[slots(x, _SLOTS)] for x in first]
+                out = {"often": [bool((y > most).any()) for y in c], "grams": [x[y <= most].view(np.int64) for x, y in zip(first, c, strict=True)]}
+                yield pd.DataFrame({**{name: f[name].array for name in ("node", "n", "cls", "open")}, **out})
 
-    posted = grams.mapInPandas(rarest, "node long, n int, cls long, open array<int>, grams array<long>").select("node", "n", "cls", "open", F.explode("grams").alias("gram"))
+    rare = written(grams.mapInPandas(rarest, "node long, n int, cls long, open array<int>, often boolean, grams array<long>"), "near-rare")
+    posted = rare.select("node", "n", "cls", "open", F.explode("grams").alias("gram"))
     meeting = lambda rows: rows.repartition(shuffled, "gram").sortWithinPartitions("gram").mapInPandas(meetings(small, threshold), "family boolean, a long, b long").distinct()
     met = written(meeting(posted), "near-met")
-    # a large gram goes by the first of its texts; what shares no bucket need not meet
-    finer = met.filter("family").select(F.col("a").alias("node"), "b").join(grams.drop("w"), "node").withColumn("key", F.explode("open"))
-    met2 = written(meeting(finer.select(F.xxhash64("b", "key").alias("gram"), "node", "n", "cls", F.array("key").alias("open"))), "near-met")
+    # texts with a frequent gram go by bucket, once for each: what shares no bucket need not meet
+    often = rare.filter("often").select("node").unionAll(met.filter("family").select(F.col("a").alias("node"))).distinct()
+    finer = written(rare.join(often, "node", "left_semi").select("node", "n", "cls", F.explode("open").alias("key")), "near-finer")
+    held = written(finer.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("first")), "near-held")
+    finer_held = finer.join(held, "key")
+    met2 = written(meeting(finer_held.filter(F.col("held") <= small).select(F.col("key").cast("long").alias("gram"), "node", "n", "cls", F.array("key").alias("open"))), "near-met")
+    together = finer_held.filter(F.col("held") > small).select(F.col("node").alias("a"), F.col("first").alias("b"))
     pairs3 = few.unionAll(met.unionAll(met2).filter("NOT family").select("a", "b")).distinct()
     links3 = verified(pairs3, texts)
-    family = components(met2.filter("family").select("a", "b"))
+    family = components(together)
     family = written(family.unionAll(family.select(F.col("root").alias("node"), "root")).distinct(), "near-family")
     parts = written(family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "near-parts")
     placed = family.join(parts, "root").withColumn("x", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
@@ -556,10 +579,10 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
             ids = f["node"].to_numpy()
             return pd.DataFrame({"a": ids, "b": ids[forest(linked)]})[linked.any(axis=1)]
 
-    most = parts.agg(F.max("parts")).first()[0] or 1
+    largest = parts.agg(F.max("parts")).first()[0] or 1
     rounds = [
         written(cut(o, o + 7).join(grams.select("node", "cls", "w"), "node").groupBy("root", "p", "q").applyInPandas(meet, "a long, b long"), "near-met3")
-        for o in range(0, most // 2 + 1, 8)
+        for o in range(0, largest // 2 + 1, 8)
     ]
     found = links3
     for r in rounds:
@@ -574,7 +597,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     out = real.select("doc_id", "h", "node", "d2").join(labelled.drop("doc_id", "copies"), ["node", "d2"]).join(size, "cls")
     out = out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash"))
     alone = told.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("h").alias("text_hash"))
-    release(full, leader, pairs, words, links, rest, second, links2, open_, left, texts, few, grams, met, met2, links3, family, parts, *rounds)
+    release(full, leader, pairs, words, links, rest, second, links2, open_, left, texts, few, grams, rare, met, finer, held, met2, links3, family, parts, *rounds)
     return out.unionAll(alone)
 
 
