@@ -348,6 +348,13 @@ def test_components(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_on_the_driver_and_by_rounds(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)], "a long, b long")
+    there, rounds = ({r.node: r.root for r in near_dedup.components(edges, few).collect()} for few in (1 << 16, 0))
+    assert there == rounds and len(there) > 200 and len(set(there.values())) > 20
+
+
 def changed(rng, ws, n):
     out = list(ws)
     for at in rng.sample(range(len(ws)), n):
@@ -489,6 +496,24 @@ def test_near_dedup_frequent_grams_make_no_rows(spark, monkeypatch):
     assert made["near-family"] >= 59 and made["near-met"] < 60
 
 
+def test_near_dedup_grams_of_one_text_make_no_rows(spark, monkeypatch):
+    """Texts with a passage in common and 40 words of their own: only what two of them hold is posted."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join(passage + [f"own{rng.randrange(10**9)}" for _ in range(40)]), "en", "s", 1) for i in range(60)]
+    written, posted = near_dedup.written, []
+
+    def seen(df, name):
+        out = written(df, name)
+        if name == "near-rare":
+            posted.append(out.agg(F.sum(F.size("grams"))).first()[0])
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", seen)
+    got = near_dedup.near_dedup(docs(spark, rows), block=7).collect()
+    assert all(g.class_id == g.doc_id for g in got) and len(posted) == 1 and posted[0] < 60
+
+
 def test_near_dedup_blocks_meet_in_rounds(spark, monkeypatch):
     """Blocks of one text, more than one round: no text of a family is copied more than 16 times in a table, every pair is decided."""
     rng = random.Random(13)

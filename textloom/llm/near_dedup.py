@@ -346,13 +346,34 @@ def bucket_pairs(threshold: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b), and for each the smallest node that it is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while (least[x] != least[y]).any():
+        low = np.minimum(least[x], least[y])
+        for end in (least[x], least[y]):
+            np.minimum.at(least, end, low)
+        while (least[least] != least).any():
+            least = least[least]
+    return nodes, nodes[least]
+
+
+def components(edges: DataFrame, few: int = 1 << 16) -> DataFrame:
     """(node, root): the smallest node of each connected component, by large-star and small-star.
 
     Every round works on narrow edges with aggregates and equi-joins, is written to the shared
-    folder, and nothing comes to the driver but a count and a checksum.
+    folder, and nothing comes to the driver but a count and a checksum. Up to ``few`` edges, a
+    megabyte, need no rounds: the driver connects them.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "cc-0")
+    if edges.count() <= few:
+        found = edges.toArrow()
+        release(edges)
+        nodes, roots = least_connected(*(found.column(c).to_numpy() for c in "ab"))
+        roots = pd.DataFrame({"node": nodes, "root": roots}).query("node != root")
+        return written(edges.sparkSession.createDataFrame(roots, "node long, root long"), "cc-few")
     last = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -425,7 +446,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     2. of the texts outside the leader's class one, by hash, meets all of other classes;
     3. buckets that still hold several classes are decided without their leaders. In one of up to ``block`` texts
        all pairs meet by bags of words, see ``bucket_pairs``. The texts of larger ones go to an exact join: two similar
-       texts share one of their rarest two-word grams, see ``prefix_length``. So a passage that a
+       texts share one of their rarest two-word grams, see ``prefix_length``; one that no other text holds makes no row. So a passage that a
        third of all documents hold makes no pairs unless it is most of them. A gram of more than ``small``
        texts makes no rows of its own: its texts go by bucket, a row for each. Those that meet in a bucket of more
        than ``small`` of them are one family, cut into blocks of about ``block`` texts; each two blocks meet in one group, whose
@@ -544,7 +565,8 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
             for f in frames:
                 first = [rare_first(omh.labelled(np.asarray(w).view(np.uint64)), shared.value)[: prefix_length(len(w), threshold)] for w in f["w"]]
                 c = [shared.value[slots(x, _SLOTS)] for x in first]
-                out = {"often": [bool((y > most).any()) for y in c], "grams": [x[y <= most].view(np.int64) for x, y in zip(first, c, strict=True)]}
+                # alone in its slot, a gram is in no other text
+                out = {"often": [bool((y > most).any()) for y in c], "grams": [x[(y > 1) & (y <= most)].view(np.int64) for x, y in zip(first, c, strict=True)]}
                 yield pd.DataFrame({**{name: f[name].array for name in ("node", "n", "cls", "open")}, **out})
 
     rare = written(grams.mapInPandas(rarest, "node long, n int, cls long, open array<int>, often boolean, grams array<long>"), "near-rare")
