@@ -157,6 +157,16 @@ def test_bpe_random_texts_and_bounded_memory(library):
             assert (n, ids) == (len(e.ids), " ".join(map(str, e.ids))) and decoded == library.decode(e.ids, skip_special_tokens=False) == coder.decode(e.ids)
 
 
+def test_bpe_merges_a_recurring_word_once():
+    with open(bpe.default_vocab(), encoding="utf-8") as f:
+        coder = bpe.WordBpe(json.load(f), max_words=60)
+    merged, plain = collections.Counter(), coder.merge_all
+    coder.merge_all = lambda words: (merged.update(words), plain(words))[1]
+    for k in "abcdefghijklmnopqrst":
+        coder.encode_batch([" ".join(["ever", "always", *(f"only{k}{i}" for i in "abcdefghij")])])
+    assert merged["ever"] == merged["always"] == merged["onlyaa"] == 1
+
+
 # ------------------------------------------------------------------ 9 line dedup
 
 

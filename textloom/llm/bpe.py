@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
+import itertools
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +33,28 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class Known:
+    """Words and their ids. The ids lie in one array: a word costs little beside its string."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.flat, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at ``places``, one after the other, and their numbers."""
+        starts = self.ends[places]
+        sizes = self.ends[places + 1] - starts
+        return self.flat[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)], sizes
+
+
 class WordBpe:
     """Encoder and decoder for a ``tokenizers`` JSON file of the kind BPE with word ends.
 
@@ -39,92 +66,98 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.base = max(self.vocab.values()) + 1
+        self.rank: dict[int, int] = {}  # of a pair (a, b), as a * base + b
+        self.merges: list[tuple[int, int, int]] = []  # by rank: a, b and what they make
         for r, (a, b) in enumerate(model["merges"]):
-            self.rank.setdefault((self.vocab[a], self.vocab[b]), (r, self.vocab[a + b]))
+            self.merges.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
+            self.rank.setdefault(self.vocab[a] * self.base + self.vocab[b], r)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
+        self.latin_pattern = latin(pattern)
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.special_start = os.path.commonprefix(list(self.special))  # "" is in every text
         self.alphabet = byte_alphabet()
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.strings = [pa.array([f(i) for i in range(max(self.text_of) + 1)], pa.string()) for f in (str, lambda i: self.text_of.get(i, ""))]
+        self.byte_ids = np.array([[self.vocab[c + e] for c in self.alphabet] for e in ("", self.end)])
+        #: Rank of two neighbouring bytes, -1 for none; [1] where the second ends its word.
+        self.byte_ranks = np.array([[self.rank.get(a * self.base + b, -1) for a in self.byte_ids[0].tolist() for b in ids] for ids in self.byte_ids.tolist()])
         self.max_words = max_words
-        self.known_ids: dict[str, str] = {}
-        self.known_texts: dict[str, str] = {}
+        self.known, self.older = self.specials(), self.specials()  # older: words not met since ``known`` was last full
+
+    def specials(self) -> Known:
+        """Special tokens are words with a blank before them: no other word holds white space."""
+        out = Known()
+        out.add([" " + t for t in self.special], np.array(list(self.special.values()), np.int64), np.ones(len(self.special), np.int64))
+        return out
 
     # encoding of distinct words -------------------------------------------------------------
 
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. All words lie in one array of symbols, with no pair across words.
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one after the other, and their numbers. All words lie in one array of symbols, with no pair across words.
 
         Every adjacent pair is indexed to all its positions. Ranks that occur are taken in
         ascending order from a heap; a rank's positions are merged from left to right and only
         the lists of the neighbouring pairs change. A pair that a merge makes always has a later
         rank than the merge, or else re-enters the heap, so each word ends as it would alone.
         """
-        ids: list[int] = []
-        heads: list[int] = []
-        last: list[bool] = []
-        for w in words:
-            heads.append(len(ids))
-            symbols = [self.alphabet[b] for b in w.encode("utf-8")]
-            symbols[-1] += self.end
-            ids += [self.vocab[s] for s in symbols]
-            last += [False] * (len(symbols) - 1) + [True]
-        n = len(ids)
-        after = [-1 if last[i] else i + 1 for i in range(n)]
-        before = [-1] * n
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-        places: dict[tuple[int, int], list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0:
-                places.setdefault((ids[i], ids[j]), []).append(i)
-        heap = [(self.rank[p][0], p) for p in places if p in self.rank]
-        heapq.heapify(heap)
-        queued = {p for _, p in heap}
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        data = [w.encode("utf-8") for w in words]
+        tails = np.cumsum([len(d) for d in data]) - 1
+        heads = np.append(0, tails[:-1] + 1)
+        flat = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        n, is_tail = len(flat), np.zeros(len(flat), np.int64)
+        is_tail[tails] = 1
+        ids = self.byte_ids[is_tail, flat].tolist()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[tails], before[heads] = -1, -1
+        after, before = after.tolist(), before.tolist()
+        ranks = np.where(is_tail[:-1], -1, self.byte_ranks[is_tail[1:], flat[:-1] * 256 + flat[1:]])
+        at = np.argsort(ranks, kind="stable")[np.count_nonzero(ranks < 0) :]
+        heap, starts = (x.tolist() for x in np.unique(ranks[at], return_index=True))  # sorted, so a heap
+        at = at.tolist()
+        places = {r: at[s:e] for r, (s, e) in zip(heap, itertools.pairwise([*starts, len(at)]), strict=True)}
+        base, rank_of = self.base, self.rank.get
         while heap:
-            _, pair = heapq.heappop(heap)
-            queued.discard(pair)
-            a, b = pair
-            new = self.rank[pair][1]
-            for i in sorted(places.pop(pair, ())):
-                j = after[i] if ids[i] == a else -1
-                if j < 0 or ids[j] != b:
+            rank = heapq.heappop(heap)
+            a, b, new = self.merges[rank]
+            for i in sorted(places.pop(rank)):
+                if ids[i] != a or (j := after[i]) < 0 or ids[j] != b:
                     continue  # an earlier merge took one of the two
                 ids[i], ids[j] = new, -1
-                k = after[j]
-                after[i] = k
+                after[i] = k = after[j]
                 if k >= 0:
                     before[k] = i
-                for left, right in ((before[i], i), (i, k)):
-                    if left >= 0 and right >= 0:
-                        made = (ids[left], ids[right])
-                        if made in self.rank:
-                            places.setdefault(made, []).append(left)
-                            if made not in queued:
-                                queued.add(made)
-                                heapq.heappush(heap, (self.rank[made][0], made))
-        out = []
-        for h in heads:
-            word, i = [], h
-            while i >= 0:
-                word.append(ids[i])
-                i = after[i]
-            out.append(word)
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known_ids]
-        if len(self.known_ids) + len(new) > self.max_words:
-            self.known_ids.clear()  # bounded memory; words of this batch are encoded again
-            self.known_texts.clear()
-            new = list(words)
-        for w, ids in zip(new, self.merge_all(new), strict=True):
-            self.known_ids[w] = " ".join(map(str, ids))
-            self.known_texts[w] = " ".join([self.text_of[i] for i in ids])
+                    if (r := rank_of(new * base + ids[k])) is not None:
+                        if r in places:
+                            places[r].append(i)
+                        else:
+                            places[r] = [i]
+                            heapq.heappush(heap, r)
+                if (h := before[i]) >= 0 and (r := rank_of(ids[h] * base + new)) is not None:
+                    if r in places:
+                        places[r].append(h)
+                    else:
+                        places[r] = [h]
+                        heapq.heappush(heap, r)
+        left = np.array(ids)
+        kept = left >= 0  # a merged symbol stands where its first byte was
+        return left[kept], np.diff(np.cumsum(kept)[tails], prepend=0)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Have all the distinct ``words`` in ``known`` and return their places; at most ``max_words`` are kept besides, those met last."""
+        unknown = [w for w in words if w not in self.known.place]
+        if len(self.known.place) + len(unknown) > self.max_words // 2:
+            self.known, self.older = self.specials(), self.known
+            unknown = [w for w in words if w not in self.known.place]
+        met = [w for w in unknown if w in self.older.place]
+        self.known.add(met, *self.older.ids(self.older.places(met)))
+        new = [w for w in unknown if w not in self.older.place]
+        self.known.add(new, *self.merge_all(new))
+        return self.known.places(words)
 
     # texts ----------------------------------------------------------------------------------
 
@@ -135,32 +168,56 @@ class WordBpe:
         return [(p in self.special, p) for p in self.special_split.split(text) if p]
 
     def words(self, text: str) -> list[str]:
-        flat = text if text.isascii() else unicodedata.normalize("NFC", text)
-        return self.pattern.findall(lower(flat))
+        flat = lower(text if text.isascii() else unicodedata.normalize("NFC", text))
+        return (self.pattern if _BEYOND_LATIN.search(flat) else self.latin_pattern).findall(flat)
+
+    def encode_columns(self, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Number of ids, the ids joined by spaces, and the decoded text, as columns.
+
+        Only the batch's distinct words are looked up; NumPy and Arrow put the columns together from their ids.
+        """
+        flat, bounds = [], [0]
+        for t in texts:
+            for special, piece in self.split(t):
+                if special:
+                    flat.append(" " + piece)
+                else:
+                    flat += self.words(piece)
+            bounds.append(len(flat))
+        words = pa.array(flat, pa.string()).dictionary_encode()
+        collecting = gc.isenabled()
+        gc.disable()  # the index is many lists, none of them in a cycle
+        try:
+            places = self.learn(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        finally:
+            if collecting:
+                gc.enable()
+        ids, sizes = self.known.ids(places[words.indices.to_numpy()])
+        starts = np.append(0, np.cumsum(sizes))[bounds]
+        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x.take(pa.array(ids))) for x in self.strings]
+        return pa.array(np.diff(starts)), *(pc.binary_join(x, " ") for x in lists)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, the ids joined by spaces, the decoded text) of each text."""
-        split = [[(s, [p] if s else self.words(p)) for s, p in self.split(t)] for t in texts]
-        self.learn({w for pieces in split for s, ws in pieces if not s for w in ws})
-        out = []
-        for pieces in split:
-            ids, decoded = [], []
-            for special, ws in pieces:
-                if special:
-                    ids.append(str(self.special[ws[0]]))
-                    decoded.append(ws[0])
-                elif ws:
-                    ids.append(" ".join(map(self.known_ids.__getitem__, ws)))
-                    decoded.append(" ".join(map(self.known_texts.__getitem__, ws)))
-            joined = " ".join(ids)
-            out.append((joined.count(" ") + 1 if joined else 0, joined, " ".join(decoded)))
-        return out
+        return list(zip(*(c.to_pylist() for c in self.encode_columns(texts)), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """A file without a decoder: the tokens' strings joined by spaces; unknown ids are left out."""
         return " ".join(self.text_of[i] for i in ids if i in self.text_of)
 
 
+#: Texts without a character from here on go to ``re``, which is faster than ``regex``.
+_LATIN_END = 0x250
+_BEYOND_LATIN = re.compile(f"[^\\x00-\\u{_LATIN_END - 1:04x}]")
+
+
+def latin(pattern: str) -> re.Pattern:
+    """A pattern of ``regex`` for ``re``, its classes spelled out: right for the characters before ``_LATIN_END``."""
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(name, "".join(f"\\u{c:04x}" for c in range(_LATIN_END) if regex.match(name, chr(c))))
+    return re.compile(pattern)
+
+
 def lower(text: str) -> str:
     """Lower case of each character by itself: a final sigma stays a plain one."""
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
@@ -185,27 +242,28 @@ def bpe_round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id",
     null ids come back as they are. The distinct words of a batch that are not known yet are encoded
     together, see ``WordBpe.merge_all``. A batch is an Arrow batch of the partition, cut where it
     passes ``batch_chars`` characters, so memory follows that and the longest text; the words kept
-    between batches are bounded, and decoded texts are put together from their words. A single word
+    between batches are bounded, those met last stay, and ids and decoded texts are put together from them. A single word
     of n bytes takes some 300 n bytes while it is merged. Other columns are not read.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(vocab_path)
     name = vocab_path.rsplit("/", 1)[-1]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(SparkFiles.get(name))
-        for frame in frames:
-            texts, at = frame["text"].fillna("").tolist(), 0
-            while at < len(texts):
+        for batch in batches:
+            sizes, at = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), 0
+            while at < len(sizes):
                 start, size = at, 0
-                while at < len(texts) and size <= batch_chars:
-                    size, at = size + len(texts[at]), at + 1
-                rows, part = bpe.encode_batch(texts[start:at]), frame.iloc[start:at]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": [r[0] for r in rows], "ids": [r[1] for r in rows], "decoded": [r[2] for r in rows], **{c: part[c].array for c in keep}})
+                while at < len(sizes) and size <= batch_chars:
+                    size, at = size + sizes[at], at + 1
+                part = batch.slice(start, at - start)
+                n_tokens, ids, decoded = bpe.encode_columns([t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_tokens": n_tokens, "ids": ids, "decoded": decoded} | {c: part.column(c) for c in keep})
 
     kind = lambda c: docs.schema[c].dataType.simpleString()
     extra = "".join(f", `{c}` {kind(c)}" for c in keep)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep).mapInPandas(run, f"doc_id {kind(id_col)}, n_tokens long, ids string, decoded string{extra}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep).mapInArrow(run, f"doc_id {kind(id_col)}, n_tokens long, ids string, decoded string{extra}")
 
 
 def default_vocab() -> str:
