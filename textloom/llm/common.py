@@ -8,13 +8,16 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.sources.tables import table
 
-__all__ = ["WS", "drop_path", "free", "gapless", "hash60", "release", "scratch_path", "shared_dir", "table", "words_of", "written"]
+__all__ = ["WS", "drop_path", "free", "gapless", "hash60", "list_column", "release", "scratch_path", "shared_dir", "table", "word_lists", "words_of", "written"]
 
 #: ASCII white space, as the contracts define it.
 WS = r"[\x20\x09-\x0D]+"
@@ -98,6 +101,21 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """``words_of`` for a column of texts, as a column of lists."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = split.flatten()
+    real = pc.not_equal(words, "")  # white space at an end leaves an empty word
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return pa.ListArray.from_arrays(pa.array(before[split.offsets.to_numpy()], pa.int32()), words.filter(real))
+
+
+def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """One list for each array."""
+    bounds = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
 def free(taken: list[str], name: str) -> str:
     """``name``, with as many underscores behind it as it takes to clash with no column."""
     low = {c.lower() for c in taken}

@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import release, table, words_of, written
-from textloom.llm.substring import Roller, WordHashes, mix64
+from textloom.llm.common import list_column, release, table, word_lists, written
+from textloom.llm.substring import ByteHashes, Roller, mix64
 
 
 class OrderMinHash:
@@ -53,18 +55,19 @@ class OrderMinHash:
         grams = [self.labelled(texts[i]) for i in which]
         sizes = np.array([len(g) for g in grams])
         x, owner = np.concatenate(grams), np.repeat(np.arange(len(which)), sizes)
-        bound = np.repeat(np.where(sizes > 16, 2.0**64 * 16 / np.maximum(sizes, 17), 0).astype(np.uint64) - np.uint64(1), sizes)
+        bound = np.repeat((np.where(sizes > 16, 2.0**64 * 16 / np.maximum(sizes, 17), 0).astype(np.uint64) - np.uint64(1)) | np.uint64(2**32 - 1), sizes)
         least_count = np.minimum(self.tuple_size, sizes)
         values = np.empty((len(which), len(self.seeds)), dtype=np.uint64)
+        mixed, is_low = np.empty_like(x), np.empty(len(x), dtype=bool)
         for j, (seed, odd) in enumerate(zip(self.seeds, self.odd, strict=True)):
-            v = (x ^ seed) * odd
-            v ^= v >> np.uint64(32)
-            low = np.flatnonzero(v <= bound)
+            np.multiply(np.bitwise_xor(x, seed, out=mixed), odd, out=mixed)
+            low = np.flatnonzero(np.less_equal(mixed, bound, out=is_low))  # the upper halves decide; lower ones are mixed below
             count = np.bincount(owner[low], minlength=len(which))
             if (lacking := count < least_count).any():
-                low = np.flatnonzero((v <= bound) | lacking[owner])
+                low = np.flatnonzero(is_low | lacking[owner])
                 count = np.bincount(owner[low], minlength=len(which))
-            v, own, starts = v[low], owner[low], np.cumsum(count) - count
+            v, own, starts = mixed[low], owner[low], np.cumsum(count) - count
+            v ^= v >> np.uint64(32)
             places, least = np.empty((self.tuple_size, len(which)), dtype=np.int64), np.empty((self.tuple_size, len(which)), dtype=np.uint64)
             for r in range(self.tuple_size):
                 least[r] = np.minimum.reduceat(v, starts)
@@ -393,40 +396,46 @@ def components(edges: DataFrame, few: int = 1 << 16) -> DataFrame:
 
 #: Slots of the counts of grams, and how many of them make a row.
 _SLOTS, _PART = 1 << 22, 1 << 14
+#: Bytes of the texts that are sketched together.
+_PIECE = 600_000
+
 
+def _digests(words: pa.ListArray) -> np.ndarray:
+    """Four longs of each text's SHA-256."""
+    joined = pc.binary_join(words, " ").cast(pa.binary()).to_pylist()
+    return np.frombuffer(b"".join([hashlib.sha256(x).digest() for x in joined]), dtype=">i8").reshape(-1, 4).astype(np.int64)
 
-def _digest(words: list[str]) -> bytes:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()
+
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch, cut where the texts pass ``most`` bytes, so memory follows that and the longest text."""
+    sizes, at = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist(), 0
+    while at < len(sizes):
+        start, size = at, 0
+        while at < len(sizes) and size < most:
+            size, at = size + sizes[at], at + 1
+        yield batch.slice(start, at - start)
 
 
 def _describe(k: int, sketches: int, tuple_size: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketcher, hashes = Sketcher(k, sketches, tuple_size), WordHashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher, hashes = Sketcher(k, sketches, tuple_size), ByteHashes()
         with np.errstate(over="ignore"):
-            for f in frames:
-                at = 0
-                while at < len(f):
-                    texts, digests, size, start = [], [], 0, at
-                    while at < len(f) and size < 100_000:  # batches of about as many words, so memory follows the longest text
-                        words = words_of(f["text"].iloc[at])
-                        texts.append(hashes.of(words))
-                        digests.append(_digest(words))
-                        size, at = size + len(words), at + 1
-                    part = f.iloc[start:at]
-                    yield pd.DataFrame({
-                        "doc_id": part["doc_id"].array, "h": part["h"].array, "n": [len(t) for t in texts], "node": [int.from_bytes(d[:8], "big", signed=True) for d in digests],
-                        "d2": [int.from_bytes(d[8:16], "big", signed=True) for d in digests], "sketches": [x.view(np.int64) for x in sketcher.of(texts)],
-                    })
+            for part in itertools.chain.from_iterable(_pieces(b, _PIECE) for b in batches):
+                words = word_lists(part.column("text"))
+                texts, digests = hashes.of_lists(words), _digests(words)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "h": part.column("h"), "n": pa.array([len(t) for t in texts], pa.int32()), "node": pa.array(digests[:, 0]),
+                    "d2": pa.array(digests[:, 1]), "sketches": list_column([x.view(np.int64) for x in sketcher.of(texts)], pa.int64()),
+                })
 
     return run
 
 
-def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
-    for f in frames:
-        for at in range(0, len(f), 500):
-            words = [words_of(t) for t in f["text"].iloc[at : at + 500]]
-            yield pd.DataFrame({"node": [int.from_bytes(_digest(w)[:8], "big", signed=True) for w in words], "w": [hashes.of(w).view(np.int64) for w in words]})
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = ByteHashes()
+    for part in itertools.chain.from_iterable(_pieces(b, _PIECE) for b in batches):
+        words = word_lists(part.column("text"))
+        yield pa.RecordBatch.from_pydict({"node": pa.array(_digests(words)[:, 0]), "w": list_column([x.view(np.int64) for x in hashes.of_lists(words)], pa.int64())})
 
 
 def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: int = 2, threshold: float = 0.8, small: int = 16, block: int = 256) -> DataFrame:
@@ -464,7 +473,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    told = written(rows.mapInPandas(_describe(k, sketches, tuple_size), "doc_id long, h long, n int, node long, d2 long, sketches array<long>"), "near-told")
+    told = written(rows.mapInArrow(_describe(k, sketches, tuple_size), "doc_id long, h long, n int, node long, d2 long, sketches array<long>"), "near-told")
     real = told.filter("doc_id IS NOT NULL")
     heads = written(real.groupBy("node", "d2").agg(F.min(F.struct("doc_id", "n", "sketches")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "d2", "copies", "x.*"), "near-heads")
 
@@ -481,7 +490,7 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
 
     def words_for(nodes: DataFrame) -> DataFrame:
         wanted = heads.join(nodes.distinct(), "node", "left_semi").select("doc_id").distinct()
-        texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi").mapInPandas(_words, "node long, w array<long>")
+        texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_words, "node long, w array<long>")
         return written(texts.dropDuplicates(["node"]), "near-words")
 
     def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -520,9 +529,10 @@ def near_dedup(docs: DataFrame, *, k: int = 5, sketches: int = 64, tuple_size: i
     roots2 = components(renamed(renamed(links2, "a", roots), "b", roots))
 
     # 3: what is still apart in one bucket
-    apart = renamed(rest.select("key", "node", "n", "cls"), "cls", roots2)
+    apart = written(renamed(rest.select("key", "node", "n", "cls"), "cls", roots2), "near-apart")  # read twice
     open_ = written(apart.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo != hi").select("key", "held"), "near-open")
     left = written(apart.join(open_, "key"), "near-left")
+    release(apart)
     texts = words_for(left.select("node"))
 
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

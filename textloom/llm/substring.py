@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,37 @@ class WordHashes(dict):
         return np.array([self[w] for w in words], dtype=np.uint64)
 
 
+class ByteHashes:
+    """64-bit hashes of words from their bytes, all words at once and no table of words: random
+    values of the bytes, each times a power of an odd base by its place in the word, are added and mixed.
+    """
+
+    def __init__(self, seed: int = 0):
+        rng = np.random.default_rng((seed, 64))
+        self.values, self.base = rng.integers(0, 2**64, 256, dtype=np.uint64), int(rng.integers(0, 2**61)) * 8 + 5
+        self.powers = np.ones(1, dtype=np.uint64)
+
+    def of_lists(self, words: pa.ListArray) -> list[np.ndarray]:
+        """An array for each list of ``word_lists``."""
+        flat = words.flatten().cast(pa.large_binary())
+        offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        out = np.empty(len(flat), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(flat), 50_000):  # memory follows this many words, and the longest one
+                edges = offsets[at : at + 50_001]
+                sizes, starts = np.diff(edges), edges[:-1] - edges[0]
+                if len(self.powers) < (longest := int(sizes.max())):
+                    steps = np.full(2 * longest, self.base, dtype=np.uint64)
+                    steps[0] = 1
+                    self.powers = np.multiply.accumulate(steps)
+                data = np.frombuffer(flat.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+                place = np.arange(len(data)) - np.repeat(starts, sizes)
+                out[at : at + len(sizes)] = np.add.reduceat(self.values[data] * self.powers[place], starts)
+            out = mix64(out)
+        bounds = words.offsets.to_numpy()
+        return [out[a:b] for a, b in itertools.pairwise((bounds - bounds[0]).tolist())]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
