@@ -7,6 +7,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textloom.sources.tables import table
 
-__all__ = ["WS", "drop_path", "free", "gapless", "hash60", "list_column", "release", "scratch_path", "shared_dir", "table", "word_lists", "words_of", "written"]
+__all__ = ["WS", "drop_path", "free", "gapless", "hash60", "list_column", "pieces", "release", "scratch_path", "shared_dir", "table", "word_lists", "words_of", "written"]
 
 #: ASCII white space, as the contracts define it.
 WS = r"[\x20\x09-\x0D]+"
@@ -110,6 +111,16 @@ def word_lists(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(before[split.offsets.to_numpy()], pa.int32()), words.filter(real))
 
 
+def pieces(batch: pa.RecordBatch, most: int = 600_000) -> Iterator[pa.RecordBatch]:
+    """The batch, cut where its texts pass ``most`` bytes, so memory follows that and the longest text."""
+    sizes, at = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist(), 0
+    while at < len(sizes):
+        start, size = at, 0
+        while at < len(sizes) and size < most:
+            size, at = size + sizes[at], at + 1
+        yield batch.slice(start, at - start)
+
+
 def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """One list for each array."""
     bounds = np.cumsum([0, *map(len, arrays)])

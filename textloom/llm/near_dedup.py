@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import list_column, release, table, word_lists, written
+from textloom.llm.common import list_column, pieces, release, table, word_lists, written
 from textloom.llm.substring import ByteHashes, Roller, mix64
 
 
@@ -396,8 +396,6 @@ def components(edges: DataFrame, few: int = 1 << 16) -> DataFrame:
 
 #: Slots of the counts of grams, and how many of them make a row.
 _SLOTS, _PART = 1 << 22, 1 << 14
-#: Bytes of the texts that are sketched together.
-_PIECE = 600_000
 
 
 def _digests(words: pa.ListArray) -> np.ndarray:
@@ -406,21 +404,11 @@ def _digests(words: pa.ListArray) -> np.ndarray:
     return np.frombuffer(b"".join([hashlib.sha256(x).digest() for x in joined]), dtype=">i8").reshape(-1, 4).astype(np.int64)
 
 
-def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch, cut where the texts pass ``most`` bytes, so memory follows that and the longest text."""
-    sizes, at = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist(), 0
-    while at < len(sizes):
-        start, size = at, 0
-        while at < len(sizes) and size < most:
-            size, at = size + sizes[at], at + 1
-        yield batch.slice(start, at - start)
-
-
 def _describe(k: int, sketches: int, tuple_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, hashes = Sketcher(k, sketches, tuple_size), ByteHashes()
         with np.errstate(over="ignore"):
-            for part in itertools.chain.from_iterable(_pieces(b, _PIECE) for b in batches):
+            for part in itertools.chain.from_iterable(pieces(b) for b in batches):
                 words = word_lists(part.column("text"))
                 texts, digests = hashes.of_lists(words), _digests(words)
                 yield pa.RecordBatch.from_pydict({
@@ -433,7 +421,7 @@ def _describe(k: int, sketches: int, tuple_size: int):
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = ByteHashes()
-    for part in itertools.chain.from_iterable(_pieces(b, _PIECE) for b in batches):
+    for part in itertools.chain.from_iterable(pieces(b) for b in batches):
         words = word_lists(part.column("text"))
         yield pa.RecordBatch.from_pydict({"node": pa.array(_digests(words)[:, 0]), "w": list_column([x.view(np.int64) for x in hashes.of_lists(words)], pa.int64())})
 

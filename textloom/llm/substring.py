@@ -13,32 +13,15 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import drop_path, release, scratch_path, table, words_of, written
+from textloom.llm.common import drop_path, list_column, pieces, release, scratch_path, table, word_lists, written
 
 # ---------------------------------------------------------------------------- hashes of words
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the frequent ones; forgotten when there are too many."""
-
-    def __init__(self, most: int = 200_000, seed: int = 0):
-        super().__init__()
-        self.most, self.seed = most, seed
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.uint64)
-
-
 class ByteHashes:
     """64-bit hashes of words from their bytes, all words at once and no table of words: random
     values of the bytes, each times a power of an odd base by its place in the word, are added and mixed.
@@ -120,7 +103,7 @@ class Fingerprints:
     def __init__(self, window: int):
         self.window, self.k = window, max(1, window // 2)
         self.first, self.second = Roller(0x9E3779B97F4A7C15), Roller(0xD1B54A32D192ED03)
-        self.words, self.others = WordHashes(), WordHashes(seed=1)
+        self.words, self.others = ByteHashes(), ByteHashes(seed=1)
 
     def anchors(self, h: np.ndarray) -> np.ndarray:
         """The anchor of each window, in order of the windows."""
@@ -128,9 +111,9 @@ class Fingerprints:
             return np.empty(0, dtype=np.uint64)
         return sliding_min(self.first.runs(h, self.k), self.window - self.k + 1)
 
-    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each window, over word hashes of different seeds: the fingerprint and its verification."""
-        return self.first.runs(self.words.of(words), self.window), self.second.runs(self.others.of(words), self.window)
+        return self.first.runs(h, self.window), self.second.runs(other, self.window)
 
 
 # ---------------------------------------------------------------------------- the index
@@ -212,20 +195,20 @@ class RunIndex:
 
 # ---------------------------------------------------------------------------- the operator
 
-def _sha(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+def _shas(words: pa.ListArray) -> list[str]:
+    return [hashlib.sha256(x).hexdigest() for x in pc.binary_join(words, " ").cast(pa.binary()).to_pylist()]
 
 
 def _describe(window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints(window)
-        for f in frames:
-            for at in range(0, len(f), 500):
-                part, out = f.iloc[at : at + 500], []
-                for text in part["text"]:
-                    words = words_of(text)
-                    out.append((len(words), _sha(words), np.unique(prints.anchors(prints.words.of(words))).view(np.int64)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "n_words": [o[0] for o in out], "sha": [o[1] for o in out], "anchors": [o[2] for o in out]})
+        for part in itertools.chain.from_iterable(pieces(b) for b in batches):
+            words = word_lists(part.column("text"))
+            anchors = [np.unique(prints.anchors(h)).view(np.int64) for h in prints.words.of_lists(words)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": part.column("doc_id"), "h": part.column("h"), "n_words": pa.array(np.diff(words.offsets.to_numpy()), pa.int64()),
+                "sha": pa.array(_shas(words), pa.string()), "anchors": list_column(anchors, pa.int64()),
+            })
 
     return run
 
@@ -234,17 +217,17 @@ _TOLD = "doc_id long, h long, n_words long, sha string, anchors array<long>"
 
 
 def _window_rows(window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints(window)
-        for f in frames:
-            for at in range(0, len(f), 100):
-                part, out = f.iloc[at : at + 100], []
-                for text, asked in zip(part["text"], part["asked"], strict=True):
-                    words = words_of(text)
-                    pos = np.flatnonzero(np.isin(prints.anchors(prints.words.of(words)), np.asarray(asked, dtype=np.int64).view(np.uint64)))
-                    a, b = prints.windows(words)
-                    out.append((a[pos].view(np.int64), b[pos].view(np.int64), pos.astype(np.int32)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": part["h"].array, "key": [o[0] for o in out], "check": [o[1] for o in out], "pos": [o[2] for o in out]})
+        for part in itertools.chain.from_iterable(pieces(b) for b in batches):
+            words, asked = word_lists(part.column("text")), part.column("asked")
+            edges, asked, out = (asked.offsets.to_numpy() - asked.offsets[0].as_py()).tolist(), asked.flatten().to_numpy().view(np.uint64), []
+            for (lo, hi), h, other in zip(itertools.pairwise(edges), prints.words.of_lists(words), prints.others.of_lists(words), strict=True):
+                pos = np.flatnonzero(np.isin(prints.anchors(h), asked[lo:hi]))
+                a, b = prints.windows(h, other)
+                out.append((a[pos].view(np.int64), b[pos].view(np.int64), pos))
+            made = {name: list_column([o[k] for o in out], kind) for k, (name, kind) in enumerate([("key", pa.int64()), ("check", pa.int64()), ("pos", pa.int32())])}
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "h": part.column("h"), **made})
 
     return run
 
@@ -254,7 +237,7 @@ def _cut(window: int):
         for f in frames:
             out = []
             for doc_id, h, text, starts in zip(f["doc_id"], f["h"], f["text"], f["starts"], strict=True):
-                words = words_of(text)
+                words = word_lists(pa.array([text], pa.string())).flatten()
                 edge = np.zeros(len(words) + 1, dtype=np.int32)
                 starts = np.unique(np.asarray(starts, dtype=np.int64))
                 np.add.at(edge, starts, 1)
@@ -262,7 +245,8 @@ def _cut(window: int):
                 gone = np.cumsum(edge[:-1]) > 0
                 change = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(change[::2], change[1::2], strict=True)]
-                out.append((doc_id, h, int(gone.sum()), _sha([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), spans))
+                left = words.filter(pa.array(~gone))
+                out.append((doc_id, h, int(gone.sum()), _shas(pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left))[0], spans))
             yield pd.DataFrame(out, columns=["doc_id", "h", "n_removed", "kept_sha256", "spans"])
 
     return run
@@ -317,7 +301,7 @@ class SubstringDedup:
 
     def add(self, batch: DataFrame) -> DataFrame:
         rows = self._rows(batch)
-        told = written(rows.mapInPandas(_describe(self.window), _TOLD), "sub-told")
+        told = written(rows.mapInArrow(_describe(self.window), _TOLD), "sub-told")
         half = lambda at: F.conv(F.substring("sha", at, 15), 16, 10).cast("long")
         keyed = told.withColumn("key", half(1)).withColumn("check", half(17))
 
@@ -348,7 +332,7 @@ class SubstringDedup:
         texts = written(known.join(asked.hint("merge"), "doc_id").select("doc_id", "h", "text", "asked"), "sub-texts")
 
         # exact judgement of the windows that hold a shared anchor
-        spots = texts.mapInPandas(_window_rows(self.window), "doc_id long, h long, key array<long>, check array<long>, pos array<int>")
+        spots = texts.mapInArrow(_window_rows(self.window), "doc_id long, h long, key array<long>, check array<long>, pos array<int>")
         spots = written(spots.select("doc_id", "h", F.explode(F.arrays_zip("key", "check", "pos")).alias("w")).select("doc_id", "h", "w.key", "w.check", "w.pos"), "sub-spots")
         first = spots.groupBy("key", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
         first = written(first.select("key", "check", "lo"), "sub-first")
@@ -358,7 +342,7 @@ class SubstringDedup:
         touched = texts.join(gone.hint("merge"), uid).join(mine.hint("merge"), uid, "left_semi").select(*uid, "text", "starts").mapInPandas(_cut(self.window), _CUT)
         touched = written(touched.dropDuplicates(uid), "sub-cut")
 
-        none = F.lit(_sha([]))
+        none = F.lit(hashlib.sha256(b"").hexdigest())
         whole = judged.join(touched, uid, "left")
         all_gone = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
         out = whole.select(
@@ -411,7 +395,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, batches: int = 3, fano
         out = got if out is None else out.unionAll(got)
     index.copies.drop()
     index.anchors.drop()
-    rest = rows.filter("doc_id IS NULL").withColumn("h", F.xxhash64("text")).mapInPandas(_describe(window), _TOLD)
+    rest = rows.filter("doc_id IS NULL").withColumn("h", F.xxhash64("text")).mapInArrow(_describe(window), _TOLD)
     none = F.array().cast("array<struct<start:int,end:int>>")
     return out.unionAll(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none.alias("spans")))
 
